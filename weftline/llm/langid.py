@@ -287,7 +287,10 @@ def fitted(samples: DataFrame, docs: DataFrame | None = None, chars: int = SAMPL
     text = {k: " \n ".join(v) for k, v in parts.items()}
     if docs is None or not text:
         return text
-    some = docs.where(F.trim("lang") != "").select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(labelled).collect()
+    # The least hashes are found on the ids alone; only the rows at or below the last of them send their texts.
+    known_docs = docs.where(F.trim("lang") != "").withColumn("_h", F.xxhash64("doc_id"))
+    least = [r[0] for r in known_docs.select("_h").orderBy("_h").limit(labelled).collect()]
+    some = known_docs.where(F.col("_h") <= max(least)).select("lang", "text").orderBy("_h", "doc_id", "text").limit(labelled).collect() if least else []
     some = [(label_code(r["lang"]), r["text"]) for r in some if r["text"]]
     for (label, t), found in zip(some, judge(Parser(text), [t for _, t in some]) if some else []):
         if label in text and len(found) == 1 and found[0][2] == label and len(text[label]) < chars:

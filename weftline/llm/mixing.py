@@ -109,8 +109,8 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, path:
     rated = rated.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(w), F.lit(0.0))).drop("n")
     rank = F.row_number().over(Window.partitionBy("source", "tokens", "salt").orderBy("spread", "doc_id"))
     ranked = sizes.select("doc_id", "source", "spread", "tokens", salt).withColumn("rank", rank)
-    # A little is added so that whole rates are not rounded down.
-    upto = lambda k: F.floor(F.col("before") + F.col("rate") * k + 1e-6)
+    # Sums of rates are rounded to the nearest number of uses.
+    upto = lambda k: F.floor(F.col("before") + F.col("rate") * k + 0.5)
     copies = F.coalesce(upto(F.col("rank")) - upto(F.col("rank") - 1), F.lit(0))
     return ranked.join(rated, ["source", "tokens", "salt"], "left").select("doc_id", "source", "tokens", copies.alias("copies"))
 
