@@ -5,14 +5,15 @@ its uses. Rates stay as close as possible (in relative entropy) to using each
 document once, under the constraint that the tokens of source s come to
 ``share_s * total`` and no rate exceeds ``max_repeat``. The solution of the
 convex dual is an exponential tilt, ``rate = min(max_repeat, exp(x_s * tokens / mean_s))``,
-with one ``x_s`` per source, found by Newton steps that are kept within a
-bracket. Documents enter the steps only through counts by source and size,
+with one ``x_s`` per source, found by Newton steps (on the logarithm of the
+tokens) that are kept within a bracket. Documents enter the steps only through counts by source and size,
 written once; each step is one aggregation and returns one row per source.
 
-Rates become copies by cumulative rounding in order of size, so the tokens
-reached differ from the constraint by about one document per source. The order
-within one size is by hash, ranked within salted parts, so that no task ranks
-all of a source.
+Rates become whole uses size by size, from the largest: each size makes up for
+the tokens owed so far, so the tokens reached differ from the constraint by
+about the smallest document. This goes over the sizes of a source, not over its
+documents. Which documents of one size get one use more is by hash, ranked
+within salted parts, so that no task ranks all of a source.
 
 ``total`` defaults to the largest size at which every source with a target and
 documents can hold its share; shares of sources without documents fall to the
@@ -30,6 +31,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,7 +40,7 @@ from pyspark.sql.window import Window
 from weftline.llm.tokens import TOKENIZER, sized
 from weftline.plans.lineage import cut
 
-SALTS, STEPS, EXACT = 32, 60, 1e-9
+SALTS, STEPS, EXACT = 32, 60, 1e-6
 SOLVED = T.StructType([T.StructField(c, t) for c, t in (("source", T.StringType()), ("x", T.DoubleType()), ("mean", T.DoubleType()), ("cap", T.IntegerType()))])
 
 
@@ -86,13 +88,27 @@ def solve(cells: DataFrame, total: float | None) -> dict[str, tuple[float, float
                 high[s] = x[s]
             else:
                 low[s] = x[s]
-            step = x[s] - off / r["d"] if r["d"] > 0 else math.nan
+            # Newton on the logarithm of the tokens, which is nearly straight in x.
+            step = x[s] - math.log(r["f"] / want[s]) * r["f"] / r["d"] if r["d"] > 0 else math.nan
             if not low[s] < step < high[s]:
                 step = (low[s] + high[s]) / 2 if high[s] < math.inf else max(1.0, 2 * x[s])
             x[s] = step
     return {s: (min(x[s], 1e9), own[s]["sum"] / own[s]["docs"], own[s]["cap"]) for s in own}
 
 
+def _rounded(table: pa.Table) -> pa.Table:
+    """Uses of all documents of one size, for the sizes of one source from the largest: each makes up for the tokens owed so far."""
+    table = table.sort_by([("tokens", "descending")])
+    size, n, cap, rate = (table.column(c).to_numpy() for c in ("tokens", "n", "cap", "rate"))
+    owed, uses = 0.0, []
+    for t, k, c, r in zip(size.tolist(), n.tolist(), cap.tolist(), rate.tolist()):
+        owed += t * k * r
+        m = min(k * c, max(0, math.floor(owed / t + 0.5)))
+        owed -= m * t
+        uses.append(m)
+    return pa.table([table.column("source"), size, n, pa.array(uses, pa.int64())], names=["source", "tokens", "n", "uses"])
+
+
 def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, path: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, tokens, copies`` of every document; ``copies`` is 0 for those left out."""
     kept = docs.select("doc_id", "source", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)).alias("spread"))
@@ -104,15 +120,18 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, path:
     cells = cut(used.groupBy("source", "tokens", salt).agg(F.count("*").alias("n")).join(F.broadcast(goal), "source"))
     solved = solve(cells.groupBy("source", "target_share", "cap", "tokens").agg(F.sum("n").alias("n")), total)
     tilt = sizes.sparkSession.createDataFrame([(s, *v) for s, v in solved.items()], SOLVED)
-    rated = cells.drop("cap").join(F.broadcast(tilt), "source").select("source", "tokens", "salt", "n", _rate(F.col("x")).alias("rate"))
-    w = Window.partitionBy("source").orderBy("tokens", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    rated = rated.withColumn("before", F.coalesce(F.sum(F.col("n") * F.col("rate")).over(w), F.lit(0.0))).drop("n")
+    every = cells.groupBy("source", "tokens", "cap").agg(F.sum("n").alias("n"))
+    rated = every.join(F.broadcast(tilt.drop("cap")), "source").select("source", "tokens", "cap", "n", _rate(F.col("x")).alias("rate"))
+    uses = rated.groupBy("source").applyInArrow(_rounded, "source string, tokens bigint, n bigint, uses bigint")
+    # A document's rank within its source and size: its rank within the salt after the sizes of the salts before.
+    w = Window.partitionBy("source", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.select("source", "tokens", "salt", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("source", "tokens", "salt").orderBy("spread", "doc_id"))
     ranked = sizes.select("doc_id", "source", "spread", "tokens", salt).withColumn("rank", rank)
-    # Sums of rates are rounded to the nearest number of uses.
-    upto = lambda k: F.floor(F.col("before") + F.col("rate") * k + 0.5)
-    copies = F.coalesce(upto(F.col("rank")) - upto(F.col("rank") - 1), F.lit(0))
-    return ranked.join(rated, ["source", "tokens", "salt"], "left").select("doc_id", "source", "tokens", copies.alias("copies"))
+    known = before.join(uses, ["source", "tokens"])
+    whole, rest = F.floor(F.col("uses") / F.col("n")), F.col("uses") % F.col("n")
+    copies = F.coalesce(whole + (F.col("before") + F.col("rank") <= rest).cast("int"), F.lit(0).cast("bigint"))
+    return ranked.join(known, ["source", "tokens", "salt"], "left").select("doc_id", "source", "tokens", copies.alias("copies"))
 
 
 def share_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
