@@ -51,11 +51,14 @@ def _codes(c: Column) -> Column:
 
 
 TREE_WORDS, NEAR_WORDS = ("e", "in", "red", "", "zq", "ing", "gear x", "small bolt"), ("ring", "bolt", "red")
-_TEXT = F.col("text")
+
+
+def _x() -> Column:
+    return F.col("text")
 
 
 def _with_alphabet(texts: DataFrame) -> DataFrame:
-    return texts.withColumn("syms", alphabets.symbols_of(_TEXT)).withColumn("codes", alphabets.mapped(_TEXT, F.col("syms")))
+    return texts.withColumn("syms", alphabets.symbols_of(_x())).withColumn("codes", alphabets.mapped(_x(), F.col("syms")))
 
 
 def _stored_pairs(s: SparkSession, d: str) -> DataFrame:
@@ -67,7 +70,7 @@ def _stored_pairs(s: SparkSession, d: str) -> DataFrame:
 
 def _flags(texts: DataFrame) -> DataFrame:
     """Bit vectors of the places of A."""
-    return texts.withColumn("v", bits.pack(bits.from_string(F.translate(F.regexp_replace(_TEXT, "[^A]", "0"), "A", "1"))))
+    return texts.withColumn("v", bits.pack(bits.from_string(F.translate(F.regexp_replace(_x(), "[^A]", "0"), "A", "1"))))
 
 
 def _missing(s: SparkSession, d: str) -> DataFrame:
@@ -83,25 +86,24 @@ def _located(s: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    x = _TEXT
     return {
         # slices and buffers
-        "slice_index": lambda s, d: _reads(s, d).select("text_id", slices.symbol_at(x, 2).alias("third"), slices.symbol_at(x, -1).alias("last")),
-        "slice_prefix": lambda s, d: _reads(s, d).select("text_id", slices.prefix(x, 10).alias("ten"), slices.prefix(x, -3).alias("but_three")),
-        "slice_suffix": lambda s, d: _reads(s, d).select("text_id", slices.suffix(x, 5).alias("from_five"), slices.suffix(x, -4).alias("four")),
-        "slice_sub": lambda s, d: _reads(s, d).select("text_id", slices.subslice(x, 3, -3).alias("middle"), slices.subslice(x, -12, -2).alias("near_end")),
-        "slice_reverse": lambda s, d: _reads(s, d).select("text_id", slices.reverse(x).alias("reversed")),
+        "slice_index": lambda s, d: _reads(s, d).select("text_id", slices.symbol_at(_x(), 2).alias("third"), slices.symbol_at(_x(), -1).alias("last")),
+        "slice_prefix": lambda s, d: _reads(s, d).select("text_id", slices.prefix(_x(), 10).alias("ten"), slices.prefix(_x(), -3).alias("but_three")),
+        "slice_suffix": lambda s, d: _reads(s, d).select("text_id", slices.suffix(_x(), 5).alias("from_five"), slices.suffix(_x(), -4).alias("four")),
+        "slice_sub": lambda s, d: _reads(s, d).select("text_id", slices.subslice(_x(), 3, -3).alias("middle"), slices.subslice(_x(), -12, -2).alias("near_end")),
+        "slice_reverse": lambda s, d: _reads(s, d).select("text_id", slices.reverse(_x()).alias("reversed")),
         "slice_compare": lambda s, d: _stored_pairs(s, d).select("qname", "x", "y", slices.same(F.col("x"), F.col("y")).alias("eq"), slices.at_most(F.col("x"), F.col("y")).alias("le"), slices.at_least(F.col("x"), F.col("y")).alias("ge")),
         "slice_lcp": lambda s, d: _stored_pairs(s, d).select("qname", "x", "y", slices.common_prefix(F.col("x"), F.col("y")).alias("lcp")),
-        "slice_format": lambda s, d: _parts(s, d).select("text_id", slices.formatted(x).alias("shown")),
+        "slice_format": lambda s, d: _parts(s, d).select("text_id", slices.formatted(_x()).alias("shown")),
         "slice_array": lambda s, d: _with_alphabet(_reads(s, d)).select("text_id", _codes(slices.subslice(F.col("codes"), 2, -2, True)).alias("middle"), slices.symbol_at(F.col("codes"), -1, True).alias("last"), _codes(slices.reverse(F.col("codes"))).alias("reversed")),
-        "buffer_append": lambda s, d: _reads(s, d).select("text_id", slices.append(x, F.lit("ACGT")).alias("more"), slices.append_at(x, 4, F.lit("TT")).alias("cut_more")),
-        "text_length": lambda s, d: _pages(s, d).select("text_id", F.length(x).cast("bigint").alias("n"), F.octet_length(x).cast("bigint").alias("bytes")),
+        "buffer_append": lambda s, d: _reads(s, d).select("text_id", slices.append(_x(), F.lit("ACGT")).alias("more"), slices.append_at(_x(), 4, F.lit("TT")).alias("cut_more")),
+        "text_length": lambda s, d: _pages(s, d).select("text_id", F.length(_x()).cast("bigint").alias("n"), F.octet_length(_x()).cast("bigint").alias("bytes")),
         # bit vectors
         "bitvector_matches": lambda s, d: bits.from_positions(exact.exact_matches(_reads(s, d), _words(s, ("A",)), "scan").join(_reads(s, d), "text_id").withColumn("n", F.length("text").cast("bigint")), "text_id", "pos", "n").select("text_id", "no_bits", _codes(F.col("words")).alias("words")),
         "bitvector_words": lambda s, d: _flags(_reads(s, d)).select("text_id", "v.no_bits", _codes(F.col("v.words")).alias("words")),
         "bitvector_set": lambda s, d: _flags(_reads(s, d)).select("text_id", bits.get(F.col("v"), 7).alias("eighth"), bits.formatted(bits.put(bits.put(F.col("v"), 65, True), 0, False)).alias("shown"), bits.same(F.col("v"), bits.put(F.col("v"), 2, True)).alias("third_set")),
-        "bitvector_clear": lambda s, d: _flags(_reads(s, d)).select("text_id", bits.formatted(bits.clear(F.col("v"))).alias("shown"), bits.same(bits.clear(F.col("v")), bits.zeros(F.length(x))).alias("zero")),
+        "bitvector_clear": lambda s, d: _flags(_reads(s, d)).select("text_id", bits.formatted(bits.clear(F.col("v"))).alias("shown"), bits.same(bits.clear(F.col("v")), bits.zeros(F.length(_x()))).alias("zero")),
         # alphabets
         "alphabet_build": lambda s, d: alphabets.alphabet(_sequences(s, d)),
         "alphabet_map": lambda s, d: _with_alphabet(_reads(s, d)).select("text_id", _codes(F.col("codes")).alias("codes")),

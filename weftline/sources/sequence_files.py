@@ -1,7 +1,8 @@
 """FASTA and FASTQ files as DataFrames, and SAM-style lines as text files.
 
 Readers give records in file order (``ord``, over all files in the order in
-which Spark lists them). FASTA records may be of any number of lines; names
+which Spark lists them). FASTA records may have any number of lines; what stands
+before the first name is left out; names
 lose every ``>``, blank and tab, sequences all white space. FASTQ records have
 four lines, or two (name and sequence) with ``lines=2``; the first symbol of the
 name line is dropped. Empty files give no rows. A FASTQ file must be read as a
@@ -14,15 +15,31 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import clean_fasta_name, clean_fastq_name, clean_seq
-from weftline.plans.ordinal import in_file_order
+from weftline.plans.ordinal import in_file_order, with_ordinal
+
+
+LINES = 1 << 16
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``ord, name, seq``: a record is what lies between two ``>``, so files are split at records."""
-    rows = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
-    name, seq = F.regexp_extract("value", r"\A([^\r\n]*)", 1), F.regexp_replace("value", r"\A[^\r\n]*", "")
-    records = rows.select(F.regexp_replace(name, r"[> \t]", "").alias("name"), F.regexp_replace(seq, r"\s", "").alias("seq"))
-    return in_file_order(records).select("ord", "name", "seq")
+    """``ord, name, seq``. A line that begins with ``>`` names a record; a ``>`` within a line of sequence ends it and names the next.
+
+    Each part finds its name line within its range of lines, or as the last one of the ranges before, so no task reads a whole file.
+    """
+    lines = in_file_order(spark.read.text(path), "n")
+    value = F.regexp_replace("value", r"[\r\x00]", "")
+    part = lambda named, v: F.struct(F.lit(named).alias("named"), v.alias("v"))
+    at = F.instr("value", ">")
+    parts = F.when(at == 1, F.array(part(True, value))).when(at == 0, F.array(part(False, value))).otherwise(F.array(part(False, F.regexp_replace(value, ">.*", "")), part(True, F.regexp_replace(value, "^[^>]*", ""))))
+    rows = lines.select("n", F.posexplode(parts).alias("k", "p")).select("n", "k", "p.*", F.floor(F.col("n") / LINES).alias("range"))
+    here = F.when(F.col("named"), F.struct("n", "k"))
+    w = Window.partitionBy("range").orderBy("n", "k").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.groupBy("range").agg(F.max(here).alias("last"))
+    before = last.select("range", F.last("last", True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    keyed = rows.withColumn("here", F.last(here, True).over(w)).join(before, "range").select(F.coalesce("here", "before").alias("record"), "n", "k", "named", "v")
+    texts = F.transform(F.array_sort(F.collect_list(F.when(~F.col("named"), F.struct("n", "k", "v")))), lambda r: r["v"])
+    records = keyed.where("record IS NOT NULL").groupBy("record").agg(F.max(F.when(F.col("named"), F.col("v"))).alias("name"), F.regexp_replace(F.array_join(texts, ""), r"\s", "").alias("seq"))
+    return with_ordinal(records.select("record.n", "record.k", F.regexp_replace("name", r"[> \t]", "").alias("name"), "seq"), "n", "k").select("ord", "name", "seq")
 
 
 def read_fastq(spark: SparkSession, path: str, lines: int = 4) -> DataFrame:
