@@ -149,10 +149,12 @@ class Parser:
         newline = points == 10
         letter = fold[np.minimum(points, len(fold) - 1)]
         letter[points >= len(fold)] = 0
-        # Blanks are dropped after a blank; a line's end is always kept and is its last blank.
-        keep = (letter != 0) | newline | (np.concatenate(([1], letter[:-1])) != 0)
-        after = np.concatenate((newline[1:], [False]))
-        keep &= newline | ~(after & (letter == 0))
+        # Of a stretch without letters its line ends are kept, else its first place.
+        blank = letter == 0
+        fresh = blank & ~np.concatenate(([False], blank[:-1]))
+        stretch = np.cumsum(fresh) - 1
+        broken = np.bincount(stretch[newline], minlength=int(stretch[-1]) + 1) > 0
+        keep = ~blank | newline | (fresh & ~broken[stretch])
         code, ends = self.symbol[letter[keep]], np.flatnonzero(newline[keep])
         starts = np.concatenate(([0], ends[:-1] + 1))
         letters = np.add.reduceat((letter[keep] != 0).astype(np.int64), starts)

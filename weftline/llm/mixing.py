@@ -78,7 +78,7 @@ def solve(cells: DataFrame, total: float | None) -> dict[str, tuple[float, float
         now = session.createDataFrame([(s, v, own[s]["sum"] / own[s]["docs"], own[s]["cap"]) for s, v in x.items() if s not in done], SOLVED)
         rate = _rate(F.col("x"))
         slope = F.when(rate < F.col("cap"), size * rate * F.col("tokens") / F.col("mean")).otherwise(0.0)
-        got = cells.drop("cap").join(F.broadcast(now), "source").groupBy("source").agg(F.sum(size * rate).alias("f"), F.sum(slope).alias("d")).collect()
+        got = cells.drop("cap").join(now, "source").groupBy("source").agg(F.sum(size * rate).alias("f"), F.sum(slope).alias("d")).collect()
         for r in got:
             s, off = r["source"], r["f"] - want[r["source"]]
             if abs(off) <= EXACT * want[s]:
@@ -117,11 +117,11 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, path:
     goal = _targets(targets)
     used = sizes.where("tokens > 0 AND source IS NOT NULL")
     # Counts by source, size and salt: bounded by the sizes a document can have, not by the documents.
-    cells = cut(used.groupBy("source", "tokens", salt).agg(F.count("*").alias("n")).join(F.broadcast(goal), "source"))
+    cells = cut(used.groupBy("source", "tokens", salt).agg(F.count("*").alias("n")).join(goal, "source"))
     solved = solve(cells.groupBy("source", "target_share", "cap", "tokens").agg(F.sum("n").alias("n")), total)
     tilt = sizes.sparkSession.createDataFrame([(s, *v) for s, v in solved.items()], SOLVED)
     every = cells.groupBy("source", "tokens", "cap").agg(F.sum("n").alias("n"))
-    rated = every.join(F.broadcast(tilt.drop("cap")), "source").select("source", "tokens", "cap", "n", _rate(F.col("x")).alias("rate"))
+    rated = every.join(tilt.drop("cap"), "source").select("source", "tokens", "cap", "n", _rate(F.col("x")).alias("rate"))
     uses = rated.groupBy("source").applyInArrow(_rounded, "source string, tokens bigint, n bigint, uses bigint")
     # A document's rank within its source and size: its rank within the salt after the sizes of the salts before.
     w = Window.partitionBy("source", "tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,5 +139,5 @@ def share_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
     goal = _targets(targets).select("source", "target_share", F.col("cap").alias("max_repeat"))
     got = mix.where("copies > 0").groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
     zero = F.lit(0).cast("bigint")
-    full = goal.join(F.broadcast(got), "source", "left").select("source", "target_share", "max_repeat", *(F.coalesce(c, zero).alias(c) for c in ("tokens", "documents", "most_copies")))
-    return full.withColumn("reached_share", F.coalesce(F.col("tokens") / F.sum("tokens").over(Window.partitionBy()), F.lit(0.0)))
+    full = goal.join(got, "source", "left").select("source", "target_share", "max_repeat", *(F.coalesce(c, zero).alias(c) for c in ("tokens", "documents", "most_copies")))
+    return full.withColumn("reached_share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy())), F.lit(0.0)))
