@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.tokens import TOKENIZER, sized
 
-CAPACITY, SHARD, LINEAR, QUADRATIC = 1024, 20_000, 1.0, 1.0 / 1024
+CAPACITY, SHARD, MOST_TASKS, LINEAR, QUADRATIC = 1024, 20_000, 20_000, 1.0, 1.0 / 1024
 
 
 def _place(sizes: np.ndarray, bins: int, capacity: int) -> tuple[np.ndarray, list[int]]:
@@ -124,9 +124,9 @@ def _pack_shard(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("part_no", "ascending"), ("tok_end", "ascending")])
         beg, end = table.column("tok_beg").to_numpy(), table.column("tok_end").to_numpy()
-        shard = table.column("shard")[0].as_py()
-        container = pack(end - beg, capacity) + (shard << 32)
-        return pa.table([table.column("doc_id"), table.column("part_no"), beg, end, container], schema=schema)
+        some, container = end > beg, np.zeros(len(beg), np.int64)
+        container[some] = pack((end - beg)[some], capacity) + (table.column("shard")[0].as_py() << 32)
+        return pa.table([table.column("doc_id"), table.column("part_no"), beg, end, pa.array(container, mask=~some)], schema=schema)
 
     return run
 
@@ -139,15 +139,12 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, path:
     items = sizes.select("doc_id", F.pmod("spread", F.lit(shards)).alias("shard"), "tokens", F.explode(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))).alias("part_no"))
     items = items.select("doc_id", "shard", "part_no", (F.col("part_no") * capacity).alias("tok_beg"), F.least("tokens", (F.col("part_no") + 1) * capacity).alias("tok_end"))
     schema = "doc_id bigint, part_no bigint, tok_beg bigint, tok_end bigint, container_id bigint"
-    # Full pieces fill a container each and need no packing, but stay in their shard.
-    some = F.when(F.col("tok_end") > F.col("tok_beg"), F.col("shard")).otherwise(F.lit(-1))
-    items = items.withColumn("shard", some)
-    full = items.where("shard >= 0").groupBy("shard").applyInArrow(_pack_shard(capacity), schema)
-    return full.union(items.where("shard < 0").select("doc_id", "part_no", "tok_beg", "tok_end", F.lit(None).cast("bigint").alias("container_id")))
+    # The number of partitions is given, as the rows are small and the work on them is not.
+    return items.repartition(min(2 * shards, MOST_TASKS), "shard").groupBy("shard").applyInArrow(_pack_shard(capacity), schema)
 
 
 def fill_report(packing: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``containers, tokens, least_containers, fill``: how full the containers are."""
     used = packing.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum(F.col("tok_end") - F.col("tok_beg")).alias("tokens"))
     total = used.agg(F.count("*").alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-    return total.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_containers"), (F.col("tokens") / (F.col("containers") * capacity)).alias("fill"))
+    return total.select("containers", "tokens", F.ceil(F.col("tokens") / capacity).alias("least_containers"), F.try_divide(F.col("tokens"), F.col("containers") * capacity).alias("fill"))
