@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions.sequences import clean_seq, symbols
 from weftline.llm.components import components
+from weftline.plans.lineage import cut
 
 WINDOW, SIMILARITY, RECALL, CHANCE = 8, 0.5, 0.998, 0.005
-SLOT_ROWS, PAIR_ROWS, READ_ROWS = 200_000, 1 << 18, 512
+SLOT_ROWS, READ_ROWS, LABEL, FEW = 200_000, 512, 26, 200_000
 
 
 def forest_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -137,10 +138,10 @@ def _forest(trees: int, depth: int, ranges: int, width: int):
     def write(reps: np.ndarray, lab: np.ndarray) -> pa.RecordBatch:
         rows: list[tuple] = []
         for tree in range(trees):
-            # The top bits choose the range, the next 32 stay as the label: a chance meeting of labels only adds a candidate.
+            # The top bits choose the range, LABEL of the others stay as the label: a chance meeting of labels only adds a candidate.
             one = lab[:, tree]
             slot = ((one >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
-            short = one.astype(np.uint32)
+            short = (one & np.uint64((1 << LABEL) - 1)).astype(np.uint32)
             order = np.lexsort((short, slot))
             cuts = np.searchsorted(slot[order], np.arange(ranges + 1, dtype=np.uint64))
             rows += [(tree * ranges + r, _planes(short[order[a:b]]), _planes(reps[order[a:b]])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
@@ -234,11 +235,16 @@ def _hash(text: str) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
 
 
-def copies(reads: DataFrame) -> DataFrame:
-    """``ord, rep`` of every record whose clean text another record has as well. Texts travel as 128-bit hashes."""
-    mine = _keyed(reads).select(*_hash("text"), "ord").distinct()
-    reps = mine.groupBy("h1", "h2").agg(F.min("ord").alias("rep"), F.max("ord").alias("last")).where("rep <> last").drop("last")
-    return mine.join(reps, ["h1", "h2"]).select("ord", "rep")
+def copies(reads: DataFrame, width: int = WINDOW) -> DataFrame:
+    """``ord, rep, has`` of every record whose clean text another record has as well; ``has``: whether it has windows.
+
+    Texts are met by 128-bit hashes, aggregated before the shuffle. While the hashes met more than once are few, they are sent to
+    where the records lie; beyond ``FEW`` rows the two sides are joined by shuffle, and skewed parts split.
+    """
+    keyed = _keyed(reads).select(*_hash("text"), (F.length("text") >= width).alias("has"), "ord")
+    reps = cut(keyed.groupBy("h1", "h2").agg(F.min("ord").alias("rep"), F.max("ord").alias("last")).where("rep <> last").drop("last"))
+    reps = F.broadcast(reps) if reps.count() <= FEW else reps
+    return keyed.join(reps, ["h1", "h2"]).select("ord", "rep", "has").distinct()
 
 
 def text_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW) -> DataFrame:
@@ -249,23 +255,20 @@ def text_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float =
     all_texts = texts(reads).select("rep", "text")
     forest = all_texts.mapInArrow(_forest(trees, depth, ranges, width), "slot bigint, label binary, rep binary")
     met = forest.groupBy("slot").applyInArrow(_meetings(width), "a bigint, b bigint")
-    # One shuffle by b serves both the removal of repeats and the join.
-    met = met.repartition("b").distinct()
-    by_rep = all_texts.repartition("rep")
-    right = met.join(by_rep, met["b"] == by_rep["rep"]).select("a", "b", F.col("text").alias("right"))
-    both = right.join(by_rep, right["a"] == by_rep["rep"]).select("a", "b", F.col("text").alias("left"), "right")
+    met = met.distinct()
+    left, right = (all_texts.select(F.col("rep").alias(c), F.col("text").alias(t)) for c, t in (("a", "left"), ("b", "right")))
+    both = met.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return both.mapInArrow(_verify(similarity, width), "a bigint, b bigint")
 
 
 def record_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW) -> DataFrame:
     """``ord_a, ord_b`` (``ord_a < ord_b``): all pairs of records at least ``similarity`` alike, copies included."""
-    pairs, same = text_pairs(reads, similarity, recall, width), copies(reads)
+    pairs, same = text_pairs(reads, similarity, recall, width), cut(copies(reads, width))
     one, two = same.select(F.col("ord").alias("m1"), F.col("rep").alias("a")), same.select(F.col("ord").alias("m2"), F.col("rep").alias("b"))
     wide = pairs.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("m1", "a").alias("x"), F.coalesce("m2", "b").alias("y"))
     between = wide.select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"))
     # Texts shorter than a window have no windows that could be shared.
-    held = _keyed(reads).where(F.length("text") >= width).select("ord").distinct()
-    long_copies = same.join(held, "ord", "left_semi")
+    long_copies = same.where("has")
     within = long_copies.select(F.col("ord").alias("ord_a"), "rep").join(long_copies.select(F.col("ord").alias("ord_b"), "rep"), "rep").where("ord_a < ord_b").select("ord_a", "ord_b")
     return between.union(within)
 
