@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
 from weftline.functions.slices import Int, _c
 
 
@@ -30,13 +31,11 @@ def from_string(s: Column) -> Column:
 
 def pack(flags: Column) -> Column:
     """A boolean array as ``no_bits`` and words; bit i is bit i % 64 of word i div 64."""
-    n = F.size(flags)
-
-    def word(w: Column) -> Column:
-        part = F.slice(flags, w * 64 + 1, F.lit(64))
-        return F.aggregate(F.transform(part, lambda b, i: F.when(b, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
-
-    return F.when(flags.isNotNull(), F.struct(n.cast("bigint").alias("no_bits"), F.transform(_upto(F.ceil(n / 64)), word).alias("words")))
+    zero = F.lit(0).cast("bigint")
+    bit = lambda b, i: F.when(b, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(zero)
+    word = lambda f, w: F.aggregate(F.transform(F.slice(f, w * 64 + 1, F.lit(64)), bit), zero, lambda a, b: a.bitwiseOR(b))
+    packed = lambda f: F.struct(F.size(f).cast("bigint").alias("no_bits"), F.transform(_upto(F.ceil(F.size(f) / 64)), lambda w: word(f, w)).alias("words"))
+    return F.when(flags.isNotNull(), let(flags, packed))
 
 
 def clear(v: Column) -> Column:

@@ -5,7 +5,7 @@
 strategies differ in cost, not in answer:
 
 * ``automaton``: one pass per text for a whole block of patterns (the default);
-* ``scan``: built-in expressions only, comparing at every position;
+* ``scan``: built-in expressions only;
 * ``find``: the run-time's substring search per text and pattern;
 * ``border``, ``kmp``: linear matchers on border arrays;
 * ``seed``: an equi-join on the pattern's first symbols, for pattern tables too
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let, total
 from weftline.functions.sequences import symbols
 from weftline.operators.pattern_blocks import over_blocks
 
@@ -175,20 +176,32 @@ def _automaton(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     return texts.mapInArrow(run, SCHEMA)
 
 
+PART = 64
+
+
 def scan_positions(text: Column, pattern: Column) -> Column:
-    """All positions of a pattern, by built-in expressions: UTF-8 bytes are compared and byte positions of hits counted back to symbols."""
-    x, p = F.encode(text, "UTF-8"), F.encode(pattern, "UTF-8")
-    last = F.octet_length(text) - F.octet_length(pattern)
-    at = F.filter(F.sequence(F.lit(0), last), lambda i: F.substring(x, i + 1, F.octet_length(pattern)) == p)
-    ascii_ = F.octet_length(text) == F.length(text)
-    exact = F.when(ascii_, at).otherwise(F.transform(at, lambda i: F.length(F.decode(F.substring(x, F.lit(1), i), "UTF-8"))))
-    return F.when((F.length(pattern) > 0) & F.contains(text, pattern), exact).otherwise(F.array().cast("array<int>"))
+    """All positions of a pattern, by built-in expressions in one pass over the text.
+
+    The text is split before each place where the pattern begins; sums of the lengths of the parts are the positions. Sums are
+    kept for each PART of them, so that a text with many places needs no long sums.
+    """
+    quoted = F.concat(F.lit("(?=\\Q"), F.replace(pattern, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
+    sizes = F.transform(F.split(text, quoted, -1), lambda x: F.length(x).cast("bigint"))
+
+    def sums(n: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / PART).cast("int")), lambda b: total(F.slice(n, b * PART + 1, F.lit(PART))))
+        upto = lambda k, i: total(F.slice(k, F.lit(1), F.floor(i / PART).cast("int"))) + total(F.slice(n, F.floor(i / PART).cast("int") * PART + 1, i % PART))
+        inner = let(blocks, lambda k: F.transform(F.sequence(F.lit(1), F.size(n) - 1), lambda i: upto(k, i)))
+        return F.when(F.size(n) > 1, inner).otherwise(F.array().cast("array<bigint>"))
+
+    first = F.when(F.startswith(text, pattern), F.array(F.lit(0).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    return F.when((F.length(pattern) > 0) & F.contains(text, pattern), F.concat(first, let(sizes, sums))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _scan(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     wanted = F.array(*(F.struct(F.lit(p).cast("bigint").alias("pattern_id"), F.lit(word).alias("pattern")) for p, word in block)) if block else F.array().cast("array<struct<pattern_id:bigint,pattern:string>>")
     met = texts.select("text_id", "text", F.inline(F.filter(wanted, lambda w: F.contains(F.col("text"), w["pattern"]))))
-    return met.select("text_id", "pattern_id", F.explode(scan_positions(F.col("text"), F.col("pattern")).cast("array<bigint>")).alias("pos"))
+    return met.select("text_id", "pattern_id", F.explode(scan_positions(F.col("text"), F.col("pattern"))).alias("pos"))
 
 
 def _seeds(q: int, block: int):

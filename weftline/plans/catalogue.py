@@ -13,21 +13,18 @@ from weftline.operators import approx, exact, fm, suffix
 from weftline.operators.mapping import map_reads
 from weftline.sources import raw_records
 from weftline.sources.sequence_files import fasta_records, fastq_records, placed, sam_line
+from weftline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def _parts(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "part").select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text"))
 
 
-def _sequences(s: SparkSession, d: str, table: str = "fasta") -> DataFrame:
+def _sequences(s: SparkSession, d: str, name: str = "fasta") -> DataFrame:
     """The records of a table, each once, with clean sequences."""
-    return _t(s, d, table).select(F.col("ord").alias("text_id"), clean_seq(F.col("seq")).alias("text")).where("text IS NOT NULL").distinct()
+    return table(s, d, name).select(F.col("ord").alias("text_id"), clean_seq(F.col("seq")).alias("text")).where("text IS NOT NULL").distinct()
 
 
 def _reads(s: SparkSession, d: str) -> DataFrame:
@@ -35,11 +32,11 @@ def _reads(s: SparkSession, d: str) -> DataFrame:
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return table(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text")
 
 
 def _patterns(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "patterns")
+    return table(s, d, "patterns")
 
 
 def _words(s: SparkSession, words: tuple[str, ...]) -> DataFrame:
@@ -63,8 +60,8 @@ def _with_alphabet(texts: DataFrame) -> DataFrame:
 
 def _stored_pairs(s: SparkSession, d: str) -> DataFrame:
     """Stored placements with the reads of their name."""
-    sam = _t(s, d, "sam").select("qname", F.col("seq").alias("x")).where("x IS NOT NULL").distinct()
-    reads = fastq_records(_t(s, d, "fastq")).select(F.col("name").alias("qname"), F.col("seq").alias("y")).where("y IS NOT NULL").distinct()
+    sam = table(s, d, "sam").select("qname", F.col("seq").alias("x")).where("x IS NOT NULL").distinct()
+    reads = fastq_records(table(s, d, "fastq")).select(F.col("name").alias("qname"), F.col("seq").alias("y")).where("y IS NOT NULL").distinct()
     return sam.join(reads, "qname")
 
 
@@ -75,7 +72,7 @@ def _flags(texts: DataFrame) -> DataFrame:
 
 def _missing(s: SparkSession, d: str) -> DataFrame:
     """Occurrences that the stored table of an earlier run lacks."""
-    stored = _t(s, d, "exact_matches").where("pattern_id IS NOT NULL").distinct()
+    stored = table(s, d, "exact_matches").where("pattern_id IS NOT NULL").distinct()
     return exact.exact_matches(_sequences(s, d), _patterns(s, d)).join(stored, ["text_id", "pattern_id", "pos"], "left_anti")
 
 
@@ -149,15 +146,15 @@ def queries() -> dict[str, Query]:
         "cigar_encode": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 1).select("text_id", "pattern_id", "pos", "edits", approx.cigar(F.col("edits")).alias("cigar")),
         "d_table": lambda s, d: approx.needed_edits(_sequences(s, d), _patterns(s, d)).select("text_id", "pattern_id", _codes(F.col("needed")).alias("needed")),
         # sources, sinks and the tool
-        "fasta_records": lambda s, d: fasta_records(_t(s, d, "fasta")),
-        "fastq_records": lambda s, d: fastq_records(_t(s, d, "fastq")),
-        "sam_lines": lambda s, d: _t(s, d, "sam").select(sam_line().alias("line")),
-        "sam_placed": lambda s, d: placed(_t(s, d, "sam")),
-        "read_mapping_sam": lambda s, d: map_reads(_t(s, d, "fastq"), _t(s, d, "fasta")),
+        "fasta_records": lambda s, d: fasta_records(table(s, d, "fasta")),
+        "fastq_records": lambda s, d: fastq_records(table(s, d, "fastq")),
+        "sam_lines": lambda s, d: table(s, d, "sam").select(sam_line().alias("line")),
+        "sam_placed": lambda s, d: placed(table(s, d, "sam")),
+        "read_mapping_sam": lambda s, d: map_reads(table(s, d, "fastq"), table(s, d, "fasta")),
         # strict loading
-        "p4_found": lambda s, d: raw_records.failed_rows(_t(s, d, "raw_records")),
-        "p4_fastq": lambda s, d: raw_records.strict_load(_t(s, d, "raw_records"), "fastq"),
-        "p4_fasta": lambda s, d: raw_records.strict_load(_t(s, d, "raw_records"), "fasta"),
+        "p4_found": lambda s, d: raw_records.failed_rows(table(s, d, "raw_records")),
+        "p4_fastq": lambda s, d: raw_records.strict_load(table(s, d, "raw_records"), "fastq"),
+        "p4_fasta": lambda s, d: raw_records.strict_load(table(s, d, "raw_records"), "fasta"),
     }
 
 
