@@ -8,30 +8,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, neardup, packing, shared, split, terms
+from weftline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
 def queries() -> dict[str, Query]:
     return {
-        "p1_found": lambda s, d: split.gaps(_t(s, d, "fasta")),
-        "p1_pieces": lambda s, d: split.pieces(_t(s, d, "fasta")),
-        "p2_found": lambda s, d: shared.shared_spans(_t(s, d, "fasta")),
-        "p2_shared": lambda s, d: shared.shared_parts(_t(s, d, "fasta")).select("ord", "name", "clean_len", "shared_len", F.size("spans").alias("n_spans")),
-        "p3_found": lambda s, d: neardup.record_pairs(_t(s, d, "fastq")),
-        "p3_groups": lambda s, d: neardup.groups(_t(s, d, "fastq")),
-        "p5_found": lambda s, d: terms.marked_terms(_t(s, d, "fastq")).where("mark IS NOT NULL").select("term", "mark"),
-        "p5_terms": lambda s, d: terms.marked_terms(_t(s, d, "fastq")),
-        "p6_packed": lambda s, d: packing.packed(_t(s, d, "documents")),
-        "p6_fill": lambda s, d: packing.fill_report(packing.packed(_t(s, d, "documents"))),
-        "p7_mix": lambda s, d: mixing.mixed(_t(s, d, "documents"), _t(s, d, "mix_targets")),
-        "p7_shares": lambda s, d: mixing.share_report(mixing.mixed(_t(s, d, "documents"), _t(s, d, "mix_targets")), _t(s, d, "mix_targets")),
-        "p8_found": lambda s, d: langid.relabelled(_t(s, d, "documents"), _t(s, d, "lang_samples")),
-        "p8_languages": lambda s, d: langid.languages(_t(s, d, "documents"), _t(s, d, "lang_samples")),
+        "p1_found": lambda s, d: split.gaps(table(s, d, "fasta")),
+        "p1_pieces": lambda s, d: split.pieces(table(s, d, "fasta")),
+        "p2_found": lambda s, d: shared.shared_spans(table(s, d, "fasta")),
+        "p2_shared": lambda s, d: shared.shared_parts(table(s, d, "fasta")).select("ord", "name", "clean_len", "shared_len", F.size("spans").alias("n_spans")),
+        "p3_found": lambda s, d: neardup.record_pairs(table(s, d, "fastq")),
+        "p3_groups": lambda s, d: neardup.groups(table(s, d, "fastq")),
+        "p5_found": lambda s, d: terms.marked_terms(table(s, d, "fastq")).where("mark IS NOT NULL").select("term", "mark"),
+        "p5_terms": lambda s, d: terms.marked_terms(table(s, d, "fastq")),
+        "p6_packed": lambda s, d: packing.packed(table(s, d, "documents")),
+        "p6_fill": lambda s, d: packing.fill_report(packing.packed(table(s, d, "documents"))),
+        "p7_mix": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
+        "p7_shares": lambda s, d: mixing.share_report(mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
+        "p8_found": lambda s, d: langid.relabelled(table(s, d, "documents"), table(s, d, "lang_samples")),
+        "p8_languages": lambda s, d: langid.languages(table(s, d, "documents"), table(s, d, "lang_samples")),
     }
 
 
