@@ -65,7 +65,8 @@ def solve(cells: DataFrame, total: float | None) -> dict[str, tuple[float, float
     if total is None:
         total = min((r["sum"] * r["cap"] / (r["share"] / whole) for r in own.values()), default=0.0)
     want = {s: min(r["share"] / whole * total, float(r["sum"] * r["cap"])) for s, r in own.items()}
-    x = {s: 0.0 for s in own}
+    # The rate that all documents of a source would need is where its steps begin.
+    x = {s: math.log(want[s] / r["sum"]) for s, r in own.items()}
     low, high, done = dict.fromkeys(own, -700.0), dict.fromkeys(own, math.inf), set()
     for s, r in own.items():
         if want[s] >= r["sum"] * r["cap"] * (1 - EXACT):  # all documents at the cap
@@ -118,7 +119,7 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, path:
     used = sizes.where("tokens > 0 AND source IS NOT NULL")
     # Counts by source, size and salt: bounded by the sizes a document can have, not by the documents.
     cells = cut(used.groupBy("source", "tokens", salt).agg(F.count("*").alias("n")).join(goal, "source"))
-    solved = solve(cells.groupBy("source", "target_share", "cap", "tokens").agg(F.sum("n").alias("n")), total)
+    solved = solve(cut(cells.groupBy("source", "target_share", "cap", "tokens").agg(F.sum("n").alias("n"))), total)
     tilt = sizes.sparkSession.createDataFrame([(s, *v) for s, v in solved.items()], SOLVED)
     every = cells.groupBy("source", "tokens", "cap").agg(F.sum("n").alias("n"))
     rated = every.join(tilt.drop("cap"), "source").select("source", "tokens", "cap", "n", _rate(F.col("x")).alias("rate"))
