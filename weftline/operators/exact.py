@@ -20,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,6 +201,8 @@ def scan_positions(text: Column, pattern: Column) -> Column:
 
 def _scan(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     wanted = F.array(*(F.struct(F.lit(p).cast("bigint").alias("pattern_id"), F.lit(word).alias("pattern")) for p, word in block)) if block else F.array().cast("array<struct<pattern_id:bigint,pattern:string>>")
+    # The same as a filter, which reaches the source.
+    texts = texts.where(reduce(Column.__or__, [F.contains("text", F.lit(word)) for _, word in block], F.lit(False)))
     met = texts.select("text_id", "text", F.inline(F.filter(wanted, lambda w: F.contains(F.col("text"), w["pattern"]))))
     return met.select("text_id", "pattern_id", F.explode(scan_positions(F.col("text"), F.col("pattern"))).alias("pos"))
 

@@ -13,7 +13,7 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds the package to the files of the application, once each."""
+    """Adds the package to the files of the application, once each. The archive lies with the driver, whose file server sends it on."""
     sc = spark.sparkContext
     if sc.applicationId not in _sent:
         root = Path(__file__).resolve().parents[1]
