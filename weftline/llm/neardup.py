@@ -31,7 +31,7 @@ from weftline.llm.components import components
 from weftline.plans.lineage import cut
 
 WINDOW, SIMILARITY, RECALL, CHANCE = 8, 0.5, 0.998, 0.005
-SLOT_ROWS, READ_ROWS, LABEL, FEW = 200_000, 512, 26, 200_000
+SLOT_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 200_000, 1 << 18, 512, 26, 200_000
 
 
 def forest_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
@@ -161,21 +161,40 @@ def _forest(trees: int, depth: int, ranges: int, width: int):
     return run
 
 
-def _meetings(width: int):
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with the same prefix, tree by tree and range by range, in batches of bounded size however many meet."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def run(table: pa.Table) -> pa.Table:
-        lab, rep = (np.concatenate([_unplanes(b, kind) for b in table.column(c).to_pylist()]) for c, kind in (("label", np.uint32), ("rep", np.int64)))
+    def pairs(labs: list[np.ndarray], reps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        lab, rep = np.concatenate(labs), np.concatenate(reps)
         order = np.lexsort((rep, lab))
         lab, rep = lab[order], rep[order]
         first = np.flatnonzero(np.concatenate(([True], lab[1:] != lab[:-1])))
         left = np.append(first[1:], len(lab)) - first
         rest = np.repeat(first + left, left) - np.arange(len(lab)) - 1  # partners after each entry
-        a = np.repeat(np.arange(len(lab)), rest)
-        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(rest) - rest, rest)
-        return pa.table([rep[a], rep[b]], schema=schema)
-
-    return run
+        upto = np.cumsum(rest)
+        at = 0
+        while at < len(rest):
+            before = int(upto[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(upto, before + PAIR_ROWS, "right")))
+            some = rest[at:to]
+            a = np.repeat(np.arange(at, to), some)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=schema)
+            at = to
+
+    slot, labs, reps = None, [], []
+    for batch in batches:
+        for now, lab, rep in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if now != slot and labs:
+                yield from pairs(labs, reps)
+                labs, reps = [], []
+            slot = now
+            labs.append(_unplanes(lab, np.uint32))
+            reps.append(_unplanes(rep, np.int64))
+    if labs:
+        yield from pairs(labs, reps)
 
 
 # --- verification ----------------------------------------------------------
@@ -254,7 +273,7 @@ def text_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float =
     ranges = -(-n // SLOT_ROWS)
     all_texts = texts(reads).select("rep", "text")
     forest = all_texts.mapInArrow(_forest(trees, depth, ranges, width), "slot bigint, label binary, rep binary")
-    met = forest.groupBy("slot").applyInArrow(_meetings(width), "a bigint, b bigint")
+    met = forest.repartition("slot").sortWithinPartitions("slot").mapInArrow(_meetings, "a bigint, b bigint")
     met = met.distinct()
     left, right = (all_texts.select(F.col("rep").alias(c), F.col("text").alias(t)) for c, t in (("a", "left"), ("b", "right")))
     both = met.join(right, "b").join(left, "a").select("a", "b", "left", "right")
