@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_CHARS, LABELLED_DOCS, SWITCH, LEAST, SCALE, LINES, BATCH = 24_000, 800, 1.2, 3, 3.0, 4096, 2_000_000
+SAMPLE_CHARS, LABELLED_DOCS, SWITCH, LEAST, SCALE, EVIDENCE, LINES, BATCH = 24_000, 800, 1.2, 3, 3.0, 16, 4096, 2_000_000
 SHIFT = 6
 # How labels name the languages.
 NAMES = {
@@ -263,8 +263,10 @@ def judge(parser: Parser, texts: list[str]) -> list[list[tuple[int, int, str, fl
     fresh = np.concatenate(([True], lang[1:] != lang[:-1]))
     fresh[begin] = True
     at = np.flatnonzero(fresh)
-    total = np.add.reduceat(np.where(head[:, None], 0, bits), at)
-    gap = (total - total[np.arange(len(at)), lang[at]][:, None]) / 8
+    # Confidence: the share of the language among all, by the mean evidence of a line of the segment, in bits over EVIDENCE.
+    told = ~head & (letters > 0)
+    total = np.add.reduceat(np.where(told[:, None], bits, 0), at) / np.maximum(1, np.add.reduceat(told.astype(np.int64), at))[:, None]
+    gap = (total - total[np.arange(len(at)), lang[at]][:, None]) / EVIDENCE
     sure = 1 / np.exp2(np.clip(-gap, -60, 60)).sum(axis=1)
     owner = np.searchsorted(begin, at, "right") - 1
     end = np.append(at[1:], len(lang))
