@@ -8,11 +8,9 @@ Results for odd input are those of ``suffix``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import symbols
@@ -22,7 +20,7 @@ from weftline.operators.suffix import _texts, search_rows, suffix_index
 
 def bwt(texts: DataFrame) -> DataFrame:
     """``text_id, rank, code, ch``: the symbol before each suffix."""
-    return suffix_index(texts).select("text_id", "rank", "code", "ch")
+    return suffix_index(texts, "rank", "code", "ch")
 
 
 def bwt_of_reverse(texts: DataFrame) -> DataFrame:
@@ -32,20 +30,17 @@ def bwt_of_reverse(texts: DataFrame) -> DataFrame:
 
 def c_table(texts: DataFrame) -> DataFrame:
     """``text_id, code, c``: how many symbols of a text, the sentinel included, are smaller."""
-    n = bwt(texts).groupBy("text_id", "code").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("text_id").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select("text_id", "code", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("c"))
+    return suffix_index(texts, "code", "c").distinct()
 
 
 def o_table(texts: DataFrame) -> DataFrame:
     """``text_id, rank, code, occ`` (inclusive), sparse."""
-    w = Window.partitionBy("text_id", "code").orderBy("rank")
-    return bwt(texts).select("text_id", "rank", "code", F.row_number().over(w).cast("bigint").alias("occ"))
+    return suffix_index(texts, "rank", "code", "occ")
 
 
 def lf_mapping(texts: DataFrame) -> DataFrame:
     """``text_id, rank, lf``: the rank of the suffix that is one symbol longer; the whole text's goes to the sentinel."""
-    return o_table(texts).join(c_table(texts), ["text_id", "code"]).select("text_id", "rank", (F.col("c") + F.col("occ") - 1).alias("lf"))
+    return suffix_index(texts, "rank", "lf")
 
 
 def invert(code: np.ndarray, ch: np.ndarray) -> str:
@@ -104,11 +99,4 @@ def fm_search(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def fm_index(texts: DataFrame) -> DataFrame:
     """All tables of the index in one: ``text_id, rank, pos, code, ch, occ, c``, to be written once and searched often."""
-    w = Window.partitionBy("text_id", "code").orderBy("rank")
-    rows = suffix_index(texts).select("text_id", "rank", "pos", "code", "ch").withColumn("occ", F.row_number().over(w).cast("bigint"))
-    n = rows.groupBy("text_id", "code").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("text_id").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
-    c = n.select("text_id", "code", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("c"))
-    return rows.join(c, ["text_id", "code"]).select("text_id", "rank", "pos", "code", "ch", "occ", "c")
-
-
+    return suffix_index(texts, "rank", "pos", "code", "ch", "occ", "c")

@@ -122,35 +122,96 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
         at = to
 
 
-_INDEX = "text_id bigint, rank bigint, pos bigint, lcp bigint, code int, ch string, sym_code int, s_type boolean, lms boolean"
-
-
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, texts in _batches(batch):
-            x = Index(texts)
-            own = x.owner[x.sa]
-            begin = x.start[own]
-            pos = x.sa - begin
-            small, lms = x.types()
-            last = np.where(pos > 0, x.sa - 1, x.sa)
-            code = np.where(pos > 0, x.dense[last], 0)
-            chars = np.where(pos > 0, x.code[last] - 1, 0).astype(np.uint32)
-            one = chars.view("U1") if len(chars) else np.zeros(0, "U1")
-            ch = pa.array(one.astype(object), pa.string(), mask=pos == 0)
-            columns = [pa.array(np.array(ids, dtype=object)[own], pa.int64()), pa.array(np.arange(len(pos)) - begin), pa.array(pos), pa.array(x.lcp()), pa.array(code.astype(np.int32)), ch, pa.array(np.where(pos == x.start[own + 1] - 1 - begin, 0, x.dense[x.sa]).astype(np.int32)), pa.array(small[x.sa]), pa.array(lms[x.sa])]
-            whole = pa.RecordBatch.from_arrays(columns, names=["text_id", "rank", "pos", "lcp", "code", "ch", "sym_code", "s_type", "lms"])
-            for at in range(0, whole.num_rows, 1 << 17):
-                yield whole.slice(at, 1 << 17)
+COLUMNS = {"rank": "bigint", "pos": "bigint", "lcp": "bigint", "code": "int", "ch": "string", "sym_code": "int", "s_type": "boolean", "lms": "boolean", "lf": "bigint", "c": "bigint", "occ": "bigint"}
+
+
+class Rows:
+    """The columns of an index in order of rank, each made when it is asked for."""
+
+    def __init__(self, x: Index):
+        self.x, self.own = x, x.owner[x.sa]
+        self.begin = x.start[self.own]
+        self.at = x.sa - self.begin
+        self.has = self.at > 0  # a symbol stands before the suffix
+        self.last = np.where(self.has, x.sa - 1, x.sa)
+
+    def rank(self) -> pa.Array:
+        return pa.array(np.arange(len(self.at)) - self.begin)
+
+    def pos(self) -> pa.Array:
+        return pa.array(self.at)
+
+    def lcp(self) -> pa.Array:
+        return pa.array(self.x.lcp())
+
+    def _code(self) -> np.ndarray:
+        return np.where(self.has, self.x.dense[self.last], 0)
+
+    def code(self) -> pa.Array:
+        return pa.array(self._code().astype(np.int32))
+
+    def ch(self) -> pa.Array:
+        chars = np.where(self.has, self.x.code[self.last] - 1, 0).astype(np.uint32)
+        one = chars.view("U1") if len(chars) else np.zeros(0, "U1")
+        return pa.array(one.astype(object), pa.string(), mask=~self.has)
+
+    def _sym_code(self) -> np.ndarray:
+        return np.where(self.at == self.x.start[self.own + 1] - 1 - self.begin, 0, self.x.dense[self.x.sa])
+
+    def sym_code(self) -> pa.Array:
+        return pa.array(self._sym_code().astype(np.int32))
+
+    def s_type(self) -> pa.Array:
+        return pa.array(self.x.types()[0][self.x.sa])
+
+    def lms(self) -> pa.Array:
+        return pa.array(self.x.types()[1][self.x.sa])
+
+    def _lf(self) -> np.ndarray:
+        """The rank of the suffix that is one symbol longer; the whole text's is the sentinel's."""
+        return np.where(self.has, self.x.rank[self.last] - self.begin, 0)
+
+    def lf(self) -> pa.Array:
+        return pa.array(self._lf())
+
+    def _c(self) -> np.ndarray:
+        """How many symbols of the text are smaller: where the suffixes that begin with this symbol start."""
+        wide = int(self.x.dense.max(initial=0)) + 1
+        return np.searchsorted(self.own * wide + self._sym_code(), self.own * wide + self._code()) - self.begin
+
+    def c(self) -> pa.Array:
+        return pa.array(self._c())
+
+    def occ(self) -> pa.Array:
+        """How often the symbol stands in the transform up to this rank."""
+        return pa.array(self._lf() - self._c() + 1)
+
+
+def _index(names: tuple[str, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in _batches(batch):
+                rows = Rows(Index(texts))
+                columns = [pa.array(np.array(ids, dtype=object)[rows.own], pa.int64()), *(getattr(rows, n)() for n in names)]
+                whole = pa.RecordBatch.from_arrays(columns, names=["text_id", *names])
+                for at in range(0, whole.num_rows, 1 << 17):
+                    yield whole.slice(at, 1 << 17)
+
+    return run
 
 
 def _texts(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", "text").where("text IS NOT NULL")
 
 
-def suffix_index(texts: DataFrame) -> DataFrame:
-    """Per suffix, by ``text_id, rank``: ``pos``, ``lcp`` with the one before, the symbol before it (``code``, ``ch``: its BWT row), the code of its own first symbol, and its type."""
-    return _texts(texts).mapInArrow(_index, _INDEX)
+def suffix_index(texts: DataFrame, *names: str) -> DataFrame:
+    """Per suffix, by ``text_id, rank``, the columns asked for (all, if none is named); what is not asked for is not computed.
+
+    ``pos``; ``lcp`` with the suffix before; ``code, ch`` of the symbol before the suffix (its row of the transform), with its
+    ``occ`` (so far, inclusive), ``c`` (smaller symbols) and ``lf``; ``sym_code`` of the first symbol; ``s_type`` and ``lms``.
+    """
+    names = names or tuple(COLUMNS)
+    return _texts(texts).mapInArrow(_index(names), "text_id bigint, " + ", ".join(f"{n} {COLUMNS[n]}" for n in names))
 
 
 # --- arrays ----------------------------------------------------------------
@@ -160,10 +221,10 @@ def suffix_array(texts: DataFrame, strategy: str = "auto") -> DataFrame:
     """``text_id, rank, pos``, ``n + 1`` rows per text."""
     texts = _texts(texts)
     if strategy == "local":
-        return suffix_index(texts).select("text_id", "rank", "pos")
+        return suffix_index(texts, "rank", "pos")
     if strategy == "doubling":
         return suffix_array_doubling(texts)
-    local = suffix_index(texts.where(F.length("text") <= LOCAL)).select("text_id", "rank", "pos")
+    local = suffix_index(texts.where(F.length("text") <= LOCAL), "rank", "pos")
     long_ = texts.where(F.length("text") > LOCAL)
     return local if long_.isEmpty() else local.union(suffix_array_doubling(long_))
 
@@ -190,22 +251,22 @@ def inverse_suffix_array(texts: DataFrame) -> DataFrame:
 
 
 def lcp_array(texts: DataFrame) -> DataFrame:
-    return suffix_index(texts).select("text_id", "rank", "lcp")
+    return suffix_index(texts, "rank", "lcp")
 
 
 def suffix_types(texts: DataFrame) -> DataFrame:
     """``text_id, pos, s_type``: whether the suffix is smaller than the next one."""
-    return suffix_index(texts).select("text_id", "pos", "s_type")
+    return suffix_index(texts, "pos", "s_type")
 
 
 def lms_positions(texts: DataFrame) -> DataFrame:
     """``text_id, pos`` of the leftmost S-type suffixes, the sentinel's included."""
-    return suffix_index(texts).where("lms").select("text_id", "pos")
+    return suffix_index(texts, "pos", "lms").where("lms").select("text_id", "pos")
 
 
 def symbol_buckets(texts: DataFrame) -> DataFrame:
     """``text_id, code, n, bucket_beg, bucket_end``: where the suffixes with one first symbol lie among the ranks."""
-    n = suffix_index(texts).groupBy("text_id", F.col("sym_code").alias("code")).agg(F.count("*").alias("n"))
+    n = suffix_index(texts, "sym_code").groupBy("text_id", F.col("sym_code").alias("code")).agg(F.count("*").alias("n"))
     w = Window.partitionBy("text_id").orderBy("code").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum("n").over(w)
     return n.select("text_id", "code", "n", (end - F.col("n")).alias("bucket_beg"), end.alias("bucket_end"))
