@@ -6,7 +6,8 @@ collection. In a shard the cost of a container is that of a training sequence:
 linear in its tokens plus quadratic in each document's (attention). Items go in
 descending order to the container of lowest cost that has room. The number of
 containers starts at the lower bound. Items left over are exchanged against
-smaller ones until all have room; only where this fails are containers added.
+smaller ones until all have room; only where this fails are containers added,
+up to the number that tightest fit needs, whose placing is then taken.
 
 A text above the capacity is cut into full pieces and a rest, by token ranges;
 no other text is cut. Results for odd input: null and empty texts have no
@@ -17,6 +18,7 @@ items of their own; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -100,11 +102,34 @@ def _exchange(ranked: np.ndarray, placed: np.ndarray, room: list[int], tries: in
             i = j
 
 
+def _tightest(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Containers by tightest fit of descending sizes, as many as it takes; of those with equal room the one of lowest cost."""
+    rooms: list[tuple[int, float, int]] = []
+    out = np.empty(len(sizes), np.int64)
+    bins = 0
+    for i, size in enumerate(sizes.tolist()):
+        at = bisect_left(rooms, (size, -1.0, -1))
+        if at < len(rooms):
+            room, cost, b = rooms.pop(at)
+        else:
+            room, cost, b = capacity, 0.0, bins
+            bins += 1
+        out[i] = b
+        if room > size:
+            insort(rooms, (room - size, cost + LINEAR * size + QUADRATIC * size * size, b))
+    return out
+
+
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """A container for each item; none of the sizes exceeds the capacity."""
+    """A container for each item; none of the sizes exceeds the capacity.
+
+    Cost-balanced with as few containers as it can; where tightest fit needs fewer than that, tightest fit.
+    """
     order = np.argsort(-sizes, kind="stable")
     ranked = sizes[order]
     bins = max(1, -(-int(ranked.sum()) // capacity), int((2 * ranked > capacity).sum()))
+    tight = _tightest(ranked, capacity)
+    most = int(tight.max(initial=0)) + 1
     while True:
         placed, room = _place(ranked, bins, capacity)
         if (placed < 0).any():
@@ -112,7 +137,10 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         left = ranked[placed < 0]
         if not len(left):
             break
-        bins += max(1, int(left.sum()) // (2 * capacity))
+        if bins >= most:
+            placed = tight
+            break
+        bins = min(most, bins + max(1, int(left.sum()) // (2 * capacity)))
     out = np.empty(len(sizes), np.int64)
     out[order] = placed
     return out
