@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -70,10 +71,33 @@ def test_groups(spark, rows):
     assert sum(got[o].group_id == root[rep[o]] for o in got) >= 0.98 * len(got)
 
 
+@pytest.mark.parametrize("load", [1, 3, 20])
+def test_crowded_prefixes(spark, rows, load):
+    """Recall stands where prefixes are descended and texts need further trees."""
+    # A third of the texts share a stretch and nothing else.
+    rng = random.Random(9)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    tail = dna(50)
+    more = [(1000 + i, "n", dna(60) + tail, 1, "t", 2) for i in range(60)]
+    got = {tuple(r) for r in neardup.record_pairs(spark.createDataFrame([*rows, *more], SCHEMA), load=load).collect()}
+    want = brute([*rows, *more])
+    assert got <= want and len(got) >= 0.998 * len(want)
+
+
+def test_leaves():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for deep in (rng.integers(0, 1 << 63, 500, np.uint64), np.full(500, 7, np.uint64), np.sort(rng.integers(0, 4, 500).astype(np.uint64) << np.uint64(48))):
+        found = sorted(neardup.leaves(np.sort(deep), 0.5, 10))
+        assert found[0][0] == 0 and found[-1][1] == 500 and all(a[1] == b[0] for a, b in zip(found, found[1:]))
+        assert all(neardup.DEPTH <= d <= neardup.DEEPEST for _, _, d in found)
+    assert [*neardup.leaves(np.full(500, 7, np.uint64), 0.5, 10)] == [(0, 500, neardup.DEPTH)]
+
+
 def test_shape_and_similarity():
-    for n in (1, 10**5, 10**7, 10**9):
-        trees, depth = neardup.forest_shape(n)
-        assert 1 - (1 - 0.5**depth) ** trees >= neardup.RECALL
+    for s in (0.5, 0.8, 1.0):
+        assert 1 - math.exp(-neardup.forest_size(s) * neardup.weight(neardup.DEPTH, s)) >= neardup.RECALL
     rng = random.Random(6)
     word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 60)))
     for alphabet in ("ACGT", "ACā", "a b"):

@@ -1,18 +1,26 @@
 """Problem 3: near-duplicate sequences by a MinHash LSH forest with exact verification.
 
 1. Records with the same clean text are one text (``rep``, the least ``ord``).
-2. Every text gets one label per tree: a sequence of min-hashes of its windows.
-   The forest is used at one prefix depth. It starts from the longest prefix
-   that the trees can hold and is shortened until the expected recall at the
-   threshold reaches the target (``prefix_depth``); it is never shorter than
-   chance collisions allow at the collection's size, for which trees are added.
-3. Labels travel as compact sorted containers, one per tree and label range.
-   Texts next to each other with the same prefix are candidates.
-4. Candidates are deduplicated, and each is verified on the exact window sets.
-
-Pairs of copies follow from membership alone. Results for odd input: records
-with a null or empty sequence take no part; one shorter than a window has no
-windows and no pair; redelivered rows (same ``ord``) count once; rows with a
+2. Every text has one label per tree: a sequence of min-hashes of its windows,
+   of which the trie of a tree is made. The subtrees below ``DEPTH`` min-hashes
+   are sorted first: a label of that prefix and the text travel in compact
+   sorted containers, and texts next to each other with one prefix are candidates.
+3. A prefix that more than ``LOAD`` texts share is crowded, and its subtree is
+   descended: the following min-hashes of its texts, up to ``DEEPEST``, are made
+   and sorted. A node is a leaf where at most ``LOAD`` texts are left, or where
+   the next min-hash agrees so often that the texts are alike and not there by
+   chance. Texts in one leaf are candidates.
+4. At similarity s a text meets a like one in a leaf of depth d with probability
+   s**d. A text whose leaves were deep has not reached the target recall by the
+   trees so far; it goes on with further trees, in which it again stops at the
+   shortest prefix that isn't crowded, until the sum over its trees does reach
+   it. All others are done after the first trees.
+5. Candidates are deduplicated, and each is verified on the exact window sets.
+
+The number of trees, the depths and the load are the same for every size of the
+collection. Pairs of copies follow from membership alone. Results for odd input:
+records with a null or empty sequence take no part; one shorter than a window has
+no windows and no pair; redelivered rows (same ``ord``) count once; rows with a
 null ``ord`` take no part; further columns are ignored.
 """
 
@@ -20,9 +28,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +40,18 @@ from weftline.functions.sequences import clean_seq, symbols
 from weftline.llm.components import components
 from weftline.plans.lineage import cut
 
-WINDOW, SIMILARITY, RECALL, CHANCE = 8, 0.5, 0.998, 0.005
+WINDOW, SIMILARITY, RECALL, DEPTH, DEEPEST, LOAD = 8, 0.5, 0.998, 4, 8, 256
 SLOT_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 200_000, 1 << 18, 512, 26, 200_000
 
 
-def forest_shape(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> tuple[int, int]:
-    """Trees and prefix depth for ``n`` texts.
+def weight(depth: int, similarity: float = SIMILARITY) -> float:
+    """What a leaf at this depth adds to a text's recall, as the negative logarithm of missing a text just at the threshold."""
+    return -math.log1p(-(min(similarity, 1 - 1e-9) ** depth))
 
-    The depth is shortened from 8 while a text still meets less than one other
-    by chance in a tree (windows of unrelated texts agree in about ``CHANCE``);
-    the trees are as many as the recall at the threshold then needs.
-    """
-    depth = 8
-    while depth > 3 and n * CHANCE ** (depth - 1) < 1:
-        depth -= 1
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity**depth)), depth
+
+def forest_size(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
+    """Trees with leaves at ``DEPTH`` that reach the recall at the threshold."""
+    return math.ceil(-math.log(1 - recall) / weight(DEPTH, similarity))
 
 
 # --- windows ---------------------------------------------------------------
@@ -89,16 +96,18 @@ def _mix(code: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(32)).astype(np.uint32)
 
 
-def labels(texts: list[str], trees: int, depth: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit label of the prefix of each tree (row: text), and which texts have windows."""
-    rng = np.random.default_rng(20_240_601)
-    flip = rng.integers(0, 1 << 32, trees * depth, np.uint32)
-    times = rng.integers(0, 1 << 31, trees * depth, np.uint32) * np.uint32(2) + np.uint32(1)
-    out = np.zeros((len(texts), trees), np.uint64)
-    lengths = np.array([len(t) for t in texts])
+@lru_cache(1024)
+def _functions(tree: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parameters of a tree's hash functions, by depth."""
+    rng = np.random.default_rng((20_240_601, tree))
+    return rng.integers(0, 1 << 32, DEEPEST, np.uint32), rng.integers(0, 1 << 31, DEEPEST, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def _matrices(texts: list[str], width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Texts of like length, and the hashes of their windows as a matrix, padded with the first window."""
+    lengths = np.array([len(t) for t in texts], np.int64)
     order = np.argsort(lengths, kind="stable")
     order = order[lengths[order] >= width]
-    # Texts of like length form a matrix, padded with their first window.
     at = 0
     while at < len(order):
         step = max(1, min(READ_ROWS, (1 << 17) // max(1, int(lengths[order[at]]))))
@@ -107,50 +116,80 @@ def labels(texts: list[str], trees: int, depth: int, width: int = WINDOW) -> tup
         code, counts = _lanes([texts[i] for i in some], width)
         start = np.concatenate(([0], np.cumsum(counts)[:-1]))
         column = np.arange(int(counts.max()))
-        h = _mix(code)[start[:, None] + np.where(column < counts[:, None], column, 0)]
+        yield some, _mix(code)[start[:, None] + np.where(column < counts[:, None], column, 0)]
+
+
+def _least(h: np.ndarray, tree: int, depth: int, buffer: np.ndarray) -> np.ndarray:
+    """The min-hash of every text at one depth of a tree."""
+    flip, times = _functions(tree)
+    np.bitwise_xor(h, flip[depth], out=buffer)
+    np.multiply(buffer, times[depth], out=buffer)
+    return buffer.min(axis=1)
+
+
+def labels(texts: list[str], trees: range, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit label of the first ``DEPTH`` min-hashes of each tree (row: text), and which texts have windows."""
+    out = np.zeros((len(texts), len(trees)), np.uint64)
+    has = np.zeros(len(texts), bool)
+    for some, h in _matrices(texts, width):
+        has[some] = True
         buffer = np.empty_like(h)
-        for tree in range(trees):
+        for column, tree in enumerate(trees):
             label = np.zeros(len(some), np.uint64)
-            for d in range(depth):
-                i = tree * depth + d
-                np.bitwise_xor(h, flip[i], out=buffer)
-                np.multiply(buffer, times[i], out=buffer)
-                label = (label ^ buffer.min(axis=1)) * np.uint64(0xD6E8FEB86659FD93)
+            for d in range(DEPTH):
+                label = (label ^ _least(h, tree, d, buffer)) * np.uint64(0xD6E8FEB86659FD93)
                 label ^= label >> np.uint64(32)
-            out[some, tree] = label
-    return out, lengths >= width
+            out[some, column] = label
+    return out, has
+
+
+def deeper(texts: list[str], tree: int, width: int = WINDOW) -> np.ndarray:
+    """The min-hashes of a tree that follow ``DEPTH``, 16 bits each, the first on top: in sorted order this is the trie."""
+    out = np.zeros(len(texts), np.uint64)
+    for some, h in _matrices(texts, width):
+        buffer = np.empty_like(h)
+        for d in range(DEPTH, DEEPEST):
+            least = _least(h, tree, d, buffer).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            out[some] = (out[some] << np.uint64(16)) | (least >> np.uint64(48))
+    return out
 
 
 # --- containers ------------------------------------------------------------
 
 
-def _planes(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes()
+def _packed(a: np.ndarray) -> bytes:
+    """Numbers as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+
+
+def _unpacked(b: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _unplanes(b: bytes, kind: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+_FOUND = pa.schema([("tree", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+_FOUND_SQL = "tree bigint, a bigint, b bigint"
 
 
-def _forest(trees: int, depth: int, ranges: int, width: int):
+def _forest(trees: range, ranges: int, width: int):
     schema = pa.schema([("slot", pa.int64()), ("label", pa.binary()), ("rep", pa.binary())])
 
     def write(reps: np.ndarray, lab: np.ndarray) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for tree in range(trees):
+        for column, tree in enumerate(trees):
             # The top bits choose the range, LABEL of the others stay as the label: a chance meeting of labels only adds a candidate.
-            one = lab[:, tree]
+            one = lab[:, column]
             slot = ((one >> np.uint64(40)) * np.uint64(ranges)) >> np.uint64(24)
             short = (one & np.uint64((1 << LABEL) - 1)).astype(np.uint32)
-            order = np.lexsort((short, slot))
+            order = np.argsort((slot << np.uint64(LABEL)) | short, kind="stable")
             cuts = np.searchsorted(slot[order], np.arange(ranges + 1, dtype=np.uint64))
-            rows += [(tree * ranges + r, _planes(short[order[a:b]]), _planes(reps[order[a:b]])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
+            rows += [(tree * ranges + r, _packed(np.diff(short[order[a:b]], prepend=np.uint32(0))), _packed(reps[order[a:b]])) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            lab, has = labels(batch.column(1).to_pylist(), trees, depth, width)
+            lab, has = labels(batch.column(1).to_pylist(), trees, width)
             held.append((batch.column(0).to_numpy()[has], lab[has]))
             if sum(len(x[0]) for x in held) >= SLOT_ROWS // 2:
                 yield write(*map(np.concatenate, zip(*held)))
@@ -161,40 +200,116 @@ def _forest(trees: int, depth: int, ranges: int, width: int):
     return run
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with the same prefix, tree by tree and range by range, in batches of bounded size however many meet."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def pairs(labs: list[np.ndarray], reps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _pairs(rep: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """All pairs of neighbours in groups of the given sizes, in batches of bounded size however many meet."""
+    rest = np.repeat(np.cumsum(size), size) - np.arange(len(rep)) - 1  # partners after each entry
+    upto = np.cumsum(rest)
+    at = 0
+    while at < len(rest):
+        before = int(upto[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(upto, before + PAIR_ROWS, "right")))
+        some = rest[at:to]
+        a = np.repeat(np.arange(at, to), some)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
+        if len(a):
+            x, y = rep[a], rep[b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), -1)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_FOUND)
+        at = to
+
+
+def _meetings(ranges: int, load: int):
+    """Texts with the same prefix, tree by tree and range by range: pairs (tree -1), or the texts ``a`` of a crowded prefix ``b``."""
+
+    def met(slot: int, labs: list[np.ndarray], reps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         lab, rep = np.concatenate(labs), np.concatenate(reps)
-        order = np.lexsort((rep, lab))
+        order = np.argsort(lab, kind="stable")
         lab, rep = lab[order], rep[order]
         first = np.flatnonzero(np.concatenate(([True], lab[1:] != lab[:-1])))
-        left = np.append(first[1:], len(lab)) - first
-        rest = np.repeat(first + left, left) - np.arange(len(lab)) - 1  # partners after each entry
-        upto = np.cumsum(rest)
-        at = 0
-        while at < len(rest):
-            before = int(upto[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(upto, before + PAIR_ROWS, "right")))
-            some = rest[at:to]
-            a = np.repeat(np.arange(at, to), some)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a]), pa.array(rep[b])], schema=schema)
-            at = to
-
-    slot, labs, reps = None, [], []
-    for batch in batches:
-        for now, lab, rep in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            if now != slot and labs:
-                yield from pairs(labs, reps)
-                labs, reps = [], []
-            slot = now
-            labs.append(_unplanes(lab, np.uint32))
-            reps.append(_unplanes(rep, np.int64))
-    if labs:
-        yield from pairs(labs, reps)
+        size = np.diff(np.append(first, len(lab)))
+        many = np.repeat(size > load, size)
+        yield from _pairs(rep[~many], size[size <= load])
+        if many.any():
+            node = (np.int64(slot % ranges) << np.int64(LABEL)) | lab[many].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), slot // ranges)), pa.array(rep[many]), pa.array(node)], schema=_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot, labs, reps = None, [], []
+        for batch in batches:
+            for now, lab, rep in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if now != slot and labs:
+                    yield from met(slot, labs, reps)
+                    labs, reps = [], []
+                slot = now
+                labs.append(np.cumsum(_unpacked(lab, np.uint32), dtype=np.uint32))
+                reps.append(_unpacked(rep, np.int64))
+        if labs:
+            yield from met(slot, labs, reps)
+
+    return run
+
+
+def _deeper(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tree, texts_ = batch.column(0).to_numpy(), batch.column(3).to_pylist()
+            key = np.zeros(len(tree), np.uint64)
+            for t in np.unique(tree).tolist():
+                at = np.flatnonzero(tree == t)
+                key[at] = deeper([texts_[i] for i in at], t, width)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key.view(np.int64))], names=["tree", "a", "b", "deep"])
+
+    return run
+
+
+def leaves(deep: np.ndarray, similarity: float, load: int = LOAD) -> Iterator[tuple[int, int, int]]:
+    """Begin, end and depth of the leaves of a crowded prefix, from the sorted min-hashes that follow it."""
+    todo = [(0, len(deep), DEPTH)]
+    while todo:
+        lo, hi, depth = todo.pop()
+        m = hi - lo
+        if m > load and depth < DEEPEST:
+            symbol = (deep[lo:hi] >> np.uint64(16 * (DEEPEST - 1 - depth))) & np.uint64(0xFFFF)
+            cuts = np.flatnonzero(np.concatenate(([True], symbol[1:] != symbol[:-1])))
+            size = np.diff(np.append(cuts, m))
+            # Pairs at the threshold agree in the next min-hash as often as they are similar.
+            if float((size * (size - 1)).sum()) < similarity / 2 * m * (m - 1):
+                todo += [(lo + c, lo + c + n, depth + 1) for c, n in zip(cuts.tolist(), size.tolist())]
+                continue
+        yield lo, hi, depth
+
+
+def _descend(similarity: float, load: int):
+    """Pairs (tree -1) of the leaves below each crowded prefix, and the texts ``a`` whose leaf is at depth ``b`` (tree 0)."""
+
+    def met(reps: list[np.ndarray], deeps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rep, deep = np.concatenate(reps), np.concatenate(deeps).view(np.uint64)
+        order = np.argsort(deep, kind="stable")
+        rep, deep = rep[order], deep[order]
+        found = np.array([*leaves(deep, similarity, load)], np.int64).reshape(-1, 3)
+        found = found[np.argsort(found[:, 0])]
+        size = found[:, 1] - found[:, 0]
+        yield from _pairs(rep, size)
+        depth = np.repeat(found[:, 2], size)
+        late = depth > DEPTH
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(late.sum()), np.int64)), pa.array(rep[late]), pa.array(depth[late])], schema=_FOUND)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, reps, deeps = None, [], []
+        for batch in batches:
+            tree, rep, label, deep = (batch.column(i).to_numpy() for i in range(4))
+            cuts = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (label[1:] != label[:-1]))))
+            for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tree)]):
+                now = (int(tree[lo]), int(label[lo]))
+                if now != node and reps:
+                    yield from met(reps, deeps)
+                    reps, deeps = [], []
+                node = now
+                reps.append(rep[lo:hi])
+                deeps.append(deep[lo:hi])
+        if reps:
+            yield from met(reps, deeps)
+
+    return run
 
 
 # --- verification ----------------------------------------------------------
@@ -266,23 +381,46 @@ def copies(reads: DataFrame, width: int = WINDOW) -> DataFrame:
     return keyed.join(reps, ["h1", "h2"]).select("ord", "rep", "has").distinct()
 
 
-def text_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW) -> DataFrame:
+def candidates(all_texts: DataFrame, n: int, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
+    """``a, b`` (``a < b``): texts that lie in one leaf of some tree; ``n``: about how many texts there are."""
+    size, ranges, target = forest_size(similarity, recall), -(-max(1, n) // SLOT_ROWS), -math.log(1 - recall)
+    rest, lost, pairs, first = all_texts, None, None, 0
+    while True:
+        trees = range(first, first + size)
+        first += size
+        forest = rest.mapInArrow(_forest(trees, ranges, width), "slot bigint, label binary, rep binary")
+        found = cut(forest.repartition("slot").sortWithinPartitions("slot").mapInArrow(_meetings(ranges, load), _FOUND_SQL).distinct())
+        met, crowded = found.where("tree < 0").select("a", "b"), found.where("tree >= 0")
+        pairs = met if pairs is None else pairs.union(met)
+        if crowded.isEmpty():
+            break
+        deep = crowded.join(all_texts, crowded["a"] == all_texts["rep"]).select("tree", "a", crowded["b"], "text").mapInArrow(_deeper(width), "tree bigint, a bigint, b bigint, deep bigint")
+        below = cut(deep.repartition("tree", "b").sortWithinPartitions("tree", "b").mapInArrow(_descend(similarity, load), _FOUND_SQL))
+        pairs = pairs.union(below.where("tree < 0").select("a", "b"))
+        less = F.lit(0.0)
+        for d in range(DEPTH + 1, DEEPEST + 1):
+            less = F.when(F.col("b") == d, weight(DEPTH, similarity) - weight(d, similarity)).otherwise(less)
+        now = below.where("tree = 0").select(F.col("a").alias("rep"), less.alias("lost"))
+        lost = cut((now if lost is None else lost.union(now)).groupBy("rep").agg(F.sum("lost").alias("lost")))
+        late = lost.where(first * weight(DEPTH, similarity) - F.col("lost") < target).select("rep")
+        if late.isEmpty():
+            break
+        rest = all_texts.join(late, "rep", "left_semi")
+    return pairs.distinct() if first > size or not crowded.isEmpty() else pairs
+
+
+def text_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
     """``a, b`` (``a < b``): pairs of different texts, named by ``rep``, whose window sets are at least ``similarity`` alike."""
-    n = max(1, reads.count())
-    trees, depth = forest_shape(n, similarity, recall)
-    ranges = -(-n // SLOT_ROWS)
     all_texts = texts(reads).select("rep", "text")
-    forest = all_texts.mapInArrow(_forest(trees, depth, ranges, width), "slot bigint, label binary, rep binary")
-    met = forest.repartition("slot").sortWithinPartitions("slot").mapInArrow(_meetings, "a bigint, b bigint")
-    met = met.distinct()
+    met = candidates(all_texts, reads.count(), similarity, recall, width, load)
     left, right = (all_texts.select(F.col("rep").alias(c), F.col("text").alias(t)) for c, t in (("a", "left"), ("b", "right")))
     both = met.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return both.mapInArrow(_verify(similarity, width), "a bigint, b bigint")
 
 
-def record_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW) -> DataFrame:
+def record_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
     """``ord_a, ord_b`` (``ord_a < ord_b``): all pairs of records at least ``similarity`` alike, copies included."""
-    pairs, same = text_pairs(reads, similarity, recall, width), cut(copies(reads, width))
+    pairs, same = text_pairs(reads, similarity, recall, width, load), cut(copies(reads, width))
     one, two = same.select(F.col("ord").alias("m1"), F.col("rep").alias("a")), same.select(F.col("ord").alias("m2"), F.col("rep").alias("b"))
     wide = pairs.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("m1", "a").alias("x"), F.coalesce("m2", "b").alias("y"))
     between = wide.select(F.least("x", "y").alias("ord_a"), F.greatest("x", "y").alias("ord_b"))
@@ -292,13 +430,13 @@ def record_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float
     return between.union(within)
 
 
-def groups(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW) -> DataFrame:
+def groups(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
     """``ord, rep, group_id, links``: every record with its text, the group of texts linked to it, and the number of other texts alike.
 
     One row per record, copies not expanded; a record that is like no other is its own group. Records without a sequence are left out.
     """
-    pairs = text_pairs(reads, similarity, recall, width)
+    pairs = text_pairs(reads, similarity, recall, width, load)
     group, pairs = components(pairs)
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    every = _keyed(reads).select("ord").distinct().join(copies(reads), "ord", "left").select("ord", F.coalesce("rep", "ord").alias("rep"))
+    every = _keyed(reads).select("ord").distinct().join(copies(reads, width), "ord", "left").select("ord", F.coalesce("rep", "ord").alias("rep"))
     return every.join(links, "rep", "left").join(group.select(F.col("node").alias("rep"), F.col("component")), "rep", "left").select("ord", "rep", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -48,6 +48,15 @@ run AS (SELECT ord, pos, sum(new) OVER (PARTITION BY ord ORDER BY pos) AS run FR
 span AS (SELECT ord, min(pos) AS span_beg, max(pos) + 64 AS span_end FROM run GROUP BY ord, run)
 """
 
+# Pairs of reads by the windows they share.
+_LIKE = f"""
+{_READS},
+win AS (SELECT DISTINCT ord, substr(s, pos + 1, 8) AS w FROM (SELECT ord, s, unnest(range(0, length(s) - 7)) AS pos FROM rec WHERE length(s) >= 8)),
+n AS (SELECT ord, count(*) AS n FROM win GROUP BY ord),
+both AS (SELECT x.ord AS ord_a, y.ord AS ord_b, count(*) AS k FROM win x JOIN win y USING (w) WHERE x.ord < y.ord GROUP BY ALL),
+pairs AS (SELECT ord_a, ord_b FROM both JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE 2 * k >= x.n + y.n - k)
+"""
+
 _TERMS = f"""
 {_READS},
 win AS (SELECT ord, substr(s, pos + 1, 10) AS term FROM (SELECT ord, s, unnest(range(0, length(s) - 9)) AS pos FROM rec WHERE length(s) >= 10)),
@@ -71,6 +80,16 @@ WITH {_SPANS},
 every AS (SELECT DISTINCT ord, name, CAST(length({_CLEAN}) AS BIGINT) AS clean_len FROM fasta),
 part AS (SELECT ord, sum(span_end - span_beg) AS shared_len, count(*) AS n_spans FROM span GROUP BY ord)
 SELECT ord, name, clean_len, CAST(coalesce(shared_len, 0) AS BIGINT) AS shared_len, CAST(coalesce(n_spans, 0) AS INT) AS n_spans FROM every LEFT JOIN part USING (ord)""",
+        "p3_found": f"WITH {_LIKE} SELECT ord_a, ord_b FROM pairs",
+        "p3_groups": f"""
+WITH RECURSIVE {_LIKE},
+text AS (SELECT ord, min(ord) OVER (PARTITION BY s) AS rep FROM rec WHERE s <> ''),
+edge AS (SELECT DISTINCT x.rep AS a, y.rep AS b FROM pairs JOIN text x ON x.ord = ord_a JOIN text y ON y.ord = ord_b WHERE x.rep <> y.rep),
+way AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach AS (SELECT a AS rep, a AS node FROM way UNION SELECT rep, b FROM reach JOIN way ON a = node),
+grp AS (SELECT rep, min(node) AS group_id FROM reach GROUP BY rep),
+deg AS (SELECT a AS rep, count(DISTINCT b) AS links FROM way GROUP BY a)
+SELECT ord, rep, coalesce(group_id, rep) AS group_id, coalesce(links, 0) AS links FROM text LEFT JOIN grp USING (rep) LEFT JOIN deg USING (rep)""",
         "p5_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p5_terms": f"WITH {_TERMS} SELECT * FROM marked",
     }
