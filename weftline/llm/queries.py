@@ -53,8 +53,8 @@ _LIKE = f"""
 {_READS},
 win AS (SELECT DISTINCT ord, substr(s, pos + 1, 8) AS w FROM (SELECT ord, s, unnest(range(0, length(s) - 7)) AS pos FROM rec WHERE length(s) >= 8)),
 n AS (SELECT ord, count(*) AS n FROM win GROUP BY ord),
-both AS (SELECT x.ord AS ord_a, y.ord AS ord_b, count(*) AS k FROM win x JOIN win y USING (w) WHERE x.ord < y.ord GROUP BY ALL),
-pairs AS (SELECT ord_a, ord_b FROM both JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE 2 * k >= x.n + y.n - k)
+common AS (SELECT x.ord AS ord_a, y.ord AS ord_b, count(*) AS k FROM win x JOIN win y USING (w) WHERE x.ord < y.ord GROUP BY ALL),
+pairs AS (SELECT ord_a, ord_b FROM common JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE 2 * k >= x.n + y.n - k)
 """
 
 _TERMS = f"""
