@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from weftline.llm import packing
@@ -28,6 +30,35 @@ def test_cost_is_balanced():
     assert cost.max() <= 1.3 * cost.mean()
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_real_sizes_are_balanced():
+    """On the sizes of real documents the placing is by cost, and the containers are as few as 1 % above the least."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    sizes = np.array([n for n in count_tokens(texts) if 0 < n <= 1024])
+    ranked = np.sort(sizes)[::-1]
+    got = packing.pack(ranked)
+    least = max(-(-int(sizes.sum()) // 1024), int((sizes > 512).sum()))
+    assert np.bincount(got, ranked).max() <= 1024 and got.max() + 1 <= 1.01 * least
+    by_cost, room = packing._place(ranked, int(got.max()) + 1, 1024)
+    assert (got == by_cost).mean() > 0.8
+    # Before anything is exchanged, no container of several documents with room for a document is cheaper than the one it went to.
+    cost = np.zeros(len(room))
+    left = np.full(len(room), 1024)
+    for size, b in zip(ranked, by_cost):
+        if b >= 0:
+            assert cost[b] <= cost[left >= size].min() + 1e-9
+            cost[b] += size + size**2 / 1024
+            left[b] -= size
+
+
+def test_room_is_gathered():
+    sizes = np.array([505, 510, 503, 511, 500, 512, 40, 25])
+    got = packing.pack(sizes)
+    assert np.bincount(got, sizes).max() <= 1024 and got.max() + 1 <= 4
+    held = packing._Containers([510, 502, 511, 500], np.array([0, 1, 1, 0]), [14, 11])
+    assert held.wider(0, 11) and held.room == [22, 3] and held.placed.tolist() == [1, 0, 1, 0]
+
+
 def test_documents(spark):
     rng = random.Random(2)
     words = "the ship came in with salt and herrings été año straße 12 45".split()

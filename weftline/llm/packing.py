@@ -5,9 +5,9 @@ identity, and every shard is packed on its own, so no task grows with the
 collection. In a shard the cost of a container is that of a training sequence:
 linear in its tokens plus quadratic in each document's (attention). Items go in
 descending order to the container of lowest cost that has room. The number of
-containers starts at the lower bound. Items left over are exchanged against
-smaller ones until all have room; only where this fails are containers added,
-up to the number that tightest fit needs, whose placing is then taken.
+containers starts at the lower bound. For items left over, room is gathered in
+one container by exchanging items of nearly equal size; only where this fails is
+a container added and the shard placed anew.
 
 A text above the capacity is cut into full pieces and a rest, by token ranges;
 no other text is cut. Results for odd input: null and empty texts have no
@@ -18,7 +18,6 @@ items of their own; further columns are ignored.
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.tokens import TOKENIZER, sized
 
-CAPACITY, SHARD, MOST_TASKS, LINEAR, QUADRATIC = 1024, 20_000, 20_000, 1.0, 1.0 / 1024
+CAPACITY, SHARD, MOST_TASKS, TRIES, LINEAR, QUADRATIC = 1024, 20_000, 20_000, 64, 1.0, 1.0 / 1024
 
 
 def _place(sizes: np.ndarray, bins: int, capacity: int) -> tuple[np.ndarray, list[int]]:
@@ -53,83 +52,96 @@ def _place(sizes: np.ndarray, bins: int, capacity: int) -> tuple[np.ndarray, lis
     return out, room
 
 
-def _exchange(ranked: np.ndarray, placed: np.ndarray, room: list[int], tries: int = 64) -> None:
-    """Makes room for items left over: each takes the place of a smaller item whose container then holds it, and that one goes on.
-
-    Sizes on the way only fall, so every chain ends.
+class _Containers:
+    """Placed items by container, containers by room, and the containers with room that hold an item of a size."""
+
+    def __init__(self, sizes: list[int], placed: np.ndarray, room: list[int]):
+        self.sizes, self.placed, self.room = sizes, placed, room
+        self.inside: list[list[int]] = [[] for _ in room]
+        for i, b in enumerate(placed.tolist()):
+            if b >= 0:
+                self.inside[b].append(i)
+        self.by_room: list[set[int]] = [set() for _ in range(max(room, default=0) + 1)]
+        self.holders: dict[int, set[int]] = {}
+        for b in range(len(room)):
+            self._list(b)
+
+    def _list(self, b: int) -> None:
+        if self.room[b]:
+            while len(self.by_room) <= self.room[b]:
+                self.by_room.append(set())
+            self.by_room[self.room[b]].add(b)
+            for i in self.inside[b]:
+                self.holders.setdefault(self.sizes[i], set()).add(b)
+
+    def _unlist(self, b: int) -> None:
+        if self.room[b]:
+            self.by_room[self.room[b]].discard(b)
+            for i in self.inside[b]:
+                self.holders[self.sizes[i]].discard(b)
+
+    def put(self, i: int, b: int) -> None:
+        self._unlist(b)
+        self.inside[b].append(i)
+        self.room[b] -= self.sizes[i]
+        self.placed[i] = b
+        self._list(b)
+
+    def swap(self, i: int, b: int, j: int, c: int) -> None:
+        self._unlist(b)
+        self._unlist(c)
+        self.inside[b][self.inside[b].index(i)] = j
+        self.inside[c][self.inside[c].index(j)] = i
+        gain = self.sizes[i] - self.sizes[j]
+        self.room[b] += gain
+        self.room[c] -= gain
+        self.placed[i], self.placed[j] = c, b
+        self._list(b)
+        self._list(c)
+
+    def widest(self, shut: set[int]) -> int | None:
+        """The container of most room but those shut, of equal ones the one of most items."""
+        for r in range(len(self.by_room) - 1, 0, -1):
+            if open_ := self.by_room[r] - shut:
+                return max(open_, key=lambda b: (len(self.inside[b]), -b))
+        return None
+
+    def wider(self, b: int, need: int) -> bool:
+        """Gives a container more room, at most ``need``, by exchanging an item against one a little smaller whose container has room for the difference."""
+        most = min(need, max((r for r in range(len(self.by_room) - 1, 0, -1) if self.by_room[r] - {b}), default=0))
+        for gain in range(most, 0, -1):
+            for i in self.inside[b]:
+                for c in self.holders.get(self.sizes[i] - gain, ()):
+                    if c != b and self.room[c] >= gain:
+                        j = next(j for j in self.inside[c] if self.sizes[j] == self.sizes[i] - gain)
+                        self.swap(i, b, j, c)
+                        return True
+        return False
+
+
+def _exchange(ranked: np.ndarray, placed: np.ndarray, room: list[int]) -> None:
+    """Makes room for items left over: the room of many containers is gathered in the widest one by exchanges of items of nearly equal size.
+
+    Such an exchange hardly changes the cost of either container. Every step widens the container, so it ends.
     """
-    sizes = ranked.tolist()
-    inside: list[list[int]] = [[] for _ in room]
-    for i, b in enumerate(placed.tolist()):
-        if b >= 0:
-            inside[b].append(i)
-    by_room: list[set[int]] = [set() for _ in range(max(room, default=0) + 1)]
-    for b, r in enumerate(room):
-        by_room[r].add(b)
-
-    def move(b: int, by: int) -> None:
-        by_room[room[b]].discard(b)
-        room[b] += by
-        by_room[room[b]].add(b)
-
-    for first in np.flatnonzero(placed < 0).tolist():
-        i = first
-        while True:
-            fits = next((b for r in range(sizes[i], len(by_room)) for b in by_room[r]), None)
-            if fits is not None:
-                placed[i] = fits
-                inside[fits].append(i)
-                move(fits, -sizes[i])
-                break
-            best, seen = None, 0
-            for r in range(min(len(by_room), sizes[i]) - 1, 0, -1):
-                for b in by_room[r]:
-                    seen += 1
-                    for j in inside[b]:
-                        if sizes[i] - r <= sizes[j] < sizes[i] and (best is None or sizes[j] < sizes[best[1]]):
-                            best = (b, j)
-                    if seen > tries:
-                        break
-                if seen > tries:
-                    break
-            if best is None:
-                break
-            b, j = best
-            inside[b].remove(j)
-            inside[b].append(i)
-            placed[i], placed[j] = b, -1
-            move(b, sizes[j] - sizes[i])
-            i = j
-
-
-def _tightest(sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Containers by tightest fit of descending sizes, as many as it takes; of those with equal room the one of lowest cost."""
-    rooms: list[tuple[int, float, int]] = []
-    out = np.empty(len(sizes), np.int64)
-    bins = 0
-    for i, size in enumerate(sizes.tolist()):
-        at = bisect_left(rooms, (size, -1.0, -1))
-        if at < len(rooms):
-            room, cost, b = rooms.pop(at)
-        else:
-            room, cost, b = capacity, 0.0, bins
-            bins += 1
-        out[i] = b
-        if room > size:
-            insort(rooms, (room - size, cost + LINEAR * size + QUADRATIC * size * size, b))
-    return out
+    held = _Containers(ranked.tolist(), placed, room)
+    for i in np.flatnonzero(placed < 0).tolist():
+        shut: set[int] = set()
+        while placed[i] < 0 and len(shut) < TRIES and (b := held.widest(shut)) is not None:
+            while held.room[b] < held.sizes[i] and held.wider(b, held.sizes[i] - held.room[b]):
+                pass
+            if held.room[b] >= held.sizes[i]:
+                held.put(i, b)
+            shut.add(b)
+        if placed[i] < 0:
+            return
 
 
 def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """A container for each item; none of the sizes exceeds the capacity.
-
-    Cost-balanced with as few containers as it can; where tightest fit needs fewer than that, tightest fit.
-    """
+    """A container for each item; none of the sizes exceeds the capacity. Placed at lowest cost, in as few containers as that fills."""
     order = np.argsort(-sizes, kind="stable")
     ranked = sizes[order]
     bins = max(1, -(-int(ranked.sum()) // capacity), int((2 * ranked > capacity).sum()))
-    tight = _tightest(ranked, capacity)
-    most = int(tight.max(initial=0)) + 1
     while True:
         placed, room = _place(ranked, bins, capacity)
         if (placed < 0).any():
@@ -137,10 +149,7 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         left = ranked[placed < 0]
         if not len(left):
             break
-        if bins >= most:
-            placed = tight
-            break
-        bins = min(most, bins + max(1, int(left.sum()) // (2 * capacity)))
+        bins += max(1, int(left.sum()) // (2 * capacity))
     out = np.empty(len(sizes), np.int64)
     out[order] = placed
     return out
