@@ -40,7 +40,9 @@ def test_real_sizes_are_balanced():
     least = max(-(-int(sizes.sum()) // 1024), int((sizes > 512).sum()))
     assert np.bincount(got, ranked).max() <= 1024 and got.max() + 1 <= 1.01 * least
     by_cost, room = packing._place(ranked, int(got.max()) + 1, 1024)
-    assert (got == by_cost).mean() > 0.8
+    # Exchanges are of nearly equal sizes, so the containers keep the costs that the rule gave them.
+    cost_of = lambda c: np.bincount(c[c >= 0], (ranked + ranked**2 / 1024)[c >= 0], len(room))
+    assert (got == by_cost).mean() > 0.5 and np.abs(cost_of(got) - cost_of(by_cost)).mean() < 0.04 * cost_of(got).mean()
     # Before anything is exchanged, no container of several documents with room for a document is cheaper than the one it went to.
     cost = np.zeros(len(room))
     left = np.full(len(room), 1024)
