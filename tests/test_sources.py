@@ -1,7 +1,9 @@
 import random
 import re
 
-from weftline.operators.mapping import map_reads, map_reads_approx
+import pytest
+
+from weftline.operators.mapping import map_files, map_reads, map_reads_approx
 from weftline.sources import raw_records, sequence_files as sf
 
 
@@ -31,6 +33,57 @@ def test_many_records_keep_their_order(spark, tmp_path):
     assert sorted((r.qname, r.rname, r.pos, r.cigar) for r in sf.read_sam(spark, str(tmp_path / "out")).collect()) == want
 
 
+@pytest.fixture
+def small_splits(spark):
+    for k, v in (("spark.sql.files.maxPartitionBytes", "4000"), ("spark.sql.files.openCostInBytes", "10")):
+        spark.conf.set(k, v)
+    yield
+    for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.unset(k)
+
+
+def test_folders_of_files_in_small_splits(spark, tmp_path, small_splits):
+    """Records of several files of unequal length, some without a line end, each in several splits."""
+    rng = random.Random(7)
+    fasta, fastq = [], []
+    for folder in ("fa", "fq"):
+        (tmp_path / folder).mkdir()
+    for f, n in (("a", 300), ("b", 517), ("c", 3), ("d", 0), ("e", 150)):
+        part = [(f"{f}{i}", "".join(rng.choice("ACGT") for _ in range(rng.choice([0, 7, 60, 400])))) for i in range(n)]
+        fasta += part
+        text = "".join(f">{name}\n" + "".join(f"{s[i : i + 60]}\n" for i in range(0, len(s), 60)) for name, s in part)
+        (tmp_path / "fa" / f"{f}.fa").write_text(("; before the first name\n" if n else "") + text.rstrip("\n"))
+        reads = [(name, s[:50], "~" * len(s[:50])) for name, s in part]
+        fastq += reads
+        (tmp_path / "fq" / f"{f}.fq").write_text("".join(f"@{name}\n{s}\n+\n{q}\n" for name, s, q in reads))
+    assert spark.read.text(str(tmp_path / "fa")).rdd.getNumPartitions() > 20
+    got = sf.read_fasta(spark, str(tmp_path / "fa")).orderBy("ord").collect()
+    assert [r.ord for r in got] == [*range(len(fasta))] and [(r.name, r.seq) for r in got] == fasta
+    got = sf.read_fastq(spark, str(tmp_path / "fq")).orderBy("ord").collect()
+    assert [r.ord for r in got] == [*range(len(fastq))] and [(r.name, r.seq, r.qual) for r in got] == fastq
+    # A file whose last record is cut off doesn't shift the records of the next one.
+    (tmp_path / "fq" / "b.fq").write_text("@cut\nAC\n")
+    got = [(r.name, r.seq, r.qual) for r in sf.read_fastq(spark, str(tmp_path / "fq")).orderBy("ord").collect()]
+    assert got == [*fastq[:300], ("cut", "AC", None), *fastq[817:]]
+
+
+def test_files_to_files(spark, tmp_path, small_splits):
+    rng = random.Random(8)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    sequences = spark.createDataFrame([(f"s{i}", dna(500)) for i in range(20)] + [("none", None)], "name string, seq string").repartition(3)
+    whole = {r.name: r.seq or "" for r in sequences.collect()}
+    reads = [(f"r{i}", whole[f"s{i % 20}"][i : i + 20]) for i in range(100)] + [("away", dna(25))]
+    sf.write_fasta(sequences, str(tmp_path / "fa"), 70)
+    sf.write_fastq(spark.createDataFrame([(n, s, "!" * len(s)) for n, s in reads], "name string, seq string, qual string").repartition(4), str(tmp_path / "fq"))
+    assert {r.name: r.seq for r in sf.read_fasta(spark, str(tmp_path / "fa")).collect()} == whole
+    want = sorted((n, t, m.start() + 1, "20M", s) for n, s in reads for t, x in whole.items() for m in re.finditer(f"(?={s})", x))
+    for algorithm in ("naive", "ba", "seed"):
+        map_files(spark, algorithm, str(tmp_path / "fa"), str(tmp_path / "fq"), str(tmp_path / algorithm))
+        assert sorted(map(tuple, sf.read_sam(spark, str(tmp_path / algorithm)).collect())) == want
+    with pytest.raises(ValueError):
+        map_files(spark, "other", "", "", "")
+
+
 def test_odd_records(spark):
     schema = "ord bigint, name string, seq string, qual string, read_at string, text string"
     rows = [(1, "@r1 x/1", "ac\tGT", "!!", "a", "z"), (1, "@r1 x/1", "ac\tGT", "!!", "b", "z"), (2, None, None, None, None, None), (3, "", "", "", "", ""), (4, "r/4", "AAAA", "", "", "")]

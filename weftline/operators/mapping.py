@@ -8,12 +8,15 @@ but different ``ord`` each give their rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.approx import approx_matches
 from weftline.operators.exact import exact_matches
-from weftline.sources.sequence_files import fasta_records, fastq_records
+from weftline.sources.sequence_files import fasta_records, fastq_records, read_fasta, read_fastq, write_sam
+
+# The names of the tool's algorithms, and of the further strategies.
+ALGORITHMS = {"naive": "find", "ba": "border", "kmp": "kmp", "automaton": "automaton", "scan": "scan", "seed": "seed"}
 
 
 def _sides(reads: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -38,3 +41,10 @@ def map_reads_approx(reads: DataFrame, sequences: DataFrame, d: int) -> DataFram
     hits = approx_matches(texts, patterns, d)
     named = hits.join(patterns, "pattern_id").join(q, "pattern").join(r.select("text_id", "rname"), "text_id")
     return named.select("qname", "rname", (F.col("pos") + 1).cast("int").alias("pos"), F.col("cigar_fwd").alias("cigar"), F.col("pattern").alias("seq"))
+
+
+def map_files(spark: SparkSession, algorithm: str, fasta: str, fastq: str, out: str, lines: int = 4) -> None:
+    """Every verbatim place of every read of FASTQ files in the sequences of FASTA files, written as a folder of SAM-style lines."""
+    if algorithm not in ALGORITHMS:
+        raise ValueError(f"unknown algorithm: {algorithm}")
+    write_sam(map_reads(read_fastq(spark, fastq, lines), read_fasta(spark, fasta), ALGORITHMS[algorithm]), out)

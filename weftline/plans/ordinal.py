@@ -17,9 +17,34 @@ def with_ordinal(df: DataFrame, *by: str, name: str = "ord") -> DataFrame:
     return _shifted(cut(placed), name)
 
 
-def in_file_order(df: DataFrame, name: str = "ord") -> DataFrame:
-    """The same in the order in which the rows of a file source come, partition by partition."""
-    return _shifted(cut(df.withColumn("_m", F.monotonically_increasing_id())), name)
+SPLITS = 100_000
+
+
+def with_place(df: DataFrame) -> DataFrame:
+    """Rows of a file source with their place: ``_file`` (path), ``_block`` (where the split begins) and ``_m``, in order within a split.
+
+    A split lies within one partition, but a partition may hold splits of several files and not in their order.
+    """
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"))
+
+
+def in_file_order(df: DataFrame, of: int = 1) -> DataFrame:
+    """Rows of a file source in units of ``of`` rows that never run over a file's end: ``unit`` counts on over the files in order of path, ``part`` is the row's place in its unit.
+
+    The files are read twice, first for the sizes of their splits, of which there is one row each; these are sent to all
+    workers while they are at most ``SPLITS``, and joined by shuffle beyond.
+    """
+    placed = with_place(df)
+    sizes = cut(placed.groupBy("_file", "_block").agg(F.min("_m").alias("_first"), F.count("*").alias("_n")))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = sizes.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    units = sizes.groupBy("_file").agg(F.ceil(F.sum("_n") / of).alias("_units"))
+    # One row per file.
+    files = units.select("_file", F.coalesce(F.sum("_units").over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    known = splits.join(files, "_file")
+    known = F.broadcast(known) if sizes.count() <= SPLITS else known
+    line = F.col("_m") + F.col("_shift")
+    return placed.join(known, ["_file", "_block"]).select(*df.columns, (F.col("_start") + F.floor(line / of)).alias("unit"), (line % of).alias("part"))
 
 
 def _shifted(placed: DataFrame, name: str) -> DataFrame:
