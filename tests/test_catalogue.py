@@ -1,4 +1,4 @@
-"""Every query over the smallest tables against its SQL."""
+"""Every query of the core over the smallest tables against its SQL."""
 
 import glob
 import os
@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from weftline.plans import catalogue
+from weftline.plans.ship import ship
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
@@ -24,16 +26,16 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n in entry.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in catalogue.queries() if n in catalogue.oracle_sql()])
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, DATA)
+    df = catalogue.queries()[name](ship(spark), DATA)
     names = sorted(df.columns)
     got = sorted(map(str, (tuple(r) for r in df.select(*names).collect())))
-    cursor = duck.execute(f"SELECT {', '.join(names)} FROM ({entry.oracle_sql()[name]})")
+    cursor = duck.execute(f"SELECT {', '.join(names)} FROM ({catalogue.oracle_sql()[name]})")
     assert sorted(c[0] for c in cursor.description) == names
     assert got == sorted(map(str, cursor.fetchall()))
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n not in entry.oracle_sql()])
+@pytest.mark.parametrize("name", [n for n in catalogue.queries() if n not in catalogue.oracle_sql()])
 def test_query_runs(spark, name):
-    assert entry.queries()[name](spark, DATA).count() > 0
+    assert catalogue.queries()[name](ship(spark), DATA).count() > 0

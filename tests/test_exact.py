@@ -14,7 +14,7 @@ def run(spark, texts, patterns, strategy):
 
 
 def naive(texts, patterns):
-    return sorted((t, p, i) for t, x, _ in texts if x is not None for p, w in {(p, w) for p, w, _ in patterns if w} for i in range(len(x) - len(w) + 1) if x[i : i + len(w)] == w)
+    return sorted(((t, p, i) for t, x, _ in texts if x is not None for p, w in {(p, w) for p, w, _ in patterns if w} for i in range(len(x) - len(w) + 1) if x[i : i + len(w)] == w), key=lambda r: (r[0] or 0, *r[1:]))
 
 
 @pytest.mark.parametrize("strategy", ALL)
@@ -41,6 +41,27 @@ def test_repeated_rows_and_null_ids(spark, strategy):
     assert got == [(1, 1, 0), (1, 1, 0), (1, 2, 1), (1, 2, 1), (2, 2, 0)]
 
 
+def test_many_patterns_by_scan(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    texts, patterns = [(i, word(200), 0) for i in range(5)], [(i, word(5) + "\\E'\""[: i % 4], "") for i in range(3000)]
+    assert run(spark, texts, patterns, "scan") == naive(texts, patterns)
+
+
+def test_seeds_pass_a_filter(spark):
+    """A small filter lets more places pass and changes nothing."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    texts = [(i if i else None, word(rng.choice([5, 30, 500])), 0) for i in range(60)]
+    patterns = [(i, texts[i][1][3:23], "") for i in range(60)]
+    t = spark.createDataFrame(texts, "text_id bigint, text string, pos int")
+    p = spark.createDataFrame(patterns, "pattern_id bigint, pattern string, text string")
+    seeds = spark.createDataFrame([(5,), (69,), (64,)], "seed bigint")
+    assert exact.seed_filter(seeds, 64).tolist() == [0b100001] and exact.seed_filter(seeds, 128).tolist() == [1 << 5, 0b100001]
+    got = sorted(map(str, (tuple(r) for r in exact._by_seed(t.select("text_id", "text"), p, block=64).collect())))
+    assert got == sorted(map(str, naive(texts, patterns)))
+
+
 def test_seed_across_blocks(spark):
     rng = random.Random(3)
     x = "".join(rng.choice("acgt") for _ in range(3000))

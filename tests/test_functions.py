@@ -75,6 +75,6 @@ def test_bit_vectors(spark):
 
 
 def test_bits_from_positions(spark):
-    df = spark.createDataFrame([(1, 0, 70), (1, 63, 70), (1, 64, 70), (1, None, 70), (2, 5, 6)], "k int, pos bigint, n bigint")
+    df = spark.createDataFrame([(1, 0, 70), (1, 63, 70), (1, 64, 70), (1, None, 70), (2, 5, 6), (3, None, 65), (4, None, 0)], "k int, pos bigint, n bigint")
     got = {r.k: (r.no_bits, r.words) for r in bits.from_positions(df, "k", "pos", "n").collect()}
-    assert got == {1: (70, [1 - (1 << 63), 1]), 2: (6, [32])}
+    assert got == {1: (70, [1 - (1 << 63), 1]), 2: (6, [32]), 3: (65, [0, 0]), 4: (0, [])}

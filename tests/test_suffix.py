@@ -74,6 +74,12 @@ def test_doubling_is_the_same(spark, some):
     assert key(suffix.suffix_array(t, "doubling")) == key(suffix.suffix_array(t, "local"))
 
 
+def test_doubling_on_repeated_rows(spark):
+    t = texts(spark, [(1, "abab"), (1, "abab"), (None, "b"), (None, "b"), (2, "")])
+    key = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    assert key(suffix.suffix_array(t, "doubling")) == key(suffix.suffix_array(t, "local"))
+
+
 def test_searches_agree(spark, some):
     t = texts(spark, some)
     ps = ["i", "missi", "", "zz", "a", "acg", "ssi", "𝄞a", "abab", "mississippi", "mississippix"]

@@ -67,9 +67,9 @@ def formatted(v: Column) -> Column:
 
 
 def from_positions(df: DataFrame, key: str, pos: str, no_bits: str) -> DataFrame:
-    """``key, no_bits, words`` from one row per set bit: words are combined before the shuffle. Keys without rows are absent."""
+    """``key, no_bits, words`` from one row per set bit: words are combined before the shuffle. A key with a null position only has no bit set."""
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col(pos) % 64).cast("int"))
-    word = df.where(F.col(pos).isNotNull()).groupBy(key, F.col(no_bits).alias("no_bits"), F.floor(F.col(pos) / 64).alias("w")).agg(F.bit_or(bit).alias("bits"))
-    held = word.groupBy(key, "no_bits").agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
+    word = df.groupBy(key, F.col(no_bits).alias("no_bits"), F.floor(F.col(pos) / 64).alias("w")).agg(F.bit_or(bit).alias("bits"))
+    held = word.groupBy(key, "no_bits").agg(F.map_from_entries(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("w", "bits")))).alias("m"))
     words = F.transform(_upto(F.ceil(F.col("no_bits") / 64)), lambda k: F.coalesce(F.col("m")[k.cast("bigint")], F.lit(0).cast("bigint")))
     return held.select(key, F.col("no_bits").cast("bigint").alias("no_bits"), words.alias("words"))

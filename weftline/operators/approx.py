@@ -53,6 +53,10 @@ def cigar(edits: Column) -> Column:
     return F.when(edits.isNotNull(), F.array_join(F.transform(runs, lambda r: F.concat(F.length(r).cast("string"), F.left(r, F.lit(1)))), ""))
 
 
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
 def ends_near(x: str, p: str, d: int) -> list[int]:
     """Ends at which an alignment may lie: near a verbatim part of the pattern, or anywhere if a part is empty."""
     n, m = len(x), len(p)
@@ -69,7 +73,7 @@ def ends_near(x: str, p: str, d: int) -> list[int]:
 
 def alignments(x: str, p: str, d: int) -> Iterator[tuple[int, str, int]]:
     """Start, edits from the right, and cost of all alignments."""
-    if not set(p) <= set(x):
+    if any(c not in x for c in set(p)):
         return
     for end in ends_near(x, p, d):
         todo = [(len(p), end, 0, "")]
@@ -104,10 +108,10 @@ def approx_matches(texts: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
                         for pos, edits, cost in short(x, p) if len(x) < 64 else alignments(x, p, d):
                             rows.append((t, k, pos, edits, run_lengths(edits), run_lengths(edits[::-1]), cost))
                             if len(rows) >= ROWS:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                                yield as_batch(rows)
                                 rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+                yield as_batch(rows)
 
         return texts.mapInArrow(run, SCHEMA)
 

@@ -19,6 +19,9 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -31,7 +34,7 @@ from weftline.functions.binding import let, total
 from weftline.functions.sequences import symbols
 from weftline.operators.pattern_blocks import over_blocks
 
-SEED, BLOCK = 16, 1 << 16
+SEED, BLOCK, FILTER = 16, 1 << 16, 1 << 26
 SCHEMA = "text_id bigint, pattern_id bigint, pos bigint"
 _SCHEMA = pa.schema([(c, pa.int64()) for c in ("text_id", "pattern_id", "pos")])
 ROWS = 1 << 16
@@ -40,24 +43,31 @@ ROWS = 1 << 16
 # --- borders ---------------------------------------------------------------
 
 
-def borders(p: str) -> list[int]:
-    """For every prefix of ``p`` the length of its longest proper border."""
-    out = [0] * len(p)
-    for i in range(1, len(p)):
-        k = out[i - 1]
-        while k and p[i] != p[k]:
-            k = out[k - 1]
-        out[i] = k + (p[i] == p[k])
+def restricted_borders(p: str) -> list[int]:
+    """For every prefix the longest border after which the next symbol differs from the one that follows the prefix; the last prefix has its border.
+
+    The stretch from place ``at`` that equals a beginning of ``p`` and can't be made longer is such a border of the prefix that
+    it ends; the first place gives the longest.
+    """
+    n, out = len(p), [0] * len(p)
+    same, at, upto = [0] * n, 0, 0  # the stretch of each place, and the one that reaches furthest
+    for i in range(1, n):
+        k = min(same[i - at], upto - i) if i < upto else 0
+        while i + k < n and p[k] == p[i + k]:
+            k += 1
+        same[i] = k
+        if i + k > upto:
+            at, upto = i, i + k
+        if k and not out[i + k - 1]:
+            out[i + k - 1] = k
     return out
 
 
-def restricted_borders(p: str) -> list[int]:
-    """Borders after which the next symbol differs from the one that follows the prefix; the last prefix keeps its border."""
-    out = borders(p)
-    for i in range(len(p) - 1):
-        k = out[i]
-        if k and p[k] == p[i + 1]:
-            out[i] = out[k - 1]
+def borders(p: str) -> list[int]:
+    """For every prefix of ``p`` the length of its longest proper border: a restricted one, or that of the next prefix less one symbol."""
+    out = restricted_borders(p)
+    for i in range(len(p) - 2, 0, -1):
+        out[i] = max(out[i], out[i + 1] - 1)
     return out
 
 
@@ -144,23 +154,35 @@ def _each(matcher: Callable[[str, str], list[int]]):
     return one
 
 
-def _automaton(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(block)
+_machines: dict[str, object] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
 
+def _machine(key: str, block: list[tuple[int, str]]):
+    """The automaton of a block, or None without patterns; a worker keeps the last one."""
+    import ahocorasick
+
+    if key not in _machines:
         machine, words = ahocorasick.Automaton(), {}
-        for p, word in shared.value:
+        for p, word in block:
             if word:
                 words.setdefault(word, []).append(p)
         for word, ids in words.items():
             machine.add_word(word, (len(word), ids))
-        if not words:
-            for _ in batches:
-                pass
+        if words:
+            machine.make_automaton()
+        _machines.clear()
+        _machines[key] = machine if words else None
+    return _machines[key]
+
+
+def _automaton(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+    shared, key = texts.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(key, shared.value)
+        if machine is None:
+            deque(batches, 0)
             return
-        machine.make_automaton()
 
         def found():
             for batch in batches:
@@ -177,7 +199,7 @@ def _automaton(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     return texts.mapInArrow(run, SCHEMA)
 
 
-PART = 64
+PART, PUSHED = 64, 16
 
 
 def scan_positions(text: Column, pattern: Column) -> Column:
@@ -200,24 +222,66 @@ def scan_positions(text: Column, pattern: Column) -> Column:
 
 
 def _scan(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
-    wanted = F.array(*(F.struct(F.lit(p).cast("bigint").alias("pattern_id"), F.lit(word).alias("pattern")) for p, word in block)) if block else F.array().cast("array<struct<pattern_id:bigint,pattern:string>>")
-    # The same as a filter, which reaches the source.
-    texts = texts.where(reduce(Column.__or__, [F.contains("text", F.lit(word)) for _, word in block], F.lit(False)))
+    # One constant, however many patterns.
+    wanted = F.from_json(F.lit(json.dumps([{"pattern_id": p, "pattern": word} for p, word in block])), "array<struct<pattern_id:bigint,pattern:string>>")
+    if len(block) <= PUSHED:
+        # The same as a filter, which reaches the source.
+        texts = texts.where(reduce(Column.__or__, [F.contains("text", F.lit(word)) for _, word in block], F.lit(False)))
     met = texts.select("text_id", "text", F.inline(F.filter(wanted, lambda w: F.contains(F.col("text"), w["pattern"]))))
     return met.select("text_id", "pattern_id", F.explode(scan_positions(F.col("text"), F.col("pattern"))).alias("pos"))
 
 
-def _seeds(q: int, block: int):
-    """One row per position of a text: a hash of the next ``q`` symbols and where its block lies."""
+def seed_filter(seeds: DataFrame, bits: int = FILTER) -> np.ndarray:
+    """A Bloom filter (one hash) of the column ``seed``, as words of 64 bits. Its size is fixed, so it may be sent to all workers; the more seeds, the more places pass."""
+    place = F.col("seed").bitwiseAND(F.lit(bits - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
+    words = np.zeros(bits // 64, np.uint64)
+    for batch in seeds.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow().to_batches():
+        words[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    return words
+
+
+def _seeds(q: int, block: int, shared):
+    """The positions of a text whose next ``q`` symbols may begin a pattern: their hash and where their block lies."""
     schema = pa.schema([("text_id", pa.int64()), ("block_no", pa.int64()), ("pos", pa.int64()), ("seed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = shared.value, [], 0
+        low = np.uint64(len(words) * 64 - 1)
+
+        def written() -> pa.RecordBatch:
+            own, *rest = zip(*held)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(own), *(pa.array(np.concatenate(c)) for c in rest)], schema=schema)
+
         for batch in batches:
-            for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for b in range(0, len(x) - q + 1, block):
-                    h = seed_hashes(x[b : b + block + q - 1], q)
-                    n = len(h)
-                    yield pa.RecordBatch.from_arrays([pa.array([t] * n, pa.int64()), pa.array(np.full(n, b // block)), pa.array(b + np.arange(n)), pa.array(h.view(np.int64))], schema=schema)
+            texts = batch.column(1).to_pylist()
+            at = 0
+            while at < len(texts):
+                # Short texts side by side, long ones block by block.
+                to, total = at, 0
+                while to < len(texts) and (to == at or total + len(texts[to]) <= block):
+                    total += len(texts[to])
+                    to += 1
+                size_of = np.array([len(x) for x in texts[at:to]])
+                whole = texts[at] if to == at + 1 else "".join(texts[at:to])
+                begin = np.cumsum(size_of) - size_of
+                for b in range(0, len(whole) - q + 1, block):
+                    h = seed_hashes(whole[b : b + block + q - 1], q)
+                    place = h & low
+                    hit = np.flatnonzero((words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                    own = np.searchsorted(begin, hit + b, "right") - 1
+                    pos = hit + b - begin[own]
+                    inside = pos + q <= size_of[own]
+                    hit, own, pos = hit[inside], own[inside], pos[inside]
+                    if len(hit):
+                        held.append((batch.column(0).take(pa.array(at + own)), pos // block, pos, h[hit].view(np.int64)))
+                        size += len(hit)
+                    if size >= ROWS:
+                        yield written()
+                        held, size = [], 0
+                at = to
+        if held:
+            yield written()
 
     return run
 
@@ -237,9 +301,16 @@ def _text_blocks(block: int, halo: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = range(0, max(1, len(x)), block)
-                yield pa.RecordBatch.from_arrays([pa.array([t] * len(at), pa.int64()), pa.array([b // block for b in at]), pa.array([x[b : b + block + halo] for b in at])], schema=schema)
+                for b in range(0, max(1, len(x)), block):
+                    rows.append((t, b // block, x[b : b + block + halo]))
+                    size += len(rows[-1][2])
+                    if size > 64 * block:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
@@ -247,7 +318,8 @@ def _text_blocks(block: int, halo: int):
 def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int = BLOCK) -> DataFrame:
     """Long patterns meet texts on the hash of their first ``q`` symbols and are then compared whole; the few short ones go by automaton.
 
-    A text is seen in blocks with a halo of the longest pattern, so the comparison never rescans a long text.
+    Only the places of a text that pass a filter of all seeds travel. A text is seen in blocks with a halo of the longest
+    pattern, so the comparison never rescans a long text.
     """
     patterns = patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct()
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
@@ -258,11 +330,13 @@ def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(h, np.uint64).view(np.int64))], names=["pattern_id", "pattern", "seed"])
 
     keyed = patterns.where(F.length("pattern") >= q).mapInArrow(hashed, "pattern_id bigint, pattern string, seed bigint")
-    places = texts.mapInArrow(_seeds(q, block), "text_id bigint, block_no bigint, pos bigint, seed bigint")
+    shared = texts.sparkSession.sparkContext.broadcast(seed_filter(keyed.select("seed")))
+    places = texts.mapInArrow(_seeds(q, block, shared), "text_id bigint, block_no bigint, pos bigint, seed bigint")
     near = places.join(keyed, "seed").select("text_id", "block_no", "pos", "pattern_id", "pattern")
-    parts = texts.mapInArrow(_text_blocks(block, longest), "text_id bigint, block_no bigint, part string")
+    parts = texts.mapInArrow(_text_blocks(block, longest), "text_id bigint, block_no bigint, part string").select(F.col("text_id").alias("_t"), F.col("block_no").alias("_b"), "part")
     here = F.substring("part", (F.col("pos") - F.col("block_no") * block + 1).cast("int"), F.length("pattern"))
-    long_hits = near.join(parts, ["text_id", "block_no"]).where(here == F.col("pattern")).select("text_id", "pattern_id", "pos")
+    same = F.col("text_id").eqNullSafe(F.col("_t")) & (F.col("block_no") == F.col("_b"))
+    long_hits = near.join(parts, same).where(here == F.col("pattern")).select("text_id", "pattern_id", "pos")
     return long_hits.union(over_blocks(texts, patterns.where(F.length("pattern") < q), _automaton))
 
 

@@ -8,6 +8,8 @@ Results for odd input are those of ``suffix``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,21 @@ def bwt_of_reverse(texts: DataFrame) -> DataFrame:
 
 def c_table(texts: DataFrame) -> DataFrame:
     """``text_id, code, c``: how many symbols of a text, the sentinel included, are smaller."""
-    return suffix_index(texts, "code", "c").distinct()
+    schema = pa.schema([("text_id", pa.int64()), ("code", pa.int32()), ("c", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for text in batch.column(1).to_pylist():
+                n = np.unique(symbols(text), return_counts=True)[1]
+                parts.append(np.concatenate(([0], 1 + np.cumsum(n) - n)))
+            size = [len(c) for c in parts]
+            if size:
+                owner = np.repeat(np.arange(len(size)), size)
+                code = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(code.astype(np.int32)), pa.array(np.concatenate(parts))], schema=schema)
+
+    return _texts(texts).mapInArrow(run, "text_id bigint, code int, c bigint").distinct()
 
 
 def o_table(texts: DataFrame) -> DataFrame:

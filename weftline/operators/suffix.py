@@ -19,6 +19,7 @@ rows as often; further columns are ignored. Texts must not hold NUL.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -230,7 +231,14 @@ def suffix_array(texts: DataFrame, strategy: str = "auto") -> DataFrame:
 
 
 def suffix_array_doubling(texts: DataFrame) -> DataFrame:
-    """Prefix doubling by joins: a round ranks pairs of ranks over the whole data by range partitions. ``text_id`` must be unique."""
+    """Prefix doubling by joins: a round ranks pairs of ranks over the whole data by range partitions. Every row of ``texts`` is ranked on its own."""
+    rows = cut(_texts(texts).withColumn("_row", F.monotonically_increasing_id()))
+    found = _doubled(rows.select(F.col("_row").alias("text_id"), "text"))
+    return found.withColumnRenamed("text_id", "_row").join(rows.select("_row", "text_id"), "_row").select("text_id", "rank", "pos")
+
+
+def _doubled(texts: DataFrame) -> DataFrame:
+    """``text_id, rank, pos`` of texts of which each has a ``text_id`` of its own."""
     chars = F.concat(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.struct(c.alias("c"))), F.array(F.struct(F.lit("").alias("c"))))
     now = _texts(texts).select("text_id", F.posexplode(chars).alias("pos", "s")).select("text_id", F.col("pos").cast("bigint").alias("pos"), F.col("s.c").alias("a"), F.lit(0).cast("bigint").alias("b"))
     k = 1
@@ -363,10 +371,16 @@ class Tree:
     def __init__(self, text: str, sa: np.ndarray, lcp: np.ndarray):
         self.text, self.sa = text, sa
         self.nodes = tree_nodes(sa, lcp)
-        self.children: list[dict[str, int]] = [{} for _ in self.nodes]
+
+    @cached_property
+    def children(self) -> list[dict[str, int]]:
+        """The children of every node by the symbol that leads there, the sentinel's as an empty string."""
+        out: list[dict[str, int]] = [{} for _ in self.nodes]
         for i, (lo, _, _, parent) in enumerate(self.nodes):
             if parent >= 0:
-                self.children[parent][text[sa[lo] + self.nodes[parent][2] :][:1]] = i
+                at = int(self.sa[lo]) + self.nodes[parent][2]
+                out[parent][self.text[at : at + 1]] = i
+        return out
 
     def edge(self, i: int) -> tuple[int, int]:
         """Where the label of the edge into a node stands in the text; the sentinel is at the text's length."""
@@ -411,12 +425,12 @@ def tree(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t, tree_ in _trees(batch):
-                rows = []
-                for i, (lo, hi, depth, parent) in enumerate(tree_.nodes):
-                    leaf = hi - lo == 1 and depth == len(tree_.text) + 1 - tree_.sa[lo]
-                    beg, end = tree_.edge(i)
-                    rows.append((t, i, parent if parent >= 0 else None, depth, beg, end, lo, hi, int(tree_.sa[lo]) if leaf else None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=list(_NODES))
+                lo, hi, depth, parent = np.array(tree_.nodes, np.int64).T
+                at, root = tree_.sa[lo], parent < 0
+                inner = (hi - lo > 1) | (depth != len(tree_.text) + 1 - at)
+                columns = [[t] * len(lo), np.arange(len(lo)), parent, depth, at + np.where(root, 0, depth[parent]), at + depth, lo, hi, at]
+                masks = [None, None, root, *[None] * 5, inner]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64(), mask=m) for c, m in zip(columns, masks)], names=list(_NODES))
 
     return _texts(texts).mapInArrow(run, ", ".join(f"{c} bigint" for c in _NODES))
 

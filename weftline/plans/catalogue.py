@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions import alphabets, bits, slices
 from weftline.functions.sequences import clean_seq
-from weftline.operators import approx, exact, fm, suffix
-from weftline.operators.mapping import map_reads
+from weftline.operators import approx, exact, fm, index, suffix
+from weftline.operators.mapping import map_files, map_reads, map_reads_approx
+from weftline.plans.lineage import scratch, stored
 from weftline.sources import raw_records
-from weftline.sources.sequence_files import fasta_records, fastq_records, placed, sam_line
+from weftline.sources.sequence_files import fasta_records, fastq_records, placed, read_fasta, read_fastq, read_sam, sam_line, write_fasta, write_fastq
 from weftline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +83,30 @@ def _located(s: SparkSession, d: str) -> DataFrame:
     return suffix.tree_locate(_parts(s, d), _words(s, TREE_WORDS)).select("text_id", "pattern_id", "matched", found.alias("found"), lo, hi)
 
 
+def _index(texts: DataFrame) -> DataFrame:
+    """The index of the texts as a written table."""
+    return stored(index.build_index(texts))
+
+
+def _fasta_files(s: SparkSession, d: str) -> str:
+    """The named records of the table, written as a folder of files."""
+    path = scratch(s)
+    write_fasta(fasta_records(table(s, d, "fasta")).where("name <> ''").repartition(5, "ord"), path)
+    return path
+
+
+def _fastq_files(s: SparkSession, d: str) -> str:
+    path = scratch(s)
+    write_fastq(fastq_records(table(s, d, "fastq")).where("name <> ''").repartition(7, "ord"), path)
+    return path
+
+
+def _mapped_files(s: SparkSession, d: str) -> DataFrame:
+    path = scratch(s)
+    map_files(s, "seed", _fasta_files(s, d), _fastq_files(s, d), path)
+    return read_sam(s, path)
+
+
 def queries() -> dict[str, Query]:
     return {
         # slices and buffers
@@ -97,7 +122,7 @@ def queries() -> dict[str, Query]:
         "buffer_append": lambda s, d: _reads(s, d).select("text_id", slices.append(_x(), F.lit("ACGT")).alias("more"), slices.append_at(_x(), 4, F.lit("TT")).alias("cut_more")),
         "text_length": lambda s, d: _pages(s, d).select("text_id", F.length(_x()).cast("bigint").alias("n"), F.octet_length(_x()).cast("bigint").alias("bytes")),
         # bit vectors
-        "bitvector_matches": lambda s, d: bits.from_positions(exact.exact_matches(_reads(s, d), _words(s, ("A",)), "scan").join(_reads(s, d), "text_id").withColumn("n", F.length("text").cast("bigint")), "text_id", "pos", "n").select("text_id", "no_bits", _codes(F.col("words")).alias("words")),
+        "bitvector_matches": lambda s, d: bits.from_positions(_reads(s, d).join(exact.exact_matches(_reads(s, d), _words(s, ("A",)), "scan"), "text_id", "left").withColumn("n", F.length("text").cast("bigint")), "text_id", "pos", "n").select("text_id", "no_bits", _codes(F.col("words")).alias("words")),
         "bitvector_words": lambda s, d: _flags(_reads(s, d)).select("text_id", "v.no_bits", _codes(F.col("v.words")).alias("words")),
         "bitvector_set": lambda s, d: _flags(_reads(s, d)).select("text_id", bits.get(F.col("v"), 7).alias("eighth"), bits.formatted(bits.put(bits.put(F.col("v"), 65, True), 0, False)).alias("shown"), bits.same(F.col("v"), bits.put(F.col("v"), 2, True)).alias("third_set")),
         "bitvector_clear": lambda s, d: _flags(_reads(s, d)).select("text_id", bits.formatted(bits.clear(F.col("v"))).alias("shown"), bits.same(bits.clear(F.col("v")), bits.zeros(F.length(_x()))).alias("zero")),
@@ -115,16 +140,20 @@ def queries() -> dict[str, Query]:
         "exact_multi_pattern": lambda s, d: exact.exact_matches(_sequences(s, d), _patterns(s, d)),
         "exact_seed": lambda s, d: exact.exact_matches(_sequences(s, d), _patterns(s, d), "seed"),
         "exact_missing": _missing,
+        "exact_find_pages": lambda s, d: exact.exact_matches(_pages(s, d), _words(s, ("qu", "ij")), "find"),
         "border_array": lambda s, d: exact.border_arrays(_patterns(s, d)).select("pattern_id", _codes(F.col("borders")).alias("borders")),
         "border_array_restricted": lambda s, d: exact.border_arrays(_patterns(s, d)).select("pattern_id", _codes(F.col("restricted")).alias("restricted")),
         # suffix structures
         "suffix_array": lambda s, d: suffix.suffix_array(_sequences(s, d)),
+        "suffix_array_doubling": lambda s, d: suffix.suffix_array(_parts(s, d), "doubling"),
         "suffix_array_inverse": lambda s, d: suffix.inverse_suffix_array(_reads(s, d)),
         "lcp_array": lambda s, d: suffix.lcp_array(_parts(s, d)),
         "sl_types": lambda s, d: suffix.suffix_types(_reads(s, d)),
         "lms_positions": lambda s, d: suffix.lms_positions(_reads(s, d)),
         "symbol_buckets": lambda s, d: suffix.symbol_buckets(_sequences(s, d)),
         "sa_search": lambda s, d: suffix.sa_search(_sequences(s, d), _patterns(s, d)),
+        "sa_search_indexed": lambda s, d: index.search_index(_index(_sequences(s, d)), _patterns(s, d), "sa"),
+        "st_search_indexed": lambda s, d: index.search_index(_index(_parts(s, d)), _words(s, TREE_WORDS), "tree"),
         "st_nodes": lambda s, d: suffix.tree(_parts(s, d)),
         "st_leaves": lambda s, d: suffix.tree_leaves(_parts(s, d)),
         "st_locate": _located,
@@ -137,17 +166,22 @@ def queries() -> dict[str, Query]:
         "lf_mapping": lambda s, d: fm.lf_mapping(_reads(s, d)),
         "bwt_inverse": lambda s, d: fm.inverse_bwt(fm.bwt(_sequences(s, d))),
         "fm_search": lambda s, d: fm.fm_search(_sequences(s, d), _patterns(s, d)).select("text_id", "pattern_id", "pos"),
+        "fm_search_indexed": lambda s, d: index.search_index(_index(_sequences(s, d)), _patterns(s, d), "fm"),
         "fm_index": lambda s, d: fm.fm_index(_parts(s, d)),
         # approximate matching
         "approx_d1": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 1),
         "approx_d2": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 2).select("text_id", "pattern_id", "pos", "cigar", "dist"),
         "approx_best": lambda s, d: approx.best_matches(_parts(s, d), _words(s, NEAR_WORDS), 2),
         "approx_motifs": lambda s, d: approx.approx_matches(_sequences(s, d), _patterns(s, d), 1),
+        "approx_indexed": lambda s, d: index.approx_index(_index(_sequences(s, d)), _patterns(s, d), 1),
         "cigar_encode": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 1).select("text_id", "pattern_id", "pos", "edits", approx.cigar(F.col("edits")).alias("cigar")),
         "d_table": lambda s, d: approx.needed_edits(_sequences(s, d), _patterns(s, d)).select("text_id", "pattern_id", _codes(F.col("needed")).alias("needed")),
         # sources, sinks and the tool
         "fasta_records": lambda s, d: fasta_records(table(s, d, "fasta")),
         "fastq_records": lambda s, d: fastq_records(table(s, d, "fastq")),
+        "fasta_files": lambda s, d: read_fasta(s, _fasta_files(s, d)).select("name", "seq"),
+        "fastq_files": lambda s, d: read_fastq(s, _fastq_files(s, d)).select("name", "seq", "qual"),
+        "map_files_sam": _mapped_files,
         "sam_lines": lambda s, d: table(s, d, "sam").select(sam_line().alias("line")),
         "sam_placed": lambda s, d: placed(table(s, d, "sam")),
         "read_mapping_sam": lambda s, d: map_reads(table(s, d, "fastq"), table(s, d, "fasta")),
@@ -239,22 +273,56 @@ def _values(words: tuple[str, ...]) -> str:
 
 
 def _near(d: int) -> str:
-    """All alignments, from the right, one edit a step."""
+    """All alignments, from the right."""
     return f"""
 WITH RECURSIVE {_PARTS}, {_values(NEAR_WORDS)},
+near AS (SELECT *, 0 AS beg, unnest(range(0, length(text) + 1)) AS j FROM t, p WHERE len(list_filter(string_split(pattern, ''), lambda c: NOT contains(text, c))) = 0),
+{_steps('near', d)}"""
+
+
+def _steps(begun: str, d: int) -> str:
+    """The alignments that end at given places ``j`` of a stretch of text from ``beg``, one edit a step."""
+    return f"""
 al AS (
-  SELECT text_id, pattern_id, text, pattern, length(pattern) AS i, j, 0 AS dist, '' AS edits
-  FROM (SELECT *, unnest(range(0, length(text) + 1)) AS j FROM t, p WHERE len(list_filter(string_split(pattern, ''), lambda c: NOT contains(text, c))) = 0)
+  SELECT text_id, pattern_id, text, beg, pattern, length(pattern) AS i, j, 0 AS dist, '' AS edits FROM {begun}
   UNION ALL
-  SELECT text_id, pattern_id, text, pattern, i - (op <> 'D')::INT, j - (op <> 'I')::INT, dist + step, edits || op
+  SELECT text_id, pattern_id, text, beg, pattern, i - (op <> 'D')::INT, j - (op <> 'I')::INT, dist + step, edits || op
   FROM (SELECT *, CASE WHEN op = 'M' THEN (substr(pattern, i, 1) <> substr(text, j, 1))::INT ELSE 1 END AS step
         FROM (SELECT *, unnest(['M', 'I', 'D']) AS op FROM al WHERE i > 0))
   WHERE dist + step <= {d} AND (op = 'I' OR j > 0) AND (op <> 'D' OR edits <> '')),
-runs AS (SELECT text_id, pattern_id, CAST(j AS BIGINT) AS pos, edits, dist FROM al WHERE i = 0),
+runs AS (SELECT text_id, pattern_id, CAST(beg + j AS BIGINT) AS pos, edits, dist FROM al WHERE i = 0),
 out AS (SELECT *, array_to_string(list_transform(regexp_extract_all(edits, 'M+|I+|D+'), lambda r: length(r) || left(r, 1)), '') AS cigar,
   array_to_string(list_transform(regexp_extract_all(reverse(edits), 'M+|I+|D+'), lambda r: length(r) || left(r, 1)), '') AS cigar_fwd FROM runs)"""
 
 
+_PLACED = """
+reads AS (SELECT DISTINCT ord, name AS qname, seq FROM q WHERE seq <> ''),
+seqs AS (SELECT ord, name AS rname, seq AS text FROM r WHERE seq <> ''),
+win AS (SELECT ord, rname, text, pos, substr(text, pos + 1, 20) AS k FROM (SELECT *, unnest(range(0, length(text) - 19)) AS pos FROM seqs WHERE length(text) >= 20)),
+hit AS (
+  SELECT qname, rname, pos, seq FROM reads JOIN win ON left(seq, 20) = k WHERE length(seq) >= 20 AND substr(text, pos + 1, length(seq)) = seq
+  UNION ALL SELECT qname, rname, pos, seq FROM (SELECT *, unnest(range(0, length(text) - length(seq) + 1)) AS pos FROM reads, seqs WHERE length(seq) < 20 AND contains(text, seq)) WHERE substr(text, pos + 1, length(seq)) = seq)
+SELECT qname, rname, CAST(pos + 1 AS INT) AS pos, length(seq) || 'M' AS cigar, seq FROM hit"""
+
+
+def _near_motifs() -> str:
+    """The same with one edit for the stored patterns, begun only near a verbatim half of a pattern, on the stretch of text before each end."""
+    return f"""
+WITH RECURSIVE {_SEQUENCES},
+half AS (
+  SELECT pattern_id, pattern, 0 AS a, length(pattern) // 2 AS b FROM patterns
+  UNION ALL SELECT pattern_id, pattern, length(pattern) // 2, length(pattern) FROM patterns),
+size AS (SELECT DISTINCT b - a AS m FROM half),
+win AS (SELECT text_id, text, pos, m, substr(text, pos + 1, m) AS w FROM (SELECT text_id, text, m, unnest(range(0, length(text) - m + 1)) AS pos FROM t, size WHERE length(text) >= m)),
+ends AS (
+  SELECT DISTINCT text_id, pattern_id, pattern, text, j FROM (
+    SELECT text_id, pattern_id, pattern, text, unnest(range(pos + length(pattern) - a - 1, pos + length(pattern) - a + 2)) AS j
+    FROM win JOIN half ON w = substr(pattern, a + 1, b - a))
+  WHERE j BETWEEN 0 AND length(text) AND len(list_filter(string_split(pattern, ''), lambda c: NOT contains(text, c))) = 0),
+near AS (SELECT text_id, pattern_id, pattern, j - greatest(0, j - length(pattern) - 1) AS j, greatest(0, j - length(pattern) - 1) AS beg, substr(text, greatest(0, j - length(pattern) - 1) + 1, j - greatest(0, j - length(pattern) - 1)) AS text FROM ends),
+{_steps('near', 1)}"""
+
+
 def oracle_sql() -> dict[str, str]:
     sub = lambda a, b: f"substr(text, {a} + 1, greatest(0, {b} - {a}))"
     n = "length(text)"
@@ -272,8 +340,9 @@ def oracle_sql() -> dict[str, str]:
         "text_length": f"WITH {_PAGES} SELECT text_id, CAST({n} AS BIGINT) AS n, CAST(strlen(text) AS BIGINT) AS bytes FROM t",
         "bitvector_matches": f"""WITH {_READS}, {_hits('A')},
             w AS (SELECT text_id, pos // 64 AS w, CAST(sum(CASE WHEN pos % 64 = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(pos % 64 AS INT) END) AS BIGINT) AS word FROM hits GROUP BY ALL),
-            every AS (SELECT DISTINCT text_id, CAST(length(text) AS BIGINT) AS no_bits, unnest(range(0, (length(text) + 63) // 64)) AS w FROM t WHERE text_id IN (SELECT text_id FROM hits))
-            SELECT text_id, no_bits, string_agg(CAST(coalesce(word, 0) AS VARCHAR), ',' ORDER BY w) AS words FROM every LEFT JOIN w USING (text_id, w) GROUP BY text_id, no_bits""",
+            every AS (SELECT DISTINCT text_id, CAST(length(text) AS BIGINT) AS no_bits, unnest(range(0, (length(text) + 63) // 64)) AS w FROM t),
+            joined AS (SELECT text_id, string_agg(CAST(coalesce(word, 0) AS VARCHAR), ',' ORDER BY w) AS words FROM every LEFT JOIN w USING (text_id, w) GROUP BY text_id)
+            SELECT text_id, CAST(length(text) AS BIGINT) AS no_bits, coalesce(words, '') AS words FROM t LEFT JOIN joined USING (text_id)""",
         "bitvector_words": f"""WITH {_READS}, {_hits('A')},
             w AS (SELECT text_id, pos // 64 AS w, CAST(sum(CASE WHEN pos % 64 = 63 THEN -9223372036854775808 ELSE CAST(1 AS BIGINT) << CAST(pos % 64 AS INT) END) AS BIGINT) AS word FROM hits GROUP BY ALL),
             every AS (SELECT text_id, unnest(range(0, (length(text) + 63) // 64)) AS w FROM t),
@@ -294,9 +363,11 @@ def oracle_sql() -> dict[str, str]:
         "exact_multi_pattern": f"WITH {_SEQUENCES}, {_MATCHES} SELECT * FROM met",
         "exact_seed": f"WITH {_SEQUENCES}, {_MATCHES} SELECT * FROM met",
         "exact_missing": f"WITH {_SEQUENCES}, {_MATCHES} SELECT * FROM met EXCEPT SELECT text_id, pattern_id, pos FROM exact_matches",
+        "exact_find_pages": f"WITH {_PAGES}, {_hits('qu')}, {_hits('ij').replace('hits AS', 'more AS')} SELECT text_id, CAST(0 AS BIGINT) AS pattern_id, pos FROM hits UNION ALL SELECT text_id, CAST(1 AS BIGINT), pos FROM more",
         "border_array": "SELECT pattern_id, array_to_string(list_transform(range(1, length(pattern) + 1), lambda i: list_max(list_filter(range(0, i), lambda k: left(pattern, k) = right(left(pattern, i), k)))), ',') AS borders FROM patterns",
         "border_array_restricted": "SELECT pattern_id, array_to_string(list_transform(range(1, length(pattern) + 1), lambda i: list_max(list_filter(range(0, i), lambda k: k = 0 OR left(pattern, k) = right(left(pattern, i), k) AND (i = length(pattern) OR substr(pattern, k + 1, 1) <> substr(pattern, i + 1, 1))))), ',') AS restricted FROM patterns",
         "suffix_array": f"WITH {_SEQUENCES}, {_RANKS} SELECT text_id, rank, pos FROM sa",
+        "suffix_array_doubling": f"WITH {_PARTS}, {_RANKS} SELECT text_id, rank, pos FROM sa",
         "suffix_array_inverse": f"WITH {_READS}, {_RANKS} SELECT text_id, pos, rank FROM sa",
         "lcp_array": f"""WITH {_PARTS}, {_RANKS}, pair AS (SELECT text_id, rank, suffix, coalesce(lag(suffix) OVER (PARTITION BY text_id ORDER BY rank), '') AS before FROM sa)
             SELECT text_id, rank, CAST(list_max(list_filter(range(0, least(length(suffix), length(before)) + 1), lambda k: left(suffix, k) = left(before, k))) AS BIGINT) AS lcp FROM pair""",
@@ -307,6 +378,8 @@ def oracle_sql() -> dict[str, str]:
             e AS (SELECT text_id, code, n, CAST(sum(n) OVER (PARTITION BY text_id ORDER BY code) AS BIGINT) AS bucket_end FROM n)
             SELECT text_id, code, n, bucket_end - n AS bucket_beg, bucket_end FROM e""",
         "sa_search": f"WITH {_SEQUENCES}, {_RANKS}, {_MATCHES} SELECT text_id, pattern_id, rank, pos FROM met JOIN sa USING (text_id, pos)",
+        "sa_search_indexed": f"WITH {_SEQUENCES}, {_RANKS}, {_MATCHES} SELECT text_id, pattern_id, rank, pos FROM met JOIN sa USING (text_id, pos)",
+        "st_search_indexed": f"WITH {_PARTS}, {_values(TREE_WORDS)}, {_RANKS} SELECT text_id, pattern_id, rank, pos FROM sa, p WHERE starts_with(suffix, pattern)",
         "st_nodes": f"""WITH {_PARTS}, {_NODES} SELECT num.text_id, num.node_id, parent_id, CAST(depth AS BIGINT) AS depth, CAST(sa.pos + coalesce(above, 0) AS BIGINT) AS edge_beg, CAST(sa.pos + depth AS BIGINT) AS edge_end, sa_lo, sa_hi, CAST(leaf_pos AS BIGINT) AS leaf_pos
             FROM num JOIN up ON up.text_id = num.text_id AND up.node_id = num.node_id JOIN sa ON sa.text_id = num.text_id AND sa.rank = sa_lo""",
         "st_leaves": f"WITH {_PARTS}, {_RANKS} SELECT text_id, rank, pos FROM sa",
@@ -324,10 +397,13 @@ def oracle_sql() -> dict[str, str]:
         "lf_mapping": f"WITH {_READS}, {_RANKS}, longer AS (SELECT text_id, pos - 1 AS before, rank FROM sa) SELECT l.text_id, l.rank, sa.rank AS lf FROM longer l JOIN t USING (text_id) JOIN sa ON sa.text_id = l.text_id AND sa.pos = CASE WHEN before < 0 THEN length(text) ELSE before END",
         "bwt_inverse": f"WITH {_SEQUENCES} SELECT text_id, text FROM t",
         "fm_search": f"WITH {_SEQUENCES}, {_MATCHES} SELECT * FROM met",
+        "fm_search_indexed": f"WITH {_SEQUENCES}, {_RANKS}, {_MATCHES} SELECT text_id, pattern_id, rank, pos FROM met JOIN sa USING (text_id, pos)",
         "fm_index": f"WITH {_PARTS}, {_BWT} SELECT text_id, rank, pos, code, ch, occ, c FROM os JOIN cs USING (text_id, code)",
         "approx_d1": f"{_near(1)} SELECT text_id, pattern_id, pos, edits, cigar, cigar_fwd, CAST(dist AS INT) AS dist FROM out",
         "approx_d2": f"{_near(2)} SELECT text_id, pattern_id, pos, cigar, CAST(dist AS INT) AS dist FROM out",
         "approx_best": f"{_near(2)}, n AS (SELECT text_id, pattern_id, CAST(dist AS INT) AS dist, count(*) AS n, min(min(dist)) OVER (PARTITION BY text_id, pattern_id) AS least FROM out GROUP BY text_id, pattern_id, dist) SELECT text_id, pattern_id, dist, n FROM n WHERE dist = least",
+        "approx_motifs": f"{_near_motifs()} SELECT text_id, pattern_id, pos, edits, cigar, cigar_fwd, CAST(dist AS INT) AS dist FROM out",
+        "approx_indexed": f"{_near_motifs()} SELECT text_id, pattern_id, pos, edits, cigar, cigar_fwd, CAST(dist AS INT) AS dist FROM out",
         "cigar_encode": f"{_near(1)} SELECT text_id, pattern_id, pos, edits, cigar FROM out",
         "d_table": f"""
 WITH RECURSIVE {_SEQUENCES},
@@ -339,17 +415,12 @@ walk AS (
 SELECT text_id, pattern_id, array_to_string(needed, ',') AS needed FROM walk WHERE i = length(pattern)""",
         "fasta_records": _FASTA,
         "fastq_records": _FASTQ,
+        "fasta_files": f"SELECT name, coalesce(seq, '') AS seq FROM ({_FASTA}) WHERE name <> ''",
+        "fastq_files": f"SELECT name, coalesce(seq, '') AS seq, coalesce(qual, '') AS qual FROM ({_FASTQ}) WHERE name <> ''",
         "sam_lines": "SELECT concat_ws(chr(9), coalesce(qname, '*'), coalesce(rname, '*'), coalesce(pos, 0), coalesce(cigar, '*'), coalesce(seq, '*')) AS line FROM sam",
         "sam_placed": "SELECT DISTINCT * FROM sam WHERE qname IS NOT NULL AND rname <> '*' AND pos > 0 AND cigar <> '*'",
-        "read_mapping_sam": f"""
-WITH q AS ({_FASTQ}), r AS ({_FASTA}),
-reads AS (SELECT DISTINCT ord, name AS qname, seq FROM q WHERE seq <> ''),
-seqs AS (SELECT ord, name AS rname, seq AS text FROM r WHERE seq <> ''),
-win AS (SELECT ord, rname, text, pos, substr(text, pos + 1, 20) AS k FROM (SELECT *, unnest(range(0, length(text) - 19)) AS pos FROM seqs WHERE length(text) >= 20)),
-hit AS (
-  SELECT qname, rname, pos, seq FROM reads JOIN win ON left(seq, 20) = k WHERE length(seq) >= 20 AND substr(text, pos + 1, length(seq)) = seq
-  UNION ALL SELECT qname, rname, pos, seq FROM (SELECT *, unnest(range(0, length(text) - length(seq) + 1)) AS pos FROM reads, seqs WHERE length(seq) < 20 AND contains(text, seq)) WHERE substr(text, pos + 1, length(seq)) = seq)
-SELECT qname, rname, CAST(pos + 1 AS INT) AS pos, length(seq) || 'M' AS cigar, seq FROM hit""",
+        "read_mapping_sam": f"WITH q AS ({_FASTQ}), r AS ({_FASTA}), {_PLACED}",
+        "map_files_sam": f"WITH q AS (SELECT * FROM ({_FASTQ}) WHERE name <> ''), r AS (SELECT * FROM ({_FASTA}) WHERE name <> ''), {_PLACED}",
         "p4_found": f"""
 WITH {_parsed()}
 SELECT raw_id, CASE WHEN t IS NULL OR NOT regexp_full_match(t, '{_ROW}') THEN 'quoting' WHEN raw_id NOT IN (SELECT raw_id FROM cut) THEN 'columns' ELSE 'value' END AS reason

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in a folder of its own below the shared folder, and read from there."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder; later plans read it from there."""
     checkpoint_dir(df.sparkSession)
