@@ -13,7 +13,8 @@ SCHEMA = "ord bigint, name string, seq string, piece string, block_no int"
 def rows():
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("ACGTacgt \t\r\n") for _ in range(n))
-    out = [(1, "a", None), (2, "b", ""), (3, "c", " \n"), (4, "d", "ACGT"), (5, "e", "N" * 9000), (6, "f", word(12000)), (None, "n", word(5000))]
+    # Two records without a number are two records.
+    out = [(None, "m", word(2500) + "N" * 20), (1, "a", None), (2, "b", ""), (3, "c", " \n"), (4, "d", "ACGT"), (5, "e", "N" * 9000), (6, "f", word(12000)), (None, "n", word(5000))]
     for i in range(10, 22):
         out.append((i, "g", "".join(word(rng.randint(1, 900)) + rng.choice("NnXR-.é") * rng.choice([1, 5, 9, 10, 11, 60, 1500]) for _ in range(12))))
     return [(*r, "x", 1) for r in [*out, out[-1], out[5]]]
@@ -38,9 +39,9 @@ def test_gaps(spark, rows, block):
 @pytest.mark.parametrize("block", [700, 1 << 16])
 def test_pieces(spark, rows, block):
     by = {}
-    for r in split.pieces(spark.createDataFrame(rows, SCHEMA), block=block).collect():
+    for r in split.pieces(spark.createDataFrame(rows, SCHEMA).where("ord IS NOT NULL OR name = 'n'"), block=block).collect():
         by.setdefault(r.ord, []).append(r)
-    texts = {r[0]: clean(r[2]) for r in rows if r[2] is not None and clean(r[2])}
+    texts = {r[0]: clean(r[2]) for r in rows if r[2] is not None and clean(r[2]) and r[1] != "m"}
     assert set(by) == set(texts)
     for o, text in texts.items():
         got = sorted(by[o], key=lambda r: r.piece_no)
@@ -55,6 +56,13 @@ def test_pieces(spark, rows, block):
                 assert r.at_gap == bool(reach) and r.piece_end == (max(reach) if reach else r.piece_beg + 2000)
 
 
+def test_records_without_a_number(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).where("ord IS NULL")
+    got = split.pieces(df.union(df)).collect()
+    want = {clean(r[2])[:10] for r in rows if r[0] is None}
+    assert {r.piece[:10] for r in got if r.piece_no == 0} == want and sum(r.piece_no == 0 for r in got) == 2
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert split.gaps(none).count() == split.pieces(none).count() == 0

@@ -74,6 +74,17 @@ part AS (SELECT ord, unnest(regexp_extract_all(s, '[ACGT]+|[^ACGT]+')) AS piece,
 cuts AS (SELECT ord, piece, sum(length(piece)) OVER (PARTITION BY ord ORDER BY i) AS e FROM part),
 gap AS (SELECT ord, CAST(e - length(piece) AS BIGINT) AS gap_beg, CAST(e AS BIGINT) AS gap_end FROM cuts WHERE length(piece) >= 10 AND regexp_matches(piece, '^[^ACGT]'))
 SELECT * FROM gap UNION ALL SELECT ord, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM long WHERE ord NOT IN (SELECT ord FROM gap)""",
+        "p1_pieces": f"""
+WITH RECURSIVE {_FASTA},
+part AS (SELECT ord, unnest(regexp_extract_all(s, '[ACGT]+|[^ACGT]+')) AS piece, generate_subscripts(regexp_extract_all(s, '[ACGT]+|[^ACGT]+'), 1) AS i FROM rec),
+cuts AS (SELECT ord, piece, sum(length(piece)) OVER (PARTITION BY ord ORDER BY i) AS e FROM part),
+gap AS (SELECT ord, list({{'b': e - length(piece), 'e': e}}) AS g FROM cuts WHERE length(piece) >= 10 AND regexp_matches(piece, '^[^ACGT]') GROUP BY ord),
+walk AS (
+  SELECT ord, length(s) AS n, coalesce(g, []) AS g, -1 AS no, 0 AS beg, 100 AS fin, false AS at_gap FROM rec LEFT JOIN gap USING (ord) WHERE s <> ''
+  UNION ALL
+  SELECT ord, n, g, no + 1, b, CASE WHEN b + 2000 >= n THEN n WHEN stop > b + 100 THEN stop ELSE b + 2000 END, b + 2000 < n AND stop > b + 100
+  FROM (SELECT *, fin - 100 AS b, coalesce(list_max(list_transform(list_filter(g, lambda x: x.b <= fin + 1900), lambda x: least(x.e, fin + 1900))), -1)::BIGINT AS stop FROM walk WHERE no < 0 OR fin < n))
+SELECT ord, CAST(no AS BIGINT) AS piece_no, CAST(beg AS BIGINT) AS piece_beg, CAST(fin AS BIGINT) AS piece_end, at_gap, substr(s, beg + 1, fin - beg) AS piece FROM walk JOIN rec USING (ord) WHERE no >= 0""",
         "p2_found": f"WITH {_SPANS} SELECT ord, CAST(span_beg AS BIGINT) AS span_beg, CAST(span_end AS BIGINT) AS span_end FROM span",
         "p2_shared": f"""
 WITH {_SPANS},

@@ -1,16 +1,18 @@
 """Problem 1: cutting oversized sequences into overlapping pieces at gaps.
 
-A sequence is handled as byte ranges (blocks). For each block a worker finds
-the runs of symbols other than A, C, G, T and its clean length; these boundary
-tables are small. Runs that touch at block edges are stitched, clean lengths
-are summed to offsets, pieces are planned on the boundary tables alone, and
-every piece is emitted by offset from the block in which it begins: a block
-carries a halo of as many following symbols as a piece may have. No step after
-the scan holds a whole sequence.
+A sequence is handled as byte ranges (blocks), one row each, which are spread over
+all workers; a row carries the clean symbols of its range and a halo of those
+that follow, as many as a piece may have. For each range a worker finds the runs
+of symbols other than A, C, G, T and the clean length; these boundary tables are
+small. Runs that touch at the edges of ranges are stitched and clean lengths are
+summed to offsets, record by record (``_stitched``): gaps come from there, and
+pieces are planned there on the boundaries alone. Every piece is then emitted by
+offset from the range in which it begins. No step after the ranges are cut holds
+a whole sequence.
 
 Results for odd input: null sequences take no part; empty ones have no piece;
-redelivered rows (same ``ord``) count once; null ``ord`` counts as one record;
-further columns are ignored.
+redelivered rows (same ``ord``) count once; rows with a null ``ord`` are records
+of their own, equal ones once; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,13 +21,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import clean, symbols
 
 LIMIT, OVERLAP, MIN_GAP, BLOCK = 2000, 100, 10, 1 << 16
-BOUNDARY = "ord bigint, block_no bigint, clean_len bigint, run_beg array<bigint>, run_end array<bigint>"
+BATCH = 1 << 24
 _ACGT = np.zeros(128, bool)
 _ACGT[[ord(c) for c in "ACGT"]] = True
 
@@ -38,45 +40,121 @@ def foreign_runs(text: str) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def _boundaries(min_gap: int, block: int):
-    schema = pa.schema([("ord", pa.int64()), ("block_no", pa.int64()), ("clean_len", pa.int64()), ("run_beg", pa.list_(pa.int64())), ("run_end", pa.list_(pa.int64()))])
+_RANGES = pa.schema([("ord", pa.int64()), ("own", pa.int64()), ("block_no", pa.int64()), ("clean_len", pa.int64()), ("text", pa.string())])
 
+
+def _cut(halo: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for o, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for b in range(0, max(1, len(seq)), block):
-                    part = clean(seq[b : b + block])
-                    beg, end = foreign_runs(part)
-                    keep = (end - beg >= min_gap) | (beg == 0) | (end == len(part))
-                    rows.append((o, b // block, len(part), beg[keep].tolist(), end[keep].tolist()))
+            rows, size = [], 0
+            for i, (o, own) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                raw = memoryview(batch.column(2)[i].as_buffer())
+                n = len(raw)
+
+                def part(beg: int, end: int) -> tuple[str, int]:
+                    """Clean symbols of a byte range that ends at the next whole symbol, and that end."""
+                    while end < n and raw[end] & 0xC0 == 0x80:
+                        end += 1
+                    return clean(str(raw[beg:end], "utf-8")), min(end, n)
+
+                beg, block_no = 0, 0
+                while beg < n or block_no == 0:
+                    text, end = part(beg, min(n, beg + block))
+                    after, at = "", end
+                    while len(after) < halo and at < n:
+                        more, at = part(at, min(n, at + halo))
+                        after += more
+                    rows.append((o, own, block_no, len(text), text + after[:halo]))
+                    size += len(rows[-1][4])
+                    beg, block_no = end, block_no + 1
+                    if size > BATCH:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RANGES)], schema=_RANGES)
+                        rows, size = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _RANGES)], schema=_RANGES)
 
     return run
 
 
-def boundary_table(records: DataFrame, min_gap: int = MIN_GAP, block: int = BLOCK) -> DataFrame:
-    """One row per record and block, with its offset in the clean sequence and the record's clean length (``beg``, ``total``)."""
-    found = records.select("ord", "seq").where("seq IS NOT NULL").mapInArrow(_boundaries(min_gap, block), BOUNDARY).dropDuplicates(["ord", "block_no"])
-    w = Window.partitionBy("ord").orderBy("block_no")
-    before = F.coalesce(F.sum("clean_len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.withColumn("beg", before).withColumn("total", F.sum("clean_len").over(Window.partitionBy("ord")))
+def ranges(records: DataFrame, halo: int, block: int = BLOCK) -> DataFrame:
+    """``ord, own, block_no, clean_len, text``: the byte ranges of all records, spread over the workers, each once; ``own`` tells records without ``ord`` apart."""
+    own = F.when(F.col("ord").isNull(), F.xxhash64("seq")).otherwise(F.lit(0).cast("bigint"))
+    cut = records.where("seq IS NOT NULL").select("ord", own.alias("own"), "seq").mapInArrow(_cut(halo, block), "ord bigint, own bigint, block_no bigint, clean_len bigint, text string")
+    return cut.repartition("ord", "own", "block_no").distinct()
+
+
+_BOUNDS = pa.schema([("ord", pa.int64()), ("own", pa.int64()), ("block_no", pa.int64()), ("clean_len", pa.int64()), ("run_beg", pa.list_(pa.int64())), ("run_end", pa.list_(pa.int64()))])
+
+
+def _boundaries(min_gap: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[list[int], list[int]]] = []
+            for n, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                beg, end = foreign_runs(text[:n])
+                keep = (end - beg >= min_gap) | (beg == 0) | (end == n)
+                found.append((beg[keep].tolist(), end[keep].tolist()))
+            runs = [pa.array(c, pa.list_(pa.int64())) for c in zip(*found)] if found else [pa.array([], pa.list_(pa.int64()))] * 2
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *runs], schema=_BOUNDS)
+
+    return run
+
+
+def boundary_table(ranges_: DataFrame, min_gap: int = MIN_GAP) -> DataFrame:
+    """The runs and the clean length of every range, in order and together by record."""
+    table = ranges_.mapInArrow(_boundaries(min_gap), "ord bigint, own bigint, block_no bigint, clean_len bigint, run_beg array<bigint>, run_end array<bigint>")
+    return table.repartition("ord", "own").sortWithinPartitions("ord", "own", "block_no")
+
+
+def _stitched(batches: Iterator[pa.RecordBatch], min_gap: int) -> Iterator[tuple[int | None, int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of every record ``ord, own``, the offsets of its ranges, the begins and ends of its gaps, and its clean length."""
+
+    def whole(key: tuple, lengths: list[int], begs: list[list[int]], ends: list[list[int]]):
+        starts = np.cumsum([0, *lengths])
+        beg, end = (np.concatenate([np.array(r, np.int64) + s for r, s in zip(runs, starts)]) for runs in (begs, ends))
+        if len(beg):
+            first = np.concatenate(([True], beg[1:] != end[:-1]))
+            beg, end = beg[first], end[np.concatenate((first[1:], [True]))]
+            keep = end - beg >= min_gap
+            beg, end = beg[keep], end[keep]
+        return *key, starts[:-1], beg, end, int(starts[-1])
+
+    key, held = None, ([], [], [])
+    for batch in batches:
+        for o, own, _, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            if (o, own) != key:
+                if key is not None:
+                    yield whole(key, *held)
+                key, held = (o, own), ([], [], [])
+            for column, value in zip(held, row):
+                column.append(value)
+    if key is not None:
+        yield whole(key, *held)
+
+
+ROWS = 1 << 16
+
+
+def _gap_rows(limit: int, min_gap: int):
+    schema = pa.schema([(c, pa.int64()) for c in ("ord", "gap_beg", "gap_end")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for o, _, _, beg, end, total in _stitched(batches, min_gap):
+            if total > limit:
+                rows += [(o, b, e) for b, e in zip(beg.tolist(), end.tolist())] or [(o, -1, -1)]
+            if len(rows) > ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=schema)
+
+    return run
 
 
 def gaps(records: DataFrame, limit: int = LIMIT, min_gap: int = MIN_GAP, block: int = BLOCK) -> DataFrame:
     """``ord, gap_beg, gap_end`` of every gap of the records longer than ``limit``; -1, -1 for one without a gap."""
-    table = boundary_table(records, min_gap, block).where(F.col("total") > limit)
-    runs = table.select("ord", F.inline_outer(F.arrays_zip(F.transform("run_beg", lambda x: x + F.col("beg")).alias("b"), F.transform("run_end", lambda x: x + F.col("beg")).alias("e"))))
-    # Runs that touch at a block edge are one run. A record's row without runs stays, with nulls, and sorts first.
-    w = Window.partitionBy("ord").orderBy("b")
-    new = runs.withColumn("new", F.when(F.col("b") == F.lag("e").over(w), 0).otherwise(1))
-    run = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = run.groupBy("ord", "run").agg(F.min("b").alias("b"), F.max("e").alias("e"))
-    is_gap = F.col("e") - F.col("b") >= min_gap
-    marked = whole.select("ord", F.when(is_gap, F.col("b")).otherwise(-1).alias("gap_beg"), F.when(is_gap, F.col("e")).otherwise(-1).alias("gap_end"))
-    some = marked.withColumn("some", F.max("gap_end").over(Window.partitionBy("ord")))
-    return some.where("gap_end >= 0 OR some < 0").select("ord", "gap_beg", "gap_end").distinct()
+    return boundary_table(ranges(records, 0, block), min_gap).mapInArrow(_gap_rows(limit, min_gap), "ord bigint, gap_beg bigint, gap_end bigint")
 
 
 def cut_points(total: int, beg: np.ndarray, end: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
@@ -94,41 +172,20 @@ def cut_points(total: int, beg: np.ndarray, end: np.ndarray, limit: int, overlap
 
 
 def _plan(limit: int, overlap: int, min_gap: int):
-    schema = pa.schema([(c, pa.int64()) for c in ("ord", "block_no", "piece_no", "piece_beg", "piece_end", "at")] + [("at_gap", pa.bool_())])
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block_no")
-        starts = table.column("beg").to_numpy()
-        beg, end = (np.concatenate([np.asarray(r, np.int64) + s for r, s in zip(table.column(c).to_pylist(), starts)]) for c in ("run_beg", "run_end"))
-        if len(beg):
-            first = np.concatenate(([True], beg[1:] != end[:-1]))
-            beg, end = beg[first], end[np.concatenate((first[1:], [True]))]
-            keep = end - beg >= min_gap
-            beg, end = beg[keep], end[keep]
-        pieces = cut_points(int(table.column("total")[0].as_py()), beg, end, limit, overlap)
-        p = np.array([x[:2] for x in pieces], np.int64).reshape(-1, 2)
-        row = np.searchsorted(starts, p[:, 0], "right") - 1
-        n = len(p)
-        return pa.table([pa.array([table.column("ord")[0].as_py()] * n, pa.int64()), table.column("block_no").to_numpy()[row], np.arange(n), p[:, 0], p[:, 1], p[:, 0] - starts[row], pa.array([x[2] for x in pieces], pa.bool_())], schema=schema)
-
-    return run
-
-
-def _texts(limit: int, block: int):
-    schema = pa.schema([("ord", pa.int64()), ("block_no", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([(c, pa.int64()) for c in ("ord", "own", "block_no", "piece_no", "piece_beg", "piece_end", "at")] + [("at_gap", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for o, seq in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        rows: list[tuple] = []
+        for o, own, starts, beg, end, total in _stitched(batches, min_gap):
+            found = cut_points(total, beg, end, limit, overlap)
+            # The last range that begins at or before the piece; ranges without symbols share their begin with the next.
+            inside = np.searchsorted(starts, [p[0] for p in found], "right") - 1
+            rows += [(o, own, k, i, b, e, b - int(starts[k]), g) for i, (k, (b, e, g)) in enumerate(zip(inside.tolist(), found))]
+            if len(rows) > ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 rows = []
-                for b in range(0, len(seq), block):
-                    text, halo, at = clean(seq[b : b + block]), "", b + block
-                    while len(halo) < limit and at < len(seq):
-                        halo += clean(seq[at : at + limit])
-                        at += limit
-                    rows.append((o, b // block, text + halo[:limit]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     return run
 
@@ -140,10 +197,10 @@ def pieces(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, min_g
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than limit")
-    schema = "ord bigint, block_no bigint, piece_no bigint, piece_beg bigint, piece_end bigint, at bigint, at_gap boolean"
-    plan = boundary_table(records, min_gap, block).groupBy("ord").applyInArrow(_plan(limit, overlap, min_gap), schema)
-    texts = records.select("ord", "seq").where("seq IS NOT NULL").mapInArrow(_texts(limit, block), "ord bigint, block_no bigint, text string")
-    texts = texts.repartition("ord", "block_no").distinct()
-    same = plan["ord"].eqNullSafe(texts["ord"]) & (plan["block_no"] == texts["block_no"])
+    all_ranges = ranges(records, limit, block)
+    schema = "ord bigint, own bigint, block_no bigint, piece_no bigint, piece_beg bigint, piece_end bigint, at bigint, at_gap boolean"
+    plan = boundary_table(all_ranges, min_gap).mapInArrow(_plan(limit, overlap, min_gap), schema)
+    texts = all_ranges.select(F.col("ord").alias("_o"), F.col("own").alias("_w"), F.col("block_no").alias("_b"), "text")
+    same = F.col("ord").eqNullSafe(F.col("_o")) & (F.col("own") == F.col("_w")) & (F.col("block_no") == F.col("_b"))
     size = F.col("piece_end") - F.col("piece_beg")
-    return plan.join(texts, same).select(plan["ord"], "piece_no", "piece_beg", "piece_end", "at_gap", F.substring("text", (F.col("at") + 1).cast("int"), size.cast("int")).alias("piece"))
+    return plan.join(texts, same).select("ord", "piece_no", "piece_beg", "piece_end", "at_gap", F.substring("text", (F.col("at") + 1).cast("int"), size.cast("int")).alias("piece"))
