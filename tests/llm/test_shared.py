@@ -38,12 +38,25 @@ def rows():
     return [(o, f"n{o}", s, 0, 0) for o, s in [*out, out[0], out[3]]]
 
 
-def test_spans(spark, rows, monkeypatch):
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = [tuple(r) for r in shared.shared_spans(df).collect()]
+@pytest.mark.parametrize("slot_bands, parts", [(1 << 18, 1), (5, 1), (5, 9), (1 << 18, 30)])
+def test_spans(spark, rows, slot_bands, parts):
+    """Whatever records meet in one worker, and however many slots there are."""
+    df = spark.createDataFrame(rows, SCHEMA).repartition(parts)
+    got = [tuple(r) for r in shared.shared_spans(df, slot_bands).collect()]
     assert set(got) == brute(rows) and len(got) == len(set(got))
 
 
+def test_hot_bands_travel_twice(rows):
+    """Bands with the same symbols in many records of a worker: all runs are known, two bands of different records travel."""
+    text = clean(rows[0][2])
+    held = [(k, np.full(len(k), o, np.int64), *rest) for o in range(50) for k, *rest in [shared.band_rows(text)]]
+    one = len(held[0][0])
+    bands, known = shared._split_by_copies(shared._masked(tuple(map(np.concatenate, zip(*held)))))
+    assert len(known[0]) == 50 * one and len(bands[0]) == 2 * one and set(bands[1].tolist()) == {0, 49}
+    bands, known = shared._split_by_copies(shared._masked(held[0]))
+    assert len(known[0]) == 0 and len(bands[0]) == one
+
+
 def test_blocks(rows):
     text = clean(rows[0][2])
     whole = {(int(p) + i, k) for k, p, n in zip(*(x.tolist() for x in shared.band_rows(text)[:3])) for i in range(n)}

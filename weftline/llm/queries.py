@@ -18,7 +18,7 @@ def queries() -> dict[str, Query]:
         "p1_found": lambda s, d: split.gaps(table(s, d, "fasta")),
         "p1_pieces": lambda s, d: split.pieces(table(s, d, "fasta")),
         "p2_found": lambda s, d: shared.shared_spans(table(s, d, "fasta")),
-        "p2_shared": lambda s, d: shared.shared_parts(table(s, d, "fasta")).select("ord", "name", "clean_len", "shared_len", F.size("spans").alias("n_spans")),
+        "p2_shared": lambda s, d: shared.shared_parts(table(s, d, "fasta")).select("ord", "name", "clean_len", "shared_len", "shared_part", F.size("spans").alias("n_spans"), F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["span_beg"].cast("string"), x["span_end"].cast("string"))), ",").alias("spans")),
         "p3_found": lambda s, d: neardup.record_pairs(table(s, d, "fastq")),
         "p3_groups": lambda s, d: neardup.groups(table(s, d, "fastq")),
         "p5_found": lambda s, d: terms.marked_terms(table(s, d, "fastq")).where("mark IS NOT NULL").select("term", "mark"),
@@ -89,8 +89,8 @@ SELECT ord, CAST(no AS BIGINT) AS piece_no, CAST(beg AS BIGINT) AS piece_beg, CA
         "p2_shared": f"""
 WITH {_SPANS},
 every AS (SELECT DISTINCT ord, name, CAST(length({_CLEAN}) AS BIGINT) AS clean_len FROM fasta),
-part AS (SELECT ord, sum(span_end - span_beg) AS shared_len, count(*) AS n_spans FROM span GROUP BY ord)
-SELECT ord, name, clean_len, CAST(coalesce(shared_len, 0) AS BIGINT) AS shared_len, CAST(coalesce(n_spans, 0) AS INT) AS n_spans FROM every LEFT JOIN part USING (ord)""",
+part AS (SELECT ord, sum(span_end - span_beg) AS shared_len, count(*) AS n_spans, string_agg(span_beg || '-' || span_end, ',' ORDER BY span_beg) AS spans FROM span GROUP BY ord)
+SELECT ord, name, clean_len, CAST(coalesce(shared_len, 0) AS BIGINT) AS shared_len, CASE WHEN clean_len > 0 THEN coalesce(shared_len, 0)::DOUBLE / clean_len END AS shared_part, coalesce(spans, '') AS spans, CAST(coalesce(n_spans, 0) AS INT) AS n_spans FROM every LEFT JOIN part USING (ord)""",
         "p3_found": f"WITH {_LIKE} SELECT ord_a, ord_b FROM pairs",
         "p3_groups": f"""
 WITH RECURSIVE {_LIKE},
