@@ -7,8 +7,8 @@ same min-hash, so that one band stands for some 17 windows. A band carries the
 packed symbols of its windows.
 
 1. A worker makes the bands of its records. Of bands with the same symbols in
-   several of its records all windows are shared: their runs are written at once,
-   and only two of them, of different records, travel on. So a hot band costs two
+   several of its records all windows are shared: their runs are known at once,
+   and only two of them, of different records, travel as bands. So a hot band costs two
    rows per worker, however many records hold it.
 2. Bands travel once, in containers by range of the min-hash. Windows of min-hashes
    met in more than one record are compared in full: 64 symbols are 128 bits, so
@@ -33,9 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.sequences import clean, clean_seq, symbols
-from weftline.plans.lineage import cut
 
-LENGTH, WORD, BLOCK, SLOT_BANDS, FLUSH = 64, 32, 1 << 20, 1 << 18, 1 << 20
+LENGTH, WORD, BLOCK, SLOT_BANDS, FLUSH = 64, 32, 1 << 20, 1 << 16, 1 << 20
 RUN = LENGTH - WORD + 1
 _CODE = np.full(129, 255, np.uint8)
 _CODE[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
@@ -87,8 +86,8 @@ def band_rows(text: str) -> tuple[np.ndarray, ...]:
 Bands = tuple[np.ndarray, ...]  # min-hash, record, first window, number of windows, and the symbols in three words
 _RUNS = "ord bigint, beg bigint, end bigint"
 _PARTS = ("seed", "ord", "beg", "n", "w0", "w1", "w2")
-_MADE = pa.schema([("slot", pa.int64()), ("ord", pa.int64()), ("beg", pa.int64()), ("end", pa.int64())] + [(f"c_{c}", pa.binary()) for c in _PARTS])
-_MADE_SQL = "slot bigint, ord bigint, beg bigint, end bigint, " + ", ".join(f"c_{c} binary" for c in _PARTS)
+_MADE = pa.schema([("slot", pa.int64())] + [(c, pa.binary()) for c in _PARTS])
+_MADE_SQL = "slot bigint, " + ", ".join(f"{c} binary" for c in _PARTS)
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -134,21 +133,20 @@ def _split_by_copies(bands: Bands) -> tuple[Bands, tuple[np.ndarray, np.ndarray,
 
 
 def _bands(slots: int):
-    """Rows of two kinds: runs (slot -1), and containers of bands by slot."""
-
-    def runs(ord_: np.ndarray, beg: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-        empty = pa.nulls(len(ord_), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ord_), -1)), pa.array(ord_), pa.array(beg), pa.array(end), *[empty] * len(_PARTS)], schema=_MADE)
+    """Containers of bands by slot; those without min-hashes hold known runs, which only pass through a slot."""
 
     def written(held: list[Bands]) -> Iterator[pa.RecordBatch]:
         bands, known = _split_by_copies(_masked(tuple(map(np.concatenate, zip(*held)))))
-        if len(known[0]):
-            yield runs(*known)
+        # Known runs are spread over the slots by their record.
+        slot = known[0] % slots
+        order = np.argsort(slot, kind="stable")
+        cuts = np.searchsorted(slot[order], np.arange(slots + 1))
+        rows = [(s, None, *(_packed(c[order[a:b]]) for c in known), None, None, None) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
         slot = ((bands[0].view(np.uint64) >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
         order = np.argsort(slot, kind="stable")
         cuts = np.searchsorted(slot[order], np.arange(slots + 1, dtype=np.uint64))
         bands = tuple(c[order] for c in bands)
-        rows = [(s, None, None, None, *(_packed(c[a:b]) for c in bands)) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+        rows += [(s, *(_packed(c[a:b]) for c in bands)) for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _MADE)], schema=_MADE)
 
@@ -218,6 +216,9 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     slot, held = None, []
     for batch in batches:
         for now, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+            if parts[0] is None:
+                yield pa.RecordBatch.from_arrays([pa.array(_unpacked(c)) for c in parts[1:4]], schema=schema)
+                continue
             if now != slot and held:
                 yield from found(held)
                 held = []
@@ -241,10 +242,8 @@ def shared_spans(records: DataFrame, slot_bands: int = SLOT_BANDS) -> DataFrame:
     rows = records.select("ord", "seq").where("seq IS NOT NULL AND ord IS NOT NULL")
     # As many slots as hold about so many bands each; there is a band for some RUN / 2 symbols.
     size = rows.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
-    made = cut(rows.mapInArrow(_bands(max(1, -(-2 * size // (RUN * slot_bands)))), _MADE_SQL))
-    containers = made.where("slot >= 0").select("slot", *(f"c_{c}" for c in _PARTS))
-    late = containers.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared, _RUNS)
-    hits = made.where("slot < 0").select("ord", "beg", "end").union(late)
+    made = rows.mapInArrow(_bands(max(1, -(-2 * size // (RUN * slot_bands)))), _MADE_SQL)
+    hits = made.repartition("slot").sortWithinPartitions("slot").mapInArrow(_shared, _RUNS)
     # First within ranges of a record, so that no task sorts all of a long one.
     part = _joined(hits.withColumn("range", F.floor(F.col("beg") / BLOCK)), "ord", "range").drop("range")
     return _joined(part, "ord").select("ord", F.col("beg").alias("span_beg"), F.col("end").alias("span_end"))
