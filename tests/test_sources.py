@@ -139,6 +139,9 @@ def test_raw_rows(spark):
     for kind in ("fastq", "fasta"):
         ids = {r.raw_id for r in raw_records.strict_load(df, kind).collect()}
         assert ids == {i for i, k, t, _, _ in table if k == kind and i not in want}
+    # Rows with one number each have their own fate.
+    same = spark.createDataFrame([(1, "fasta", "1,>a,A", "x", "y"), (1, "fasta", "1,>a,X", "x", "y"), (1, "fasta", "1,>a,X", "x", "y"), (1, None, "1,>a,A", "x", "y")], df.schema)
+    assert sorted(tuple(r) for r in raw_records.failed_rows(same).collect()) == [(1, "columns"), (1, "value"), (1, "value")]
     null_ids = df.withColumn("raw_id", df.raw_id * None)
     assert raw_records.failed_rows(null_ids).count() == len(want)
     assert raw_records.failed_rows(df.limit(0)).count() == 0

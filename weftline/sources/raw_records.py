@@ -2,14 +2,16 @@
 
 Rows are loaded strictly first: only those that conform come out, typed. What
 the strict load did not take is found by an anti-join on the row's offset
-(``raw_id``), and only this remainder is diagnosed. All of it is built-in
-expressions; possessive quantifiers keep the patterns linear, also on very
+(``raw_id``, and a hash of the row, as offsets may repeat), and only this
+remainder is diagnosed. All of it is built-in expressions; a row is cut into its
+fields once, and possessive quantifiers keep the patterns linear, also on very
 long rows.
 
 Results for odd input: a null ``raw_text`` fails as ``quoting``; a null or
 unknown ``kind`` has no right number of fields and fails as ``columns``; rows
-with a null ``raw_id`` are diagnosed like all others; repeated rows come out
-as often as they came in; further columns of the input are ignored.
+with a null ``raw_id`` are diagnosed like all others; of rows with one ``raw_id``
+each has its own fate; repeated rows come out as often as they came in; further
+columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.binding import let
 from weftline.functions.sequences import clean_fasta_name, clean_seq
 
 # One field, a whole row, and the columns by kind.
@@ -31,49 +34,57 @@ def _row() -> Column:
     return F.when(text.endswith("\r"), F.left(text, F.length(text) - 1)).otherwise(text)
 
 
-def _shape(kind: str) -> str:
-    return r"\A" + ",".join([f"({FIELD})"] * len(COLUMNS[kind])) + r"\z"
+def _quoted_well(row: Column) -> Column:
+    return F.coalesce(~F.contains(row, F.lit('"')) | row.rlike(ROW), F.lit(False))
 
 
-def _field(kind: str, i: int) -> Column:
-    raw = F.regexp_extract(_row(), _shape(kind), i + 1)
-    inner = F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))
-    return F.when(raw.startswith('"'), inner).otherwise(raw)
+def _fields(row: Column) -> Column:
+    """The fields of a well quoted row."""
+    inner = lambda f: F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    # Each field is found with the comma before it, so that none is found without a symbol.
+    found = F.regexp_extract_all(F.concat(F.lit(","), row), F.lit(rf"\G,({FIELD})"), 1)
+    return F.when(~F.contains(row, F.lit('"')), F.split(row, ",", -1)).otherwise(F.transform(found, lambda f: F.when(f.startswith('"'), inner(f)).otherwise(f)))
 
 
 def _valid(kind: str, f: dict[str, Column]) -> Column:
     """Whether the fields hold valid values."""
-    seq = clean_seq(f["seq"])
-    ok = f["ord"].rlike(r"\A[0-9]{1,18}\z") & seq.rlike(r"\A[ACGTN]++\z")
+    ok = f["ord"].rlike(r"\A[0-9]{1,18}\z")
     if kind == "fastq":
-        return ok & f["name"].rlike(r"\A@[!-~]++\z") & f["qual"].rlike(r"\A[!-~]*+\z") & (F.length(f["qual"]) == F.length(seq))
-    return ok & f["name"].rlike(r"\A>[ -~\t]*+\z") & (clean_fasta_name(f["name"]) != "")
+        ok = ok & f["name"].rlike(r"\A@[!-~]++\z") & f["qual"].rlike(r"\A[!-~]*+\z")
+        return ok & let(clean_seq(f["seq"]), lambda s: s.rlike(r"\A[ACGTN]++\z") & (F.length(f["qual"]) == F.length(s)))
+    return ok & f["name"].rlike(r"\A>[ -~\t]*+\z") & (clean_fasta_name(f["name"]) != "") & clean_seq(f["seq"]).rlike(r"\A[ACGTN]++\z")
 
 
-def _fields(raw: DataFrame, kind: str) -> DataFrame:
-    """Rows of the kind that have its number of fields, with the fields as strings."""
-    return raw.where((F.col("kind") == kind) & _row().rlike(_shape(kind))).select("raw_id", *(_field(kind, i).alias(c) for i, c in enumerate(COLUMNS[kind])))
+def _conforming(kind: str, fields: Column) -> Column:
+    """The typed row in an array, which is empty for a row that does not conform."""
+    names = COLUMNS[kind]
+    f = {c: F.get(fields, F.lit(i)) for i, c in enumerate(names)}
+    typed = F.struct(f["ord"].cast("bigint").alias("ord"), *(f[c].alias(c) for c in names[1:]))
+    nothing = F.array().cast("array<struct<ord:bigint," + ",".join(f"{c}:string" for c in names[1:]) + ">>")
+    return F.when((F.size(fields) == len(names)) & _valid(kind, f), F.array(typed)).otherwise(nothing)
+
+
+def _loaded(kind: str, row: Column) -> Column:
+    return let(_fields(row), lambda fields: _conforming(kind, fields))
 
 
 def strict_load(raw: DataFrame, kind: str) -> DataFrame:
     """The conforming rows of one kind: ``raw_id, ord BIGINT, name, seq[, qual]``, names and sequences as delivered."""
-    return _fields(raw, kind).where(_valid(kind, {c: F.col(c) for c in COLUMNS[kind]})).withColumn("ord", F.col("ord").cast("bigint"))
+    some = raw.where((F.col("kind") == kind) & _quoted_well(_row()))
+    return some.select("raw_id", F.inline(_loaded(kind, _row())))
 
 
 def failed_rows(raw: DataFrame) -> DataFrame:
     """``raw_id, reason`` of the rows that the strict load leaves out, by the first reason that applies."""
-    raw = raw.select("raw_id", "kind", "raw_text")
-    loaded = strict_load(raw, "fastq").select("raw_id").union(strict_load(raw, "fasta").select("raw_id"))
-    rest = raw.join(loaded, "raw_id", "left_anti")
-    shaped = {k: (F.col("kind") == k) & _row().rlike(_shape(k)) for k in COLUMNS}
-    columns = shaped["fastq"] | shaped["fasta"]
-    valid = F.lit(False)
+    raw = raw.select("raw_id", "kind", "raw_text", F.xxhash64("kind", "raw_text").alias("_h"))
+    row = _row()
+    conforms = F.lit(False)
+    for kind in COLUMNS:
+        conforms = F.when(F.col("kind") == kind, F.size(_loaded(kind, row)) > 0).otherwise(conforms)
+    loaded = raw.where(_quoted_well(row) & conforms).select(F.col("raw_id").alias("_id"), F.col("_h").alias("_g")).distinct()
+    rest = raw.join(loaded, F.col("raw_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
+    wanted = F.lit(-1)
     for kind, names in COLUMNS.items():
-        fields = {c: _field(kind, i) for i, c in enumerate(names)}
-        valid = valid | F.coalesce(shaped[kind] & _valid(kind, fields), F.lit(False))
-    reason = (
-        F.when(~F.coalesce(_row().rlike(ROW), F.lit(False)), "quoting")
-        .when(~F.coalesce(columns, F.lit(False)), "columns")
-        .when(~valid, "value")
-    )
-    return rest.select("raw_id", reason.alias("reason")).where("reason IS NOT NULL")
+        wanted = F.when(F.col("kind") == kind, len(names)).otherwise(wanted)
+    reason = F.when(~_quoted_well(row), "quoting").when(F.size(_fields(row)) != wanted, "columns").otherwise("value")
+    return rest.select("raw_id", reason.alias("reason"))
