@@ -42,14 +42,23 @@ def test_needed_edits_bound(spark):
     rng = random.Random(2)
     for _ in range(50):
         x, p = ("".join(rng.choice("acg") for _ in range(rng.randint(1, 30))) for _ in range(2))
-        row = next(iter(index._build(iter([__import__("pyarrow").RecordBatch.from_pydict({"t": [1], "x": [x]})])))).to_pylist()[0]
-        held = index.Held(*[row[c] for c in ("text", *index.ARRAYS)])
+        row = next(iter(index._build(set(index.ARRAYS))(iter([__import__("pyarrow").RecordBatch.from_pydict({"t": [1], "x": [x]})])))).to_pylist()[0]
+        held = index.Held(row["text"], **{c: row[c] for c in index.ARRAYS})
         codes = held.codes(p)
         assert (codes is None) == (not set(p) <= set(x))
         if codes is not None:
             assert held.needed(codes) == approx.edits_needed(x, p)
 
 
+def test_uses(spark, data):
+    texts, patterns = data
+    want = key(suffix.sa_search(texts, patterns))
+    for use in index.METHODS:
+        assert key(index.search_index(index.build_index(texts, use), patterns, use)) == want
+    with pytest.raises(Exception, match="not built for this use"):
+        index.search_index(index.build_index(texts, "sa"), patterns, "fm").count()
+
+
 def test_nothing(spark, data):
     texts, patterns = data
     none = index.build_index(texts.limit(0))

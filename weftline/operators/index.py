@@ -13,6 +13,8 @@ among the suffixes (``sa``) or by a walk in the suffix tree (``tree``).
 over intervals of ranks. A path is given up where the rest of the pattern needs
 more edits than are left; these bounds come from the reverse direction.
 
+An index holds the arrays of the uses that it is built for; others are null.
+
 Results for odd input are those of ``suffix`` and ``approx``: null texts take no
 part; an empty text has its sentinel only; repeated rows of texts give their rows
 as often; repeated patterns count once; further columns are ignored. A text lies
@@ -35,6 +37,8 @@ from weftline.operators.pattern_blocks import over_blocks
 from weftline.operators.suffix import Index, Tree, _batches, _bisect, _texts
 
 ARRAYS = ("sa", "lcp", "places", "places_reversed", "syms", "less")
+USES = {"fm": ("sa", "places", "syms", "less"), "sa": ("sa",), "tree": ("sa", "lcp"), "approx": ("sa", "places", "places_reversed", "syms", "less")}
+SORTED = 1 << 18
 SCHEMA = "text_id bigint, text string, " + ", ".join(f"{a} binary" for a in ARRAYS)
 _SCHEMA = pa.schema([("text_id", pa.int64()), ("text", pa.string())] + [(a, pa.binary()) for a in ARRAYS])
 _MATCH = pa.schema([(c, pa.int64()) for c in ("text_id", "pattern_id", "rank", "pos")])
@@ -49,35 +53,47 @@ def _places(x: Index) -> np.ndarray:
     return order - begin
 
 
-def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, held in _batches(batch):
-            x, back = Index(held), Index([t[::-1] for t in held])
-            columns = (x.sa - x.start[x.owner[x.sa]], x.lcp(), _places(x), _places(back))
-            rows = []
-            for i, (t, text) in enumerate(zip(ids, held)):
-                s = slice(x.start[i], x.start[i + 1])
-                syms, n = np.unique(symbols(text), return_counts=True)
-                less = np.concatenate(([1], 1 + np.cumsum(n)))  # where the places of each symbol begin, and the end
-                rows.append((t, text, *(c[s].astype("<i4").tobytes() for c in columns), syms.astype("<i4").tobytes(), less.astype("<i4").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-
-
-def build_index(texts: DataFrame) -> DataFrame:
-    """``text_id, text, sa, lcp, places, places_reversed, syms, less``, to be written."""
-    return _texts(texts).mapInArrow(_build, SCHEMA)
+def _build(wanted: set[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, held in _batches(batch, SORTED):
+                x = Index(held)
+                made = {"sa": x.sa - x.start[x.owner[x.sa]]}
+                if "lcp" in wanted:
+                    made["lcp"] = x.lcp()
+                if "places" in wanted:
+                    made["places"] = _places(x)
+                if "places_reversed" in wanted:
+                    made["places_reversed"] = _places(Index([t[::-1] for t in held]))
+                rows = []
+                for i, (t, text) in enumerate(zip(ids, held)):
+                    s = slice(x.start[i], x.start[i + 1])
+                    row = {c: v[s].astype("<i4").tobytes() for c, v in made.items()}
+                    if "syms" in wanted:
+                        syms, n = np.unique(symbols(text), return_counts=True)
+                        # Where the places of each symbol begin, and the end.
+                        row |= {"syms": syms.astype("<i4").tobytes(), "less": np.concatenate(([1], 1 + np.cumsum(n))).astype("<i4").tobytes()}
+                    rows.append((t, text, *(row.get(a) for a in ARRAYS)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+
+    return run
+
+
+def build_index(texts: DataFrame, *uses: str) -> DataFrame:
+    """``text_id, text, sa, lcp, places, places_reversed, syms, less`` for the uses named (``USES``; all, if none is), to be written."""
+    wanted = {a for use in uses or USES for a in USES[use]}
+    return _texts(texts).mapInArrow(_build(wanted), SCHEMA)
 
 
 class Held:
     """The index of one text."""
 
-    def __init__(self, text: str, *arrays: bytes):
-        self.text = text
-        self.raw = dict(zip(ARRAYS, arrays))
-        self.sa = np.frombuffer(self.raw["sa"], "<i4")
+    def __init__(self, text: str, **arrays: bytes):
+        self.text, self.raw = text, arrays
+        self.sa = np.frombuffer(arrays["sa"], "<i4")
         self.n = len(self.sa)
-        self.less = np.frombuffer(self.raw["less"], "<i4").tolist()
-        self.code = {chr(s): i for i, s in enumerate(np.frombuffer(self.raw["syms"], "<i4").tolist())}
+        self.less = np.frombuffer(arrays.get("less", b""), "<i4").tolist()
+        self.code = {chr(s): i for i, s in enumerate(np.frombuffer(arrays.get("syms", b""), "<i4").tolist())}
         self._numbers: dict[str, array] = {}
 
     def numbers(self, name: str) -> array:
@@ -141,9 +157,12 @@ class Held:
                         todo.append((i, beg, end, left - 1, edits + "D"))
 
 
-def _held(batch: pa.RecordBatch) -> Iterator[tuple[object, Held]]:
-    for t, text, *arrays in zip(*(batch.column(i).to_pylist() for i in range(2 + len(ARRAYS)))):
-        yield t, Held(text, *arrays)
+def _held(batch: pa.RecordBatch, names: tuple[str, ...]) -> Iterator[tuple[object, Held]]:
+    for i in range(batch.num_rows):
+        t, text, *arrays = (batch.column(c)[i].as_py() for c in range(2 + len(names)))
+        if None in arrays:
+            raise ValueError("the index was not built for this use")
+        yield t, Held(text, **dict(zip(names, arrays)))
 
 
 def _by_fm(x: Held, words: list[str]) -> list[tuple[int, int]]:
@@ -167,7 +186,7 @@ METHODS = {"fm": _by_fm, "sa": _by_sa, "tree": _by_tree}
 
 def search_index(index: DataFrame, patterns: DataFrame, method: str = "fm") -> DataFrame:
     """``text_id, pattern_id, rank, pos`` of all matches; ``rank`` is the suffix order."""
-    search = METHODS[method]
+    search, names = METHODS[method], USES[method]
 
     def one(index: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         shared = index.sparkSession.sparkContext.broadcast(block)
@@ -175,7 +194,7 @@ def search_index(index: DataFrame, patterns: DataFrame, method: str = "fm") -> D
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, words = np.array([p for p, _ in shared.value], dtype=object), [w for _, w in shared.value]
             for batch in batches:
-                for t, x in _held(batch):
+                for t, x in _held(batch, names):
                     found = np.array(search(x, words), np.int64).reshape(-1, 2)
                     size = found[:, 1] - found[:, 0]
                     which = np.repeat(np.arange(len(size)), size)
@@ -185,7 +204,7 @@ def search_index(index: DataFrame, patterns: DataFrame, method: str = "fm") -> D
 
         return index.mapInArrow(run, "text_id bigint, pattern_id bigint, rank bigint, pos bigint")
 
-    return over_blocks(index.select("text_id", "text", *ARRAYS), patterns, one)
+    return over_blocks(index.select("text_id", "text", *names), patterns, one)
 
 
 def approx_index(index: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
@@ -197,7 +216,7 @@ def approx_index(index: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows: list[tuple] = []
             for batch in batches:
-                for t, x in _held(batch):
+                for t, x in _held(batch, USES["approx"]):
                     for k, p in shared.value:
                         for lo, hi, edits, cost in x.alignments(p, d):
                             told = (edits, approx.run_lengths(edits), approx.run_lengths(edits[::-1]), cost)
@@ -210,4 +229,4 @@ def approx_index(index: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
 
         return index.mapInArrow(run, approx.SCHEMA)
 
-    return over_blocks(index.select("text_id", "text", *ARRAYS), patterns, one)
+    return over_blocks(index.select("text_id", "text", *USES["approx"]), patterns, one)

@@ -84,8 +84,13 @@ class Index:
         out = np.zeros(len(self.sa), np.int64)
         live = np.ones(len(self.sa), bool)
         live[self.start[:-1]] = False
-        live = np.flatnonzero(live)
         padded = np.concatenate((self.code, np.zeros(STEP, np.int64)))
+        for part in np.array_split(np.flatnonzero(live), max(1, len(live) >> 16)):
+            self._lcp(part, padded, out)
+        return out
+
+    def _lcp(self, live: np.ndarray, padded: np.ndarray, out: np.ndarray) -> None:
+        """The same for some ranks, as many symbols at a time as STEP."""
         a, b = self.sa[live - 1], self.sa[live]
         ahead = np.arange(STEP)
         while len(live):
@@ -95,7 +100,6 @@ class Index:
             out[live] += size
             more = size == STEP
             live, a, b = live[more], a[more] + STEP, b[more] + STEP
-        return out
 
     def types(self) -> tuple[np.ndarray, np.ndarray]:
         """Whether the suffix at each position is smaller than the next one (the sentinel is), and whether it is the first such after a larger one."""
@@ -110,13 +114,13 @@ class Index:
         return small, lms
 
 
-def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list, list[str]]]:
+def _batches(batch: pa.RecordBatch, symbols_: int = BATCH) -> Iterator[tuple[list, list[str]]]:
     """Texts of a batch in parts of bounded size."""
     ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
     at = 0
     while at < len(texts):
         to, size = at, 0
-        while to < len(texts) and (to == at or size < BATCH):
+        while to < len(texts) and (to == at or size < symbols_):
             size += len(texts[to])
             to += 1
         yield ids[at:to], texts[at:to]

@@ -83,9 +83,9 @@ def _located(s: SparkSession, d: str) -> DataFrame:
     return suffix.tree_locate(_parts(s, d), _words(s, TREE_WORDS)).select("text_id", "pattern_id", "matched", found.alias("found"), lo, hi)
 
 
-def _index(texts: DataFrame) -> DataFrame:
+def _index(texts: DataFrame, use: str) -> DataFrame:
     """The index of the texts as a written table."""
-    return stored(index.build_index(texts))
+    return stored(index.build_index(texts, use))
 
 
 def _fasta_files(s: SparkSession, d: str) -> str:
@@ -152,8 +152,8 @@ def queries() -> dict[str, Query]:
         "lms_positions": lambda s, d: suffix.lms_positions(_reads(s, d)),
         "symbol_buckets": lambda s, d: suffix.symbol_buckets(_sequences(s, d)),
         "sa_search": lambda s, d: suffix.sa_search(_sequences(s, d), _patterns(s, d)),
-        "sa_search_indexed": lambda s, d: index.search_index(_index(_sequences(s, d)), _patterns(s, d), "sa"),
-        "st_search_indexed": lambda s, d: index.search_index(_index(_parts(s, d)), _words(s, TREE_WORDS), "tree"),
+        "sa_search_indexed": lambda s, d: index.search_index(_index(_sequences(s, d), "sa"), _patterns(s, d), "sa"),
+        "st_search_indexed": lambda s, d: index.search_index(_index(_parts(s, d), "tree"), _words(s, TREE_WORDS), "tree"),
         "st_nodes": lambda s, d: suffix.tree(_parts(s, d)),
         "st_leaves": lambda s, d: suffix.tree_leaves(_parts(s, d)),
         "st_locate": _located,
@@ -166,14 +166,14 @@ def queries() -> dict[str, Query]:
         "lf_mapping": lambda s, d: fm.lf_mapping(_reads(s, d)),
         "bwt_inverse": lambda s, d: fm.inverse_bwt(fm.bwt(_sequences(s, d))),
         "fm_search": lambda s, d: fm.fm_search(_sequences(s, d), _patterns(s, d)).select("text_id", "pattern_id", "pos"),
-        "fm_search_indexed": lambda s, d: index.search_index(_index(_sequences(s, d)), _patterns(s, d), "fm"),
+        "fm_search_indexed": lambda s, d: index.search_index(_index(_sequences(s, d), "fm"), _patterns(s, d), "fm"),
         "fm_index": lambda s, d: fm.fm_index(_parts(s, d)),
         # approximate matching
         "approx_d1": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 1),
         "approx_d2": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 2).select("text_id", "pattern_id", "pos", "cigar", "dist"),
         "approx_best": lambda s, d: approx.best_matches(_parts(s, d), _words(s, NEAR_WORDS), 2),
         "approx_motifs": lambda s, d: approx.approx_matches(_sequences(s, d), _patterns(s, d), 1),
-        "approx_indexed": lambda s, d: index.approx_index(_index(_sequences(s, d)), _patterns(s, d), 1),
+        "approx_indexed": lambda s, d: index.approx_index(_index(_sequences(s, d), "approx"), _patterns(s, d), 1),
         "cigar_encode": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 1).select("text_id", "pattern_id", "pos", "edits", approx.cigar(F.col("edits")).alias("cigar")),
         "d_table": lambda s, d: approx.needed_edits(_sequences(s, d), _patterns(s, d)).select("text_id", "pattern_id", _codes(F.col("needed")).alias("needed")),
         # sources, sinks and the tool

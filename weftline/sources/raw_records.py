@@ -76,15 +76,16 @@ def strict_load(raw: DataFrame, kind: str) -> DataFrame:
 
 def failed_rows(raw: DataFrame) -> DataFrame:
     """``raw_id, reason`` of the rows that the strict load leaves out, by the first reason that applies."""
-    raw = raw.select("raw_id", "kind", "raw_text", F.xxhash64("kind", "raw_text").alias("_h"))
     row = _row()
     conforms = F.lit(False)
     for kind in COLUMNS:
         conforms = F.when(F.col("kind") == kind, F.size(_loaded(kind, row)) > 0).otherwise(conforms)
-    loaded = raw.where(_quoted_well(row) & conforms).select(F.col("raw_id").alias("_id"), F.col("_h").alias("_g")).distinct()
-    rest = raw.join(loaded, F.col("raw_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti")
+    offset = F.xxhash64("kind", "raw_text")
+    loaded = raw.where(_quoted_well(row) & conforms).select(F.col("raw_id").alias("_id"), offset.alias("_g")).distinct()
     wanted = F.lit(-1)
     for kind, names in COLUMNS.items():
         wanted = F.when(F.col("kind") == kind, len(names)).otherwise(wanted)
     reason = F.when(~_quoted_well(row), "quoting").when(F.size(_fields(row)) != wanted, "columns").otherwise("value")
-    return rest.select("raw_id", reason.alias("reason"))
+    # The texts stay where they are: the reason that holds if a row is not loaded travels instead.
+    told = raw.select("raw_id", offset.alias("_h"), reason.alias("reason"))
+    return told.join(loaded, F.col("raw_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")), "left_anti").select("raw_id", "reason")
