@@ -34,7 +34,7 @@ from weftline.functions.binding import let, total
 from weftline.functions.sequences import symbols
 from weftline.operators.pattern_blocks import over_blocks
 
-SEED, BLOCK, FILTER = 16, 1 << 16, 1 << 26
+SEED, BLOCK, FILTER = 16, 1 << 11, 1 << 26
 SCHEMA = "text_id bigint, pattern_id bigint, pos bigint"
 _SCHEMA = pa.schema([(c, pa.int64()) for c in ("text_id", "pattern_id", "pos")])
 ROWS = 1 << 16
@@ -199,7 +199,7 @@ def _automaton(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
     return texts.mapInArrow(run, SCHEMA)
 
 
-PART, PUSHED = 64, 16
+PART, PUSHED, TOGETHER = 64, 16, 1 << 18
 
 
 def scan_positions(text: Column, pattern: Column) -> Column:
@@ -257,16 +257,16 @@ def _seeds(q: int, block: int, shared):
             texts = batch.column(1).to_pylist()
             at = 0
             while at < len(texts):
-                # Short texts side by side, long ones block by block.
+                # Short texts side by side, long ones part by part.
                 to, total = at, 0
-                while to < len(texts) and (to == at or total + len(texts[to]) <= block):
+                while to < len(texts) and (to == at or total + len(texts[to]) <= TOGETHER):
                     total += len(texts[to])
                     to += 1
                 size_of = np.array([len(x) for x in texts[at:to]])
                 whole = texts[at] if to == at + 1 else "".join(texts[at:to])
                 begin = np.cumsum(size_of) - size_of
-                for b in range(0, len(whole) - q + 1, block):
-                    h = seed_hashes(whole[b : b + block + q - 1], q)
+                for b in range(0, len(whole) - q + 1, TOGETHER):
+                    h = seed_hashes(whole[b : b + TOGETHER + q - 1], q)
                     place = h & low
                     hit = np.flatnonzero((words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
                     own = np.searchsorted(begin, hit + b, "right") - 1
@@ -306,7 +306,7 @@ def _text_blocks(block: int, halo: int):
                 for b in range(0, max(1, len(x)), block):
                     rows.append((t, b // block, x[b : b + block + halo]))
                     size += len(rows[-1][2])
-                    if size > 64 * block:
+                    if size > 1 << 22:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                         rows, size = [], 0
             if rows:
@@ -315,7 +315,7 @@ def _text_blocks(block: int, halo: int):
     return run
 
 
-def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int = BLOCK) -> DataFrame:
+def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int | None = None) -> DataFrame:
     """Long patterns meet texts on the hash of their first ``q`` symbols and are then compared whole; the few short ones go by automaton.
 
     Only the places of a text that pass a filter of all seeds travel. A text is seen in blocks with a halo of the longest
@@ -323,11 +323,13 @@ def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int =
     """
     patterns = patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct()
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
+    # Small blocks, as symbols are counted from their begin, but a halo is a small part of its block.
+    block = block or max(BLOCK, 8 * longest)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = [seed_hashes(p[:q], q)[0] for p in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(h, np.uint64).view(np.int64))], names=["pattern_id", "pattern", "seed"])
+            begins = "".join(p[:q] for p in batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seed_hashes(begins, q)[::q].view(np.int64))], names=["pattern_id", "pattern", "seed"])
 
     keyed = patterns.where(F.length("pattern") >= q).mapInArrow(hashed, "pattern_id bigint, pattern string, seed bigint")
     shared = texts.sparkSession.sparkContext.broadcast(seed_filter(keyed.select("seed")))
