@@ -65,3 +65,27 @@ def test_needed_edits(spark):
     t = spark.createDataFrame([(1, "ab")], "text_id bigint, text string")
     p = spark.createDataFrame([(1, "ba"), (2, "")], "pattern_id bigint, pattern string")
     assert {r.pattern_id: r.needed for r in approx.needed_edits(t, p).collect()} == {1: [0, 1], 2: []}
+
+
+def test_seed_strategy_gives_the_same(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    texts = [(i if i else None, word(rng.choice([0, 40, 300, 5000]))) for i in range(12)] + [(50, None), (51, "")]
+    patterns = [(99, None), (98, ""), (97, "AC"), (96, "N" * 40)]
+    for i, (_, x) in enumerate(texts[:12]):
+        for k in range(3):
+            at = rng.randint(0, max(0, len(x) - 90))
+            p = list(x[at : at + rng.randint(30, 90)])
+            for _ in range(rng.randint(0, 3)):
+                if p:
+                    j = rng.randrange(len(p))
+                    p[j : j + 1] = rng.choice([[], [rng.choice("ACGT")], [p[j], "A"]])
+            patterns.append((3 * i + k, "".join(p)))
+    t = spark.createDataFrame(texts, "text_id bigint, text string")
+    p = spark.createDataFrame(patterns, "pattern_id bigint, pattern string")
+    for d in (0, 1, 2):
+        some = p if d < 2 else p.where("pattern <> 'AC'")
+        got = sorted(map(str, (tuple(r) for r in approx.approx_matches(t, some, d, "seed").collect())))
+        want = sorted(map(str, (tuple(r) for r in approx.approx_matches(t, some, d).collect())))
+        assert got == want and len(got) > 20
+    assert approx.approx_matches(t.limit(0), p, 1, "seed").count() == approx.approx_matches(t, p.limit(0), 1, "seed").count() == 0

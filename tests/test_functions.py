@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from weftline.functions import alphabets, bits, slices
+from weftline.functions import alphabets, bits, slices, units
+from weftline.operators import exact
 
 
 def one(spark, text, **columns):
@@ -78,3 +79,12 @@ def test_bits_from_positions(spark):
     df = spark.createDataFrame([(1, 0, 70), (1, 63, 70), (1, 64, 70), (1, None, 70), (2, 5, 6), (3, None, 65), (4, None, 0)], "k int, pos bigint, n bigint")
     got = {r.k: (r.no_bits, r.words) for r in bits.from_positions(df, "k", "pos", "n").collect()}
     assert got == {1: (70, [1 - (1 << 63), 1]), 2: (6, [32]), 3: (65, [0, 0]), 4: (0, [])}
+
+
+def test_bytes(spark):
+    df = spark.createDataFrame([(1, "né né", bytearray(b"\x00\xffA")), (2, None, None), (3, "", bytearray(b""))], "text_id bigint, text string, raw binary")
+    p = spark.createDataFrame([(1, "n"), (2, "é")], "pattern_id bigint, pattern string")
+    got = sorted(tuple(r) for r in exact.exact_matches(units.by_bytes(df, "text"), units.by_bytes(p, "pattern")).collect())
+    assert got == [(1, 1, 0), (1, 1, 4), (1, 2, 1), (1, 2, 5)]
+    back = units.by_bytes(df, "raw").select("text_id", F.length("raw").alias("n"), units.symbols_as_bytes(F.col("raw")).alias("raw")).orderBy("text_id").collect()
+    assert [(r.n, r.raw) for r in back] == [(3, bytearray(b"\x00\xffA")), (None, None), (0, bytearray(b""))]

@@ -11,6 +11,11 @@ Of a pattern cut into ``d + 1`` parts, one stands verbatim in every occurrence,
 so only places near such a part are aligned; alignments are then enumerated
 with the cost bound. The work grows steeply with ``d``.
 
+``strategy="seed"`` is for pattern tables too large to be sent to every worker: the
+parts meet the texts by the seed join of ``exact``, every place where an
+alignment may end is looked at once, with the stretch of text before it, and no
+task holds a pattern table. It needs each ``text_id`` once.
+
 Results for odd input: null texts and patterns take no part; a pattern with a
 symbol that the text does not have has no match, whatever ``d``; a pattern of at
 most ``d`` symbols, the empty one included, matches by insertions at all
@@ -27,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.exact import find_all
+from weftline.operators.exact import BLOCK, SEED, _text_blocks, exact_matches, find_all
 from weftline.operators.pattern_blocks import over_blocks
 
 SCHEMA = "text_id bigint, pattern_id bigint, pos bigint, edits string, cigar string, cigar_fwd string, dist int"
@@ -75,7 +80,12 @@ def alignments(x: str, p: str, d: int) -> Iterator[tuple[int, str, int]]:
     """Start, edits from the right, and cost of all alignments."""
     if any(c not in x for c in set(p)):
         return
-    for end in ends_near(x, p, d):
+    yield from alignments_at(x, p, d, ends_near(x, p, d))
+
+
+def alignments_at(x: str, p: str, d: int, ends: list[int]) -> Iterator[tuple[int, str, int]]:
+    """The same of those that end at given places."""
+    for end in ends:
         todo = [(len(p), end, 0, "")]
         while todo:
             i, j, cost, edits = todo.pop()
@@ -93,8 +103,56 @@ def alignments(x: str, p: str, d: int) -> Iterator[tuple[int, str, int]]:
                     todo.append((i, j - 1, cost + 1, edits + "D"))
 
 
-def approx_matches(texts: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
+def _parts(patterns: DataFrame, d: int) -> DataFrame:
+    """``pattern_id, pattern, shift, part``: the ``d + 1`` parts of each pattern; a part begins ``shift`` symbols before the end of its pattern."""
+    cut = lambda i: F.floor(F.length("pattern") * i / (d + 1)).cast("int")
+    parts = F.array(*(F.struct((F.length("pattern") - cut(i)).alias("shift"), F.substring("pattern", cut(i) + 1, cut(i + 1) - cut(i)).alias("part")) for i in range(d + 1)))
+    return patterns.select("pattern_id", "pattern", F.inline(parts))
+
+
+def _by_seed(texts: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
+    patterns = patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct()
+    long_ = F.length("pattern") >= SEED * (d + 1)
+    some = patterns.where(long_)
+    parts = _parts(some, d)
+    # Equal parts are looked for once.
+    words = parts.groupBy("part").agg(F.min(F.struct("pattern_id", "shift")).alias("k")).select(F.xxhash64("part").alias("pattern_id"), F.col("part").alias("pattern"))
+    hits = exact_matches(texts, words, "seed").withColumnRenamed("pattern_id", "word")
+    near = hits.join(parts.withColumn("word", F.xxhash64("part")), "word")
+    # Two words with one hash only add places; alignments are made from the texts.
+    ends = F.sequence(F.col("pos") + F.col("shift") - d, F.col("pos") + F.col("shift") + d)
+    places = near.select("text_id", "pattern_id", "pattern", F.explode(ends).alias("stop")).where("stop >= 0").distinct()
+    longest = some.agg(F.max(F.length("pattern"))).first()[0] or 0
+    block = max(BLOCK, 8 * (longest + d))
+    letters = F.array_distinct(F.filter(F.split("text", ""), lambda c: c != ""))
+    held = texts.select(F.col("text_id").alias("_t"), F.length("text").cast("bigint").alias("n"), letters.alias("letters"))
+    lacks = F.exists(F.split("pattern", ""), lambda c: (c != "") & ~F.array_contains(F.col("letters"), c))
+    known = places.join(held, F.col("text_id").eqNullSafe(F.col("_t"))).where((F.col("stop") <= F.col("n")) & ~lacks).drop("_t", "letters", "n")
+    begin = F.greatest(F.lit(0), F.col("stop") - F.length("pattern") - d)
+    stretches = texts.mapInArrow(_text_blocks(block, longest + d), "text_id bigint, block_no bigint, part string").select(F.col("text_id").alias("_t"), F.col("block_no").alias("_b"), F.col("part").alias("stretch"))
+    same = F.col("text_id").eqNullSafe(F.col("_t")) & (F.floor(begin / block) == F.col("_b"))
+    met = known.withColumn("begin", begin).join(stretches, same)
+    ready = met.select("text_id", "pattern_id", "pattern", "begin", F.substring("stretch", (F.col("begin") % block + 1).cast("int"), (F.col("stop") - F.col("begin")).cast("int")).alias("window"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for t, k, p, begin, window in zip(*(c.to_pylist() for c in batch.columns)):
+                for pos, edits, cost in alignments_at(window, p, d, [len(window)]):
+                    rows.append((t, k, begin + pos, edits, run_lengths(edits), run_lengths(edits[::-1]), cost))
+                    if len(rows) >= ROWS:
+                        yield as_batch(rows)
+                        rows = []
+        if rows:
+            yield as_batch(rows)
+
+    return ready.mapInArrow(run, SCHEMA).union(approx_matches(texts, patterns.where(~long_), d))
+
+
+def approx_matches(texts: DataFrame, patterns: DataFrame, d: int, strategy: str = "blocks") -> DataFrame:
     """``text_id, pattern_id, pos, edits, cigar, cigar_fwd, dist`` of all alignments with at most ``d`` edits."""
+    if strategy == "seed":
+        return _by_seed(texts.select("text_id", "text").where("text IS NOT NULL"), patterns, d)
 
     def one(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         shared = texts.sparkSession.sparkContext.broadcast(block)

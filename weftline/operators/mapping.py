@@ -36,9 +36,9 @@ def map_reads(reads: DataFrame, sequences: DataFrame, strategy: str = "seed") ->
 
 
 def map_reads_approx(reads: DataFrame, sequences: DataFrame, d: int) -> DataFrame:
-    """The same within ``d`` edits; the CIGAR runs from the read's start. Reads are sent to all workers in blocks."""
+    """The same within ``d`` edits; the CIGAR runs from the read's start. Short reads are sent to all workers in blocks, others meet the sequences by seeds."""
     q, r, patterns, texts = _sides(reads, sequences)
-    hits = approx_matches(texts, patterns, d)
+    hits = approx_matches(texts, patterns, d, "seed")
     named = hits.join(patterns, "pattern_id").join(q, "pattern").join(r.select("text_id", "rname"), "text_id")
     return named.select("qname", "rname", (F.col("pos") + 1).cast("int").alias("pos"), F.col("cigar_fwd").alias("cigar"), F.col("pattern").alias("seq"))
 

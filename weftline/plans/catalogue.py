@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from weftline.functions import alphabets, bits, slices
 from weftline.functions.sequences import clean_seq
+from weftline.functions.units import by_bytes
 from weftline.operators import approx, exact, fm, index, suffix
 from weftline.operators.mapping import map_files, map_reads, map_reads_approx
 from weftline.plans.lineage import scratch, stored
 from weftline.sources import raw_records
 from weftline.sources.sequence_files import fasta_records, fastq_records, placed, read_fasta, read_fastq, read_sam, sam_line, write_fasta, write_fastq
 from weftline.sources.tables import table
+from weftline.streaming.reads import match_stream, read_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +109,16 @@ def _mapped_files(s: SparkSession, d: str) -> DataFrame:
     return read_sam(s, path)
 
 
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Matches in the rows of the table as they arrive, redelivered ones included, written by a stream and read from there."""
+    path = scratch(s)
+    # A pattern stands for a table in one file as well as for a folder of files.
+    found = match_stream(read_stream(s, f"{d}/fastq.parque[t]"), _words(s, ("GATTACA",)))
+    run = found.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return s.read.schema("text_id bigint, pattern_id bigint, pos bigint").parquet(f"{path}/out")
+
+
 def queries() -> dict[str, Query]:
     return {
         # slices and buffers
@@ -141,6 +153,7 @@ def queries() -> dict[str, Query]:
         "exact_seed": lambda s, d: exact.exact_matches(_sequences(s, d), _patterns(s, d), "seed"),
         "exact_missing": _missing,
         "exact_find_pages": lambda s, d: exact.exact_matches(_pages(s, d), _words(s, ("qu", "ij")), "find"),
+        "exact_bytes": lambda s, d: exact.exact_matches(by_bytes(_pages(s, d), "text"), by_bytes(_words(s, ("é", "en")), "pattern"), "automaton"),
         "border_array": lambda s, d: exact.border_arrays(_patterns(s, d)).select("pattern_id", _codes(F.col("borders")).alias("borders")),
         "border_array_restricted": lambda s, d: exact.border_arrays(_patterns(s, d)).select("pattern_id", _codes(F.col("restricted")).alias("restricted")),
         # suffix structures
@@ -182,6 +195,8 @@ def queries() -> dict[str, Query]:
         "fasta_files": lambda s, d: read_fasta(s, _fasta_files(s, d)).select("name", "seq"),
         "fastq_files": lambda s, d: read_fastq(s, _fastq_files(s, d)).select("name", "seq", "qual"),
         "map_files_sam": _mapped_files,
+        "read_mapping_approx": lambda s, d: map_reads_approx(table(s, d, "fastq"), table(s, d, "fasta"), 1),
+        "stream_matches": _streamed,
         "sam_lines": lambda s, d: table(s, d, "sam").select(sam_line().alias("line")),
         "sam_placed": lambda s, d: placed(table(s, d, "sam")),
         "read_mapping_sam": lambda s, d: map_reads(table(s, d, "fastq"), table(s, d, "fasta")),
@@ -364,6 +379,7 @@ def oracle_sql() -> dict[str, str]:
         "exact_seed": f"WITH {_SEQUENCES}, {_MATCHES} SELECT * FROM met",
         "exact_missing": f"WITH {_SEQUENCES}, {_MATCHES} SELECT * FROM met EXCEPT SELECT text_id, pattern_id, pos FROM exact_matches",
         "exact_find_pages": f"WITH {_PAGES}, {_hits('qu')}, {_hits('ij').replace('hits AS', 'more AS')} SELECT text_id, CAST(0 AS BIGINT) AS pattern_id, pos FROM hits UNION ALL SELECT text_id, CAST(1 AS BIGINT), pos FROM more",
+        "exact_bytes": f"WITH {_PAGES}, {_hits('é')}, {_hits('en').replace('hits AS', 'more AS')}, both_ AS (SELECT text_id, 0 AS pattern_id, pos FROM hits UNION ALL SELECT text_id, 1, pos FROM more) SELECT text_id, CAST(pattern_id AS BIGINT) AS pattern_id, CAST(strlen(left(text, pos)) AS BIGINT) AS pos FROM both_ JOIN t USING (text_id)",
         "border_array": "SELECT pattern_id, array_to_string(list_transform(range(1, length(pattern) + 1), lambda i: list_max(list_filter(range(0, i), lambda k: left(pattern, k) = right(left(pattern, i), k)))), ',') AS borders FROM patterns",
         "border_array_restricted": "SELECT pattern_id, array_to_string(list_transform(range(1, length(pattern) + 1), lambda i: list_max(list_filter(range(0, i), lambda k: k = 0 OR left(pattern, k) = right(left(pattern, i), k) AND (i = length(pattern) OR substr(pattern, k + 1, 1) <> substr(pattern, i + 1, 1))))), ',') AS restricted FROM patterns",
         "suffix_array": f"WITH {_SEQUENCES}, {_RANKS} SELECT text_id, rank, pos FROM sa",
@@ -417,6 +433,7 @@ SELECT text_id, pattern_id, array_to_string(needed, ',') AS needed FROM walk WHE
         "fastq_records": _FASTQ,
         "fasta_files": f"SELECT name, coalesce(seq, '') AS seq FROM ({_FASTA}) WHERE name <> ''",
         "fastq_files": f"SELECT name, coalesce(seq, '') AS seq, coalesce(qual, '') AS qual FROM ({_FASTQ}) WHERE name <> ''",
+        "stream_matches": f"WITH t AS (SELECT ord AS text_id, {_clean_sql()} AS text FROM (SELECT ord, seq, row_number() OVER () AS copy FROM fastq) WHERE seq IS NOT NULL), {_hits('GATTACA')} SELECT text_id, CAST(0 AS BIGINT) AS pattern_id, pos FROM hits",
         "sam_lines": "SELECT concat_ws(chr(9), coalesce(qname, '*'), coalesce(rname, '*'), coalesce(pos, 0), coalesce(cigar, '*'), coalesce(seq, '*')) AS line FROM sam",
         "sam_placed": "SELECT DISTINCT * FROM sam WHERE qname IS NOT NULL AND rname <> '*' AND pos > 0 AND cigar <> '*'",
         "read_mapping_sam": f"WITH q AS ({_FASTQ}), r AS ({_FASTA}), {_PLACED}",
