@@ -434,6 +434,24 @@ SELECT text_id, pattern_id, array_to_string(needed, ',') AS needed FROM walk WHE
         "fasta_files": f"SELECT name, coalesce(seq, '') AS seq FROM ({_FASTA}) WHERE name <> ''",
         "fastq_files": f"SELECT name, coalesce(seq, '') AS seq, coalesce(qual, '') AS qual FROM ({_FASTQ}) WHERE name <> ''",
         "stream_matches": f"WITH t AS (SELECT ord AS text_id, {_clean_sql()} AS text FROM (SELECT ord, seq, row_number() OVER () AS copy FROM fastq) WHERE seq IS NOT NULL), {_hits('GATTACA')} SELECT text_id, CAST(0 AS BIGINT) AS pattern_id, pos FROM hits",
+        "read_mapping_approx": f"""
+WITH RECURSIVE q AS ({_FASTQ}), r AS ({_FASTA}),
+reads AS (SELECT DISTINCT ord, name AS qname, seq FROM q WHERE seq <> ''),
+pats AS (SELECT min(ord) AS pattern_id, seq AS pattern FROM reads GROUP BY seq),
+seqs AS (SELECT ord AS text_id, name AS rname, seq AS text FROM r WHERE seq <> ''),
+half AS (
+  SELECT pattern_id, pattern, 0 AS a, length(pattern) // 2 AS b FROM pats WHERE length(pattern) >= 16
+  UNION ALL SELECT pattern_id, pattern, length(pattern) // 2, length(pattern) FROM pats WHERE length(pattern) >= 16),
+win AS (SELECT text_id, text, pos, substr(text, pos + 1, 8) AS k FROM (SELECT *, unnest(range(0, length(text) - 7)) AS pos FROM seqs WHERE length(text) >= 8)),
+ends AS (
+  SELECT DISTINCT text_id, pattern_id, pattern, text, j FROM (
+    SELECT text_id, pattern_id, pattern, text, unnest(range(pos + length(pattern) - a - 1, pos + length(pattern) - a + 2)) AS j
+    FROM win JOIN half ON k = substr(pattern, a + 1, 8) WHERE substr(text, pos + 1, b - a) = substr(pattern, a + 1, b - a)
+    UNION ALL SELECT text_id, pattern_id, pattern, text, unnest(range(0, length(text) + 1)) FROM pats, seqs WHERE length(pattern) < 16)
+  WHERE j BETWEEN 0 AND length(text) AND len(list_filter(list_distinct(string_split(pattern, '')), lambda c: NOT contains(text, c))) = 0),
+near AS (SELECT text_id, pattern_id, pattern, j - greatest(0, j - length(pattern) - 1) AS j, greatest(0, j - length(pattern) - 1) AS beg, substr(text, greatest(0, j - length(pattern) - 1) + 1, j - greatest(0, j - length(pattern) - 1)) AS text FROM ends),
+{_steps('near', 1)}
+SELECT qname, rname, CAST(pos + 1 AS INT) AS pos, cigar_fwd AS cigar, seq FROM out JOIN pats USING (pattern_id) JOIN reads ON seq = pats.pattern JOIN seqs USING (text_id)""",
         "sam_lines": "SELECT concat_ws(chr(9), coalesce(qname, '*'), coalesce(rname, '*'), coalesce(pos, 0), coalesce(cigar, '*'), coalesce(seq, '*')) AS line FROM sam",
         "sam_placed": "SELECT DISTINCT * FROM sam WHERE qname IS NOT NULL AND rname <> '*' AND pos > 0 AND cigar <> '*'",
         "read_mapping_sam": f"WITH q AS ({_FASTQ}), r AS ({_FASTA}), {_PLACED}",
