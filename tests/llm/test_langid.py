@@ -16,6 +16,17 @@ def test_labels():
     assert [langid.label_code(x) for x in (None, "", " ", "??", "und", "mul", "xx", "fr,nl", "eng lish")] == [None] * 9
 
 
+def test_a_language_of_the_samples_only(spark):
+    """Languages come from the samples, also those without a list of names."""
+    rng = random.Random(2)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(2, 7)))
+    text = lambda a, n: " ".join(word(a) for _ in range(n))
+    samples = spark.createDataFrame([(i, k, text(a, 60)) for i in range(12) for k, a in (("fi", "aeiklnstuyä"), ("pl", "acdjkowzżłś"))], "sample_id bigint, lang string, text string")
+    page = lambda a: "\n".join(text(a, 8) for _ in range(5))
+    df = spark.createDataFrame([(1, page("aeiklnstuyä"), "fi-FI", "", "", 0), (2, page("acdjkowzżłś"), "fi", "", "", 0), (3, page("acdjkowzżłś"), "en", "", "", 0)], DOCS)
+    assert sorted(map(tuple, langid.relabelled(df, samples).collect())) == [(2, 0, "pl"), (3, 0, "pl")]
+
+
 def test_automaton_accepts_exactly_the_substrings():
     rng = random.Random(1)
     for _ in range(30):

@@ -52,10 +52,13 @@ NAMES = {
 _CODE = {name: code for code, names in NAMES.items() for name in names}
 
 
-def label_code(label: str | None) -> str | None:
-    """The two-letter code that a label names, whatever its case, region or blanks; None if it names none or several."""
+def label_code(label: str | None, known: frozenset[str] = frozenset()) -> str | None:
+    """The code that a label names, whatever its case, region or blanks; None if it names none or several.
+
+    A code names itself if labelled samples have it, also where its language is not among ``NAMES``.
+    """
     base = re.split(r"[-_]", (label or "").strip().lower())[0]
-    return _CODE.get(base)
+    return _CODE.get(base, base if base in known else None)
 
 
 # --- the automata ----------------------------------------------------------
@@ -110,7 +113,9 @@ class Parser:
         fold = _folding()
         # Letters that some sample has get a symbol; the rest share the last one, which no text has.
         folded = {k: self._spaced(fold[np.minimum(self._points(v), len(fold) - 1)]) for k, v in samples.items()}
-        letters = np.unique(np.concatenate([*folded.values(), [0]]))[: (1 << SHIFT) - 1]
+        letters, often = np.unique(np.concatenate([*folded.values(), [0]]), return_counts=True)
+        # A table row has room for so many letters; of more, the rarest share the last symbol as well.
+        letters = np.sort(letters[np.argsort(-often, kind="stable")[: (1 << SHIFT) - 1]])
         self.symbol = np.full(int(fold.max()) + 1, len(letters), np.int32)
         self.symbol[letters] = np.arange(len(letters))
         tables, roots, self.bits, base = [], [], [], 0
@@ -283,7 +288,7 @@ def judge(parser: Parser, texts: list[str]) -> list[list[tuple[int, int, str, fl
 def fitted(samples: DataFrame, docs: DataFrame | None = None, chars: int = SAMPLE_CHARS, labelled: int = LABELLED_DOCS) -> dict[str, str]:
     """Labelled text per language: at most ``chars`` symbols of the samples, then whole labelled documents until ``chars`` is reached."""
     w = Window.partitionBy("lang").orderBy("sample_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    known = samples.select("sample_id", "text", F.lower(F.trim("lang")).alias("lang")).where(F.col("lang").isin(*NAMES) & (F.length("text") > 0))
+    known = samples.select("sample_id", "text", F.lower(F.trim("lang")).alias("lang")).where((F.col("lang") != "") & (F.length("text") > 0))
     held = known.withColumn("upto", F.sum(F.length("text")).over(w)).where(F.col("upto") <= chars)
     parts: dict[str, list[str]] = {}
     for r in held.orderBy("lang", "sample_id", "text").collect():
@@ -295,7 +300,7 @@ def fitted(samples: DataFrame, docs: DataFrame | None = None, chars: int = SAMPL
     known_docs = docs.where(F.trim("lang") != "").withColumn("_h", F.xxhash64("doc_id"))
     least = [r[0] for r in known_docs.select("_h").orderBy("_h").limit(labelled).collect()]
     some = known_docs.where(F.col("_h") <= max(least)).select("lang", "text").orderBy("_h", "doc_id", "text").limit(labelled).collect() if least else []
-    some = [(label_code(r["lang"]), r["text"]) for r in some if r["text"]]
+    some = [(label_code(r["lang"], frozenset(text)), r["text"]) for r in some if r["text"]]
     for (label, t), found in zip(some, judge(Parser(text), [t for _, t in some]) if some else []):
         if label in text and len(found) == 1 and found[0][2] == label and len(text[label]) < chars:
             text[label] += " \n " + _BROKEN.sub(r"\1", t)
@@ -315,6 +320,7 @@ def judged(docs: DataFrame, samples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(tuple(sorted(shared.value.items())))
+        known = frozenset(shared.value)
         for batch in batches:
             ids, labels_, texts = (batch.column(i).to_pylist() for i in range(3))
             at = 0
@@ -325,7 +331,7 @@ def judged(docs: DataFrame, samples: DataFrame) -> DataFrame:
                     to += 1
                 found = judge(parser, [t or "" for t in texts[at:to]])
                 rows = [[dict(zip(("line_beg", "line_end", "lang", "confidence"), s)) for s in r] for r in found]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array([label_code(x) for x in labels_[at:to]], pa.string()), pa.array(rows, segment_type)], names=["doc_id", "label", "segments"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at:to], pa.int64()), pa.array([label_code(x, known) for x in labels_[at:to]], pa.string()), pa.array(rows, segment_type)], names=["doc_id", "label", "segments"])
                 at = to
 
     return docs.select("doc_id", "lang", "text").mapInArrow(run, _SCHEMA)

@@ -30,6 +30,7 @@ ignored.
 from __future__ import annotations
 
 import math
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -94,6 +95,8 @@ def solve(cells: DataFrame, total: float | None) -> dict[str, tuple[float, float
             if not low[s] < step < high[s]:
                 step = (low[s] + high[s]) / 2 if high[s] < math.inf else max(1.0, 2 * x[s])
             x[s] = step
+    if len(done) < len(own):
+        warnings.warn(f"shares not solved to {EXACT} in {STEPS} steps: {sorted(set(own) - done)}", stacklevel=2)
     return {s: (min(x[s], 1e9), own[s]["sum"] / own[s]["docs"], own[s]["cap"]) for s in own}
 
 
@@ -136,9 +139,12 @@ def mixed(docs: DataFrame, targets: DataFrame, total: float | None = None, path:
 
 
 def share_report(mix: DataFrame, targets: DataFrame) -> DataFrame:
-    """``source, target_share, reached_share, tokens, documents, most_copies`` of every source with a target."""
+    """``source, target_share, max_repeat, reached_share, tokens, documents, most_copies, available`` of every source with a target.
+
+    ``available`` is what the source holds, each document once: what a scarce source makes the others leave out.
+    """
     goal = _targets(targets).select("source", "target_share", F.col("cap").alias("max_repeat"))
-    got = mix.where("copies > 0").groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count("*").alias("documents"), F.max("copies").alias("most_copies"))
+    got = mix.groupBy("source").agg(F.sum(F.col("copies") * F.col("tokens")).alias("tokens"), F.count_if(F.col("copies") > 0).alias("documents"), F.max("copies").alias("most_copies"), F.sum("tokens").alias("available"))
     zero = F.lit(0).cast("bigint")
-    full = goal.join(got, "source", "left").select("source", "target_share", "max_repeat", *(F.coalesce(c, zero).alias(c) for c in ("tokens", "documents", "most_copies")))
+    full = goal.join(got, "source", "left").select("source", "target_share", "max_repeat", *(F.coalesce(c, zero).alias(c) for c in ("tokens", "documents", "most_copies", "available")))
     return full.withColumn("reached_share", F.coalesce(F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy())), F.lit(0.0)))

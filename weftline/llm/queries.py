@@ -8,11 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, mixing, neardup, packing, shared, split, terms
+from weftline.plans.lineage import cut
 from weftline.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p6_checks(s: SparkSession, d: str) -> DataFrame:
+    """What must hold of a packing: ``documents`` met, of which with tokens and never in two parts below the capacity, and no container above it."""
+    docs, cap = table(s, d, "documents"), packing.CAPACITY
+    rows = cut(packing.packed(docs))
+    size = F.col("tok_end") - F.col("tok_beg")
+    per = rows.groupBy("doc_id").agg(F.sum(size).alias("tokens"), F.count("*").alias("parts"), F.count("container_id").alias("placed"), F.max("tok_end").alias("upto"))
+    wrong = (F.col("upto") != F.col("tokens")) | (F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("tokens") / cap))) | (F.col("placed") != F.when(F.col("tokens") > 0, F.col("parts")).otherwise(0))
+    over = rows.where("container_id IS NOT NULL").groupBy("container_id").agg(F.sum(size).alias("tokens")).agg(F.count_if(F.col("tokens") > cap).alias("over"))
+    # Within 1 % of the least number of containers, and one more for the last.
+    fill = packing.fill_report(rows).select((F.col("containers") <= F.col("least_containers") * 1.01 + 1).alias("tight"))
+    found = per.agg(F.count("*").alias("documents"), F.count_if(wrong).alias("wrong"))
+    return found.withColumn("over", over.scalar()).withColumn("tight", fill.scalar())
+
+
+def _p7_checks(s: SparkSession, d: str) -> DataFrame:
+    """``source, held, cap_kept, share_kept`` of every target: whether its source has documents, no document is used too often and its share is reached."""
+    targets = table(s, d, "mix_targets")
+    mix = cut(mixing.mixed(table(s, d, "documents"), targets))
+    report = mixing.share_report(mix, targets).withColumn("held", F.col("available") > 0)
+    present, total, largest = (x.scalar() for x in (report.where("held").agg(F.sum("target_share")), report.agg(F.sum("tokens")), mix.agg(F.max("tokens"))))
+    # Within 0.2 % of the mix and one document, as documents are whole.
+    off = F.abs(F.col("tokens") - F.when(F.col("held"), F.col("target_share")).otherwise(0.0) / present * total)
+    return report.select("source", "held", (F.col("most_copies") <= F.col("max_repeat")).alias("cap_kept"), (off <= 0.002 * total + largest).alias("share_kept"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: split.gaps(table(s, d, "fasta")),
@@ -25,6 +51,8 @@ def queries() -> dict[str, Query]:
         "p5_terms": lambda s, d: terms.marked_terms(table(s, d, "fastq")),
         "p6_packed": lambda s, d: packing.packed(table(s, d, "documents")),
         "p6_fill": lambda s, d: packing.fill_report(packing.packed(table(s, d, "documents"))),
+        "p6_checks": _p6_checks,
+        "p7_checks": _p7_checks,
         "p7_mix": lambda s, d: mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")),
         "p7_shares": lambda s, d: mixing.share_report(mixing.mixed(table(s, d, "documents"), table(s, d, "mix_targets")), table(s, d, "mix_targets")),
         "p8_found": lambda s, d: langid.relabelled(table(s, d, "documents"), table(s, d, "lang_samples")),
@@ -101,6 +129,8 @@ reach AS (SELECT a AS rep, a AS node FROM way UNION SELECT rep, b FROM reach JOI
 grp AS (SELECT rep, min(node) AS group_id FROM reach GROUP BY rep),
 deg AS (SELECT a AS rep, count(DISTINCT b) AS links FROM way GROUP BY a)
 SELECT ord, rep, coalesce(group_id, rep) AS group_id, coalesce(links, 0) AS links FROM text LEFT JOIN grp USING (rep) LEFT JOIN deg USING (rep)""",
+        "p6_checks": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS wrong, CAST(0 AS BIGINT) AS over, true AS tight FROM documents",
+        "p7_checks": "SELECT source, EXISTS (SELECT 1 FROM documents d WHERE d.source = t.source AND text <> '') AS held, true AS cap_kept, true AS share_kept FROM mix_targets t WHERE target_share > 0",
         "p5_found": f"WITH {_TERMS} SELECT term, mark FROM marked WHERE mark IS NOT NULL",
         "p5_terms": f"WITH {_TERMS} SELECT * FROM marked",
     }
