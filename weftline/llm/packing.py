@@ -102,13 +102,16 @@ class _Containers:
     def widest(self, shut: set[int]) -> int | None:
         """The container of most room but those shut, of equal ones the one of most items."""
         for r in range(len(self.by_room) - 1, 0, -1):
-            if open_ := self.by_room[r] - shut:
+            if self.by_room[r] and (open_ := self.by_room[r] - shut):
                 return max(open_, key=lambda b: (len(self.inside[b]), -b))
         return None
 
     def wider(self, b: int, need: int) -> bool:
         """Gives a container more room, at most ``need``, by exchanging an item against one a little smaller whose container has room for the difference."""
-        most = min(need, max((r for r in range(len(self.by_room) - 1, 0, -1) if self.by_room[r] - {b}), default=0))
+        most = len(self.by_room) - 1
+        while most > 0 and not (len(self.by_room[most]) > 1 or self.by_room[most] and b not in self.by_room[most]):
+            most -= 1
+        most = min(need, most)
         for gain in range(most, 0, -1):
             for i in self.inside[b]:
                 for c in self.holders.get(self.sizes[i] - gain, ()):
