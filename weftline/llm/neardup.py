@@ -41,7 +41,7 @@ from weftline.llm.components import components
 from weftline.plans.lineage import cut
 
 WINDOW, SIMILARITY, RECALL, DEPTH, DEEPEST, LOAD = 8, 0.5, 0.998, 4, 8, 256
-SLOT_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 200_000, 1 << 18, 512, 26, 200_000
+SLOT_ROWS, FLUSH_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 1_000_000, 100_000, 1 << 18, 512, 26, 200_000
 
 
 def weight(depth: int, similarity: float = SIMILARITY) -> float:
@@ -191,7 +191,7 @@ def _forest(trees: range, ranges: int, width: int):
         for batch in batches:
             lab, has = labels(batch.column(1).to_pylist(), trees, width)
             held.append((batch.column(0).to_numpy()[has], lab[has]))
-            if sum(len(x[0]) for x in held) >= SLOT_ROWS // 2:
+            if sum(len(x[0]) for x in held) >= FLUSH_ROWS:
                 yield write(*map(np.concatenate, zip(*held)))
                 held = []
         if sum(len(x[0]) for x in held):
