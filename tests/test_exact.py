@@ -62,6 +62,20 @@ def test_seeds_pass_a_filter(spark):
     assert got == sorted(map(str, naive(texts, patterns)))
 
 
+def test_patterns_with_one_beginning(spark):
+    """Patterns long enough meet only where more than their common beginning stands."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("acgt") for _ in range(n))
+    head = word(20)
+    x = "".join(head + word(80) for _ in range(40))
+    texts, patterns = [(1, x, 0), (2, head * 3, 0)], [(i, x[i * 100 : i * 100 + 64 + i], "") for i in range(40)] + [(50, head, ""), (51, head * 3, ""), (52, head * 4, "")]
+    assert run(spark, texts, patterns, "seed") == naive(texts, patterns)
+    t = spark.createDataFrame(texts[:1], "text_id bigint, text string, pos int").select("text_id", "text")
+    seeds = spark.createDataFrame([(int(exact.far_hashes(exact.seed_hashes(p[:64], 16), 16).view("int64")[0]),) for _, p, _ in patterns[:40]], "seed bigint")
+    shared = spark.sparkContext.broadcast(exact.seed_filter(seeds))
+    assert t.mapInArrow(exact._seeds(16, 512, shared), "text_id bigint, block_no bigint, pos bigint, seed bigint").count() == 40
+
+
 def test_seed_across_blocks(spark):
     rng = random.Random(3)
     x = "".join(rng.choice("acgt") for _ in range(3000))

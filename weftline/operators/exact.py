@@ -242,7 +242,7 @@ def seed_filter(seeds: DataFrame, bits: int = FILTER) -> np.ndarray:
 
 
 def _seeds(q: int, block: int, shared):
-    """The positions of a text whose next ``q`` symbols may begin a pattern: their hash and where their block lies."""
+    """The positions of a text whose next ``q`` or ``4 * q`` symbols may begin a pattern: their hash and where their block lies."""
     schema = pa.schema([("text_id", pa.int64()), ("block_no", pa.int64()), ("pos", pa.int64()), ("seed", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,16 +266,17 @@ def _seeds(q: int, block: int, shared):
                 whole = texts[at] if to == at + 1 else "".join(texts[at:to])
                 begin = np.cumsum(size_of) - size_of
                 for b in range(0, len(whole) - q + 1, TOGETHER):
-                    h = seed_hashes(whole[b : b + TOGETHER + q - 1], q)
-                    place = h & low
-                    hit = np.flatnonzero((words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
-                    own = np.searchsorted(begin, hit + b, "right") - 1
-                    pos = hit + b - begin[own]
-                    inside = pos + q <= size_of[own]
-                    hit, own, pos = hit[inside], own[inside], pos[inside]
-                    if len(hit):
-                        held.append((batch.column(0).take(pa.array(at + own)), pos // block, pos, h[hit].view(np.int64)))
-                        size += len(hit)
+                    near = seed_hashes(whole[b : b + TOGETHER + 4 * q - 1], q)
+                    for h, m in ((near[:TOGETHER], q), (far_hashes(near, q), 4 * q)):
+                        place = h & low
+                        hit = np.flatnonzero((words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
+                        own = np.searchsorted(begin, hit + b, "right") - 1
+                        pos = hit + b - begin[own]
+                        inside = pos + m <= size_of[own]
+                        hit, own, pos = hit[inside], own[inside], pos[inside]
+                        if len(hit):
+                            held.append((batch.column(0).take(pa.array(at + own)), pos // block, pos, h[hit].view(np.int64)))
+                            size += len(hit)
                     if size >= ROWS:
                         yield written()
                         held, size = [], 0
@@ -286,6 +287,16 @@ def _seeds(q: int, block: int, shared):
     return run
 
 
+def far_hashes(near: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of the next ``4 * q`` symbols of each position, from those of ``q``."""
+    n = max(0, len(near) - 3 * q)
+    h = near[:n] ^ np.uint64(0x5851F42D4C957F2D)
+    for k in (1, 2, 3):
+        h = (h ^ near[k * q : k * q + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h
+
+
 def seed_hashes(x: str, q: int) -> np.ndarray:
     s = symbols(x).astype(np.uint64)
     n = max(0, len(s) - q + 1)
@@ -316,9 +327,9 @@ def _text_blocks(block: int, halo: int):
 
 
 def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int | None = None) -> DataFrame:
-    """Long patterns meet texts on the hash of their first ``q`` symbols and are then compared whole; the few short ones go by automaton.
+    """Long patterns meet texts on the hash of their first ``q`` symbols, those of at least ``4 * q`` on that of so many, and are then compared whole; the few short ones go by automaton.
 
-    Only the places of a text that pass a filter of all seeds travel. A text is seen in blocks with a halo of the longest
+    So patterns that share a common beginning do not all meet at its places. Only the places of a text that pass a filter of all seeds travel. A text is seen in blocks with a halo of the longest
     pattern, so the comparison never rescans a long text.
     """
     patterns = patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct()
@@ -328,8 +339,12 @@ def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int |
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begins = "".join(p[:q] for p in batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seed_hashes(begins, q)[::q].view(np.int64))], names=["pattern_id", "pattern", "seed"])
+            words = batch.column(1).to_pylist()
+            long_ = np.array([len(p) >= 4 * q for p in words])
+            seed = np.zeros(len(words), np.uint64)
+            seed[~long_] = seed_hashes("".join(p[:q] for p in words if len(p) < 4 * q), q)[::q]
+            seed[long_] = far_hashes(seed_hashes("".join(p[: 4 * q] for p in words if len(p) >= 4 * q), q), q)[:: 4 * q]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(seed.view(np.int64))], names=["pattern_id", "pattern", "seed"])
 
     keyed = patterns.where(F.length("pattern") >= q).mapInArrow(hashed, "pattern_id bigint, pattern string, seed bigint")
     shared = texts.sparkSession.sparkContext.broadcast(seed_filter(keyed.select("seed")))
