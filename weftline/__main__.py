@@ -14,7 +14,7 @@ def main(args: list[str]) -> int:
     if len(args) != 4 or args[0] not in ALGORITHMS:
         print(f"usage: python -m weftline {'|'.join(ALGORITHMS)} FASTA FASTQ OUT", file=sys.stderr)
         return 1
-    map_files(ship(SparkSession.builder.appName("weftline").getOrCreate()), *args)
+    map_files(ship(SparkSession.builder.appName("weftline").config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()), *args)
     return 0
 
 

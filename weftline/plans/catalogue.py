@@ -50,7 +50,7 @@ def _codes(c: Column) -> Column:
     return F.array_join(c.cast("array<string>"), ",")
 
 
-TREE_WORDS, NEAR_WORDS = ("e", "in", "red", "", "zq", "ing", "gear x", "small bolt"), ("ring", "bolt", "red")
+TREE_WORDS, NEAR_WORDS, READ_WORDS = ("e", "in", "red", "", "zq", "ing", "gear x", "small bolt"), ("ring", "bolt", "red"), ("GATTACA", "ACGTACGTAC", "TTAGGN")
 
 
 def _x() -> Column:
@@ -160,27 +160,29 @@ def queries() -> dict[str, Query]:
         "suffix_array": lambda s, d: suffix.suffix_array(_sequences(s, d)),
         "suffix_array_doubling": lambda s, d: suffix.suffix_array(_parts(s, d), "doubling"),
         "suffix_array_inverse": lambda s, d: suffix.inverse_suffix_array(_reads(s, d)),
-        "lcp_array": lambda s, d: suffix.lcp_array(_parts(s, d)),
+        "lcp_array": lambda s, d: suffix.lcp_array(_reads(s, d)),
         "sl_types": lambda s, d: suffix.suffix_types(_reads(s, d)),
         "lms_positions": lambda s, d: suffix.lms_positions(_reads(s, d)),
         "symbol_buckets": lambda s, d: suffix.symbol_buckets(_sequences(s, d)),
         "sa_search": lambda s, d: suffix.sa_search(_sequences(s, d), _patterns(s, d)),
         "sa_search_indexed": lambda s, d: index.search_index(_index(_sequences(s, d), "sa"), _patterns(s, d), "sa"),
         "st_search_indexed": lambda s, d: index.search_index(_index(_parts(s, d), "tree"), _words(s, TREE_WORDS), "tree"),
+        "st_nodes_reads": lambda s, d: suffix.tree(_reads(s, d)),
+        "approx_reads": lambda s, d: approx.approx_matches(_reads(s, d), _words(s, READ_WORDS), 1),
         "st_nodes": lambda s, d: suffix.tree(_parts(s, d)),
         "st_leaves": lambda s, d: suffix.tree_leaves(_parts(s, d)),
         "st_locate": _located,
         "st_search": lambda s, d: suffix.tree_search(_parts(s, d), _words(s, TREE_WORDS)),
         # transform and index
         "bwt": lambda s, d: fm.bwt(_reads(s, d)),
-        "bwt_reversed": lambda s, d: fm.bwt_of_reverse(_parts(s, d)),
+        "bwt_reversed": lambda s, d: fm.bwt_of_reverse(_reads(s, d)),
         "c_table": lambda s, d: fm.c_table(_sequences(s, d)),
         "o_table": lambda s, d: fm.o_table(_reads(s, d)),
         "lf_mapping": lambda s, d: fm.lf_mapping(_reads(s, d)),
         "bwt_inverse": lambda s, d: fm.inverse_bwt(fm.bwt(_sequences(s, d))),
         "fm_search": lambda s, d: fm.fm_search(_sequences(s, d), _patterns(s, d)).select("text_id", "pattern_id", "pos"),
         "fm_search_indexed": lambda s, d: index.search_index(_index(_sequences(s, d), "fm"), _patterns(s, d), "fm"),
-        "fm_index": lambda s, d: fm.fm_index(_parts(s, d)),
+        "fm_index": lambda s, d: fm.fm_index(_reads(s, d)),
         # approximate matching
         "approx_d1": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 1),
         "approx_d2": lambda s, d: approx.approx_matches(_parts(s, d), _words(s, NEAR_WORDS), 2).select("text_id", "pattern_id", "pos", "cigar", "dist"),
@@ -287,10 +289,10 @@ def _values(words: tuple[str, ...]) -> str:
     return "p AS (SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS BIGINT), '{w}')" for i, w in enumerate(words)) + ") AS v(pattern_id, pattern))"
 
 
-def _near(d: int) -> str:
+def _near(d: int, texts: str = _PARTS, words: tuple[str, ...] = NEAR_WORDS) -> str:
     """All alignments, from the right."""
     return f"""
-WITH RECURSIVE {_PARTS}, {_values(NEAR_WORDS)},
+WITH RECURSIVE {texts}, {_values(words)},
 near AS (SELECT *, 0 AS beg, unnest(range(0, length(text) + 1)) AS j FROM t, p WHERE len(list_filter(string_split(pattern, ''), lambda c: NOT contains(text, c))) = 0),
 {_steps('near', d)}"""
 
@@ -385,7 +387,7 @@ def oracle_sql() -> dict[str, str]:
         "suffix_array": f"WITH {_SEQUENCES}, {_RANKS} SELECT text_id, rank, pos FROM sa",
         "suffix_array_doubling": f"WITH {_PARTS}, {_RANKS} SELECT text_id, rank, pos FROM sa",
         "suffix_array_inverse": f"WITH {_READS}, {_RANKS} SELECT text_id, pos, rank FROM sa",
-        "lcp_array": f"""WITH {_PARTS}, {_RANKS}, pair AS (SELECT text_id, rank, suffix, coalesce(lag(suffix) OVER (PARTITION BY text_id ORDER BY rank), '') AS before FROM sa)
+        "lcp_array": f"""WITH {_READS}, {_RANKS}, pair AS (SELECT text_id, rank, suffix, coalesce(lag(suffix) OVER (PARTITION BY text_id ORDER BY rank), '') AS before FROM sa)
             SELECT text_id, rank, CAST(list_max(list_filter(range(0, least(length(suffix), length(before)) + 1), lambda k: left(suffix, k) = left(before, k))) AS BIGINT) AS lcp FROM pair""",
         "sl_types": f"WITH {_READS}, {_TYPES} SELECT text_id, pos, s_type FROM ty",
         "lms_positions": f"WITH {_READS}, {_TYPES}, l AS (SELECT text_id, pos, s_type, lag(s_type) OVER (PARTITION BY text_id ORDER BY pos) AS before FROM ty) SELECT text_id, pos FROM l WHERE s_type AND NOT before",
@@ -396,6 +398,9 @@ def oracle_sql() -> dict[str, str]:
         "sa_search": f"WITH {_SEQUENCES}, {_RANKS}, {_MATCHES} SELECT text_id, pattern_id, rank, pos FROM met JOIN sa USING (text_id, pos)",
         "sa_search_indexed": f"WITH {_SEQUENCES}, {_RANKS}, {_MATCHES} SELECT text_id, pattern_id, rank, pos FROM met JOIN sa USING (text_id, pos)",
         "st_search_indexed": f"WITH {_PARTS}, {_values(TREE_WORDS)}, {_RANKS} SELECT text_id, pattern_id, rank, pos FROM sa, p WHERE starts_with(suffix, pattern)",
+        "st_nodes_reads": f"""WITH {_READS}, {_NODES} SELECT num.text_id, num.node_id, parent_id, CAST(depth AS BIGINT) AS depth, CAST(sa.pos + coalesce(above, 0) AS BIGINT) AS edge_beg, CAST(sa.pos + depth AS BIGINT) AS edge_end, sa_lo, sa_hi, CAST(leaf_pos AS BIGINT) AS leaf_pos
+            FROM num JOIN up ON up.text_id = num.text_id AND up.node_id = num.node_id JOIN sa ON sa.text_id = num.text_id AND sa.rank = sa_lo""",
+        "approx_reads": f"{_near(1, _READS, READ_WORDS)} SELECT text_id, pattern_id, pos, edits, cigar, cigar_fwd, CAST(dist AS INT) AS dist FROM out",
         "st_nodes": f"""WITH {_PARTS}, {_NODES} SELECT num.text_id, num.node_id, parent_id, CAST(depth AS BIGINT) AS depth, CAST(sa.pos + coalesce(above, 0) AS BIGINT) AS edge_beg, CAST(sa.pos + depth AS BIGINT) AS edge_end, sa_lo, sa_hi, CAST(leaf_pos AS BIGINT) AS leaf_pos
             FROM num JOIN up ON up.text_id = num.text_id AND up.node_id = num.node_id JOIN sa ON sa.text_id = num.text_id AND sa.rank = sa_lo""",
         "st_leaves": f"WITH {_PARTS}, {_RANKS} SELECT text_id, rank, pos FROM sa",
@@ -405,7 +410,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT text_id, pattern_id, matched, matched = length(pattern) AS found, sa_lo, sa_hi FROM pairs LEFT JOIN iv USING (text_id, pattern_id)""",
         "st_search": f"WITH {_PARTS}, {_values(TREE_WORDS)}, {_RANKS} SELECT text_id, pattern_id, rank, pos FROM sa, p WHERE starts_with(suffix, pattern)",
         "bwt": f"WITH {_READS}, {_BWT} SELECT text_id, rank, code, ch FROM bwt",
-        "bwt_reversed": f"WITH t AS (SELECT p_partkey AS text_id, reverse(p_name) AS text FROM part), {_BWT} SELECT text_id, rank, code, ch FROM bwt",
+        "bwt_reversed": f"WITH {_READS.replace('t AS', 'forth AS', 1)}, t AS (SELECT text_id, reverse(text) AS text FROM forth), {_BWT} SELECT text_id, rank, code, ch FROM bwt",
         "c_table": f"""WITH {_SEQUENCES}, {_SYMS},
             n AS (SELECT text_id, CAST(list_position(syms, c) AS INT) AS code, count(*) AS n FROM (SELECT text_id, syms, unnest(chars) AS c FROM a) GROUP BY ALL UNION ALL SELECT text_id, 0, 1 FROM t)
             SELECT text_id, code, CAST(sum(n) OVER (PARTITION BY text_id ORDER BY code) - n AS BIGINT) AS c FROM n""",
@@ -414,7 +419,7 @@ def oracle_sql() -> dict[str, str]:
         "bwt_inverse": f"WITH {_SEQUENCES} SELECT text_id, text FROM t",
         "fm_search": f"WITH {_SEQUENCES}, {_MATCHES} SELECT * FROM met",
         "fm_search_indexed": f"WITH {_SEQUENCES}, {_RANKS}, {_MATCHES} SELECT text_id, pattern_id, rank, pos FROM met JOIN sa USING (text_id, pos)",
-        "fm_index": f"WITH {_PARTS}, {_BWT} SELECT text_id, rank, pos, code, ch, occ, c FROM os JOIN cs USING (text_id, code)",
+        "fm_index": f"WITH {_READS}, {_BWT} SELECT text_id, rank, pos, code, ch, occ, c FROM os JOIN cs USING (text_id, code)",
         "approx_d1": f"{_near(1)} SELECT text_id, pattern_id, pos, edits, cigar, cigar_fwd, CAST(dist AS INT) AS dist FROM out",
         "approx_d2": f"{_near(2)} SELECT text_id, pattern_id, pos, cigar, CAST(dist AS INT) AS dist FROM out",
         "approx_best": f"{_near(2)}, n AS (SELECT text_id, pattern_id, CAST(dist AS INT) AS dist, count(*) AS n, min(min(dist)) OVER (PARTITION BY text_id, pattern_id) AS least FROM out GROUP BY text_id, pattern_id, dist) SELECT text_id, pattern_id, dist, n FROM n WHERE dist = least",
