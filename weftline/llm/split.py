@@ -201,6 +201,7 @@ def pieces(records: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, min_g
     schema = "ord bigint, own bigint, block_no bigint, piece_no bigint, piece_beg bigint, piece_end bigint, at bigint, at_gap boolean"
     plan = boundary_table(all_ranges, min_gap).mapInArrow(_plan(limit, overlap, min_gap), schema)
     texts = all_ranges.select(F.col("ord").alias("_o"), F.col("own").alias("_w"), F.col("block_no").alias("_b"), "text")
-    same = F.col("ord").eqNullSafe(F.col("_o")) & (F.col("own") == F.col("_w")) & (F.col("block_no") == F.col("_b"))
+    # No comparison here asks for a filter of nulls, so that both sides read the ranges from one shuffle.
+    same = F.col("ord").eqNullSafe(F.col("_o")) & F.col("own").eqNullSafe(F.col("_w")) & F.col("block_no").eqNullSafe(F.col("_b"))
     size = F.col("piece_end") - F.col("piece_beg")
     return plan.join(texts, same).select("ord", "piece_no", "piece_beg", "piece_end", "at_gap", F.substring("text", (F.col("at") + 1).cast("int"), size.cast("int")).alias("piece"))
