@@ -95,6 +95,20 @@ def test_leaves():
     assert [*neardup.leaves(np.full(500, 7, np.uint64), 0.5, 10)] == [(0, 500, neardup.DEPTH)]
 
 
+def test_packed_texts():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    some = ["", "A", "ACGT", "ACGTA", "NACG", "Ā", "T" * 1000, "acgt"] + ["".join(rng.choice("ACGT") for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(some, kind)
+        for part in (column, column[3:50], column[:0]):
+            packed = neardup.packed_texts(part)
+            assert neardup.unpacked_texts(packed) == part.to_pylist() and len(set(packed.to_pylist())) == len(set(part.to_pylist()))
+            assert neardup.unpacked_texts(packed[2:]) == part.to_pylist()[2:]
+    assert len(neardup.packed_texts(pa.array(["T" * 1000]))[0].as_py()) == 251
+
+
 def test_shape_and_similarity():
     for s in (0.5, 0.8, 1.0):
         assert 1 - math.exp(-neardup.forest_size(s) * neardup.weight(neardup.DEPTH, s)) >= neardup.RECALL

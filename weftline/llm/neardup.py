@@ -41,7 +41,7 @@ from weftline.llm.components import components
 from weftline.plans.lineage import cut
 
 WINDOW, SIMILARITY, RECALL, DEPTH, DEEPEST, LOAD = 8, 0.5, 0.998, 4, 8, 256
-SLOT_ROWS, FLUSH_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 1_000_000, 100_000, 1 << 18, 512, 26, 200_000
+SLOT_ROWS, FLUSH_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 1_000_000, 100_000, 1 << 18, 512, 28, 200_000
 
 
 def weight(depth: int, similarity: float = SIMILARITY) -> float:
@@ -54,6 +54,59 @@ def forest_size(similarity: float = SIMILARITY, recall: float = RECALL) -> int:
     return math.ceil(-math.log(1 - recall) / weight(DEPTH, similarity))
 
 
+# --- texts -----------------------------------------------------------------
+
+_BASES = np.full(256, 4, np.uint8)
+_BASES[[ord(c) for c in "ACGT"]] = [0, 1, 2, 3]
+_FOUR = np.frombuffer(b"ACGT", np.uint8)[(np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3]
+RAW = 255
+
+
+def _flat(column: pa.Array, kind: pa.DataType) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column without nulls and where each value begins, and the end."""
+    column = column.cast(kind)
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
+def packed_texts(column: pa.Array) -> pa.Array:
+    """Texts of A, C, G, T with four symbols a byte, others as they are; the first byte tells which, and how full the last one is."""
+    data, at = _flat(column, pa.string())
+    n = np.diff(at)
+    data = data[at[0] : at[-1]]
+    code = _BASES[data]
+    odd = np.concatenate(([0], np.cumsum(code == 4)))
+    plain = odd[at[1:] - at[0]] == odd[at[:-1] - at[0]]
+    size = 1 + np.where(plain, -(-n // 4), n)
+    to = np.concatenate(([0], np.cumsum(size)))
+    out = np.zeros(int(to[-1]), np.uint8)
+    out[to[:-1]] = np.where(plain, n & 3, RAW)
+    place = np.arange(len(data)) - np.repeat(at[:-1] - at[0], n)
+    begin, four = np.repeat(to[:-1] + 1, n), np.repeat(plain, n)
+    for k in range(4):
+        some = four & (place & 3 == k)
+        out[begin[some] + (place[some] >> 2)] |= code[some] << np.uint8(2 * k)
+    out[begin[~four] + place[~four]] = data[~four]
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(to.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked_texts(column: pa.Array) -> list[str]:
+    data, at = _flat(column, pa.binary())
+    if not len(column):
+        return []
+    whole = _FOUR[data[at[0] : at[-1]]].tobytes().decode("ascii")
+    head = data[at[:-1]].astype(np.int64)
+    n = np.where(head == 0, (np.diff(at) - 1) * 4, (np.diff(at) - 2) * 4 + head)
+    begin = (at[:-1] - at[0] + 1) * 4
+    return [whole[b : b + k] if h != RAW else data[x + 1 : y].tobytes().decode() for b, k, h, x, y in zip(begin.tolist(), n.tolist(), head.tolist(), at[:-1].tolist(), at[1:].tolist())]
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), packed_texts(batch.column(1))], names=["ord", "text"])
+
+
 # --- windows ---------------------------------------------------------------
 
 
@@ -189,7 +242,7 @@ def _forest(trees: range, ranges: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            lab, has = labels(batch.column(1).to_pylist(), trees, width)
+            lab, has = labels(unpacked_texts(batch.column(1)), trees, width)
             held.append((batch.column(0).to_numpy()[has], lab[has]))
             if sum(len(x[0]) for x in held) >= FLUSH_ROWS:
                 yield write(*map(np.concatenate, zip(*held)))
@@ -251,7 +304,7 @@ def _meetings(ranges: int, load: int):
 def _deeper(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tree, texts_ = batch.column(0).to_numpy(), batch.column(3).to_pylist()
+            tree, texts_ = batch.column(0).to_numpy(), unpacked_texts(batch.column(3))
             key = np.zeros(len(tree), np.uint64)
             for t in np.unique(tree).tolist():
                 at = np.flatnonzero(tree == t)
@@ -343,7 +396,7 @@ def _verify(similarity: float, width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            left, right = unpacked_texts(batch.column(2)), unpacked_texts(batch.column(3))
             ok = np.zeros(len(left), bool)
             for at in range(0, len(left), 4096):
                 ok[at : at + 4096] = similar(left[at : at + 4096], right[at : at + 4096], width) >= similarity
@@ -360,9 +413,13 @@ def _keyed(reads: DataFrame) -> DataFrame:
     return reads.select("ord", clean_seq(F.col("seq")).alias("text")).where("text <> '' AND ord IS NOT NULL")
 
 
+def _packed_reads(reads: DataFrame) -> DataFrame:
+    return _keyed(reads).mapInArrow(_pack, "ord bigint, text binary")
+
+
 def texts(reads: DataFrame) -> DataFrame:
-    """``rep, text``: each distinct clean text with the least ``ord`` that has it, and ``last``, the greatest."""
-    return _keyed(reads).groupBy("text").agg(F.min("ord").alias("rep"), F.max("ord").alias("last"))
+    """``rep, text``: each distinct clean text, packed, with the least ``ord`` that has it."""
+    return _packed_reads(reads).groupBy("text").agg(F.min("ord").alias("rep")).select("rep", "text")
 
 
 def _hash(text: str) -> list[Column]:
@@ -411,9 +468,10 @@ def candidates(all_texts: DataFrame, n: int, similarity: float = SIMILARITY, rec
 
 def text_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
     """``a, b`` (``a < b``): pairs of different texts, named by ``rep``, whose window sets are at least ``similarity`` alike."""
-    all_texts = texts(reads).select("rep", "text")
-    met = candidates(all_texts, reads.count(), similarity, recall, width, load)
-    left, right = (all_texts.select(F.col("rep").alias(c), F.col("text").alias(t)) for c, t in (("a", "left"), ("b", "right")))
+    met = candidates(texts(reads), reads.count(), similarity, recall, width, load)
+    # Texts are fetched by the number that names them, in one shuffle for both sides; redelivered rows once.
+    of = _packed_reads(reads).repartition("ord").distinct()
+    left, right = (of.select(F.col("ord").alias(c), F.col("text").alias(t)) for c, t in (("a", "left"), ("b", "right")))
     both = met.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return both.mapInArrow(_verify(similarity, width), "a bigint, b bigint")
 
