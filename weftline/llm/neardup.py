@@ -41,7 +41,7 @@ from weftline.llm.components import components
 from weftline.plans.lineage import cut
 
 WINDOW, SIMILARITY, RECALL, DEPTH, DEEPEST, LOAD = 8, 0.5, 0.998, 4, 8, 256
-SLOT_ROWS, FLUSH_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 250_000, 100_000, 1 << 18, 512, 27, 200_000
+SLOT_ROWS, FLUSH_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 250_000, 200_000, 1 << 18, 512, 27, 200_000
 
 
 def weight(depth: int, similarity: float = SIMILARITY) -> float:
