@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.exact import BLOCK, SEED, _text_blocks, exact_matches, find_all
 from weftline.operators.pattern_blocks import over_blocks
+from weftline.plans.lineage import cut
 
 SCHEMA = "text_id bigint, pattern_id bigint, pos bigint, edits string, cigar string, cigar_fwd string, dist int"
 _ARROW = pa.schema([("text_id", pa.int64()), ("pattern_id", pa.int64()), ("pos", pa.int64()), ("edits", pa.string()), ("cigar", pa.string()), ("cigar_fwd", pa.string()), ("dist", pa.int32())])
@@ -111,7 +112,7 @@ def _parts(patterns: DataFrame, d: int) -> DataFrame:
 
 
 def _by_seed(texts: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
-    patterns = patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct()
+    patterns = cut(patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct())
     long_ = F.length("pattern") >= SEED * (d + 1)
     some = patterns.where(long_)
     parts = _parts(some, d)

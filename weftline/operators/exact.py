@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from weftline.functions.binding import let, total
 from weftline.functions.sequences import symbols
 from weftline.operators.pattern_blocks import over_blocks
+from weftline.plans.lineage import cut
 
 SEED, BLOCK, FILTER = 16, 1 << 11, 1 << 26
 SCHEMA = "text_id bigint, pattern_id bigint, pos bigint"
@@ -332,7 +333,8 @@ def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int |
     So patterns that share a common beginning do not all meet at its places. Only the places of a text that pass a filter of all seeds travel. A text is seen in blocks with a halo of the longest
     pattern, so the comparison never rescans a long text.
     """
-    patterns = patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct()
+    # Written once, as the longest, the filter and the join each read them.
+    patterns = cut(patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct())
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
     # Small blocks, as symbols are counted from their begin, but a halo is a small part of its block.
     block = block or max(BLOCK, 8 * longest)
