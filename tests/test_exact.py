@@ -58,7 +58,7 @@ def test_seeds_pass_a_filter(spark):
     p = spark.createDataFrame(patterns, "pattern_id bigint, pattern string, text string")
     seeds = spark.createDataFrame([(5,), (69,), (64,)], "seed bigint")
     assert exact.seed_filter(seeds, 64).tolist() == [0b100001] and exact.seed_filter(seeds, 128).tolist() == [1 << 5, 0b100001]
-    got = sorted(map(str, (tuple(r) for r in exact._by_seed(t.select("text_id", "text"), p, block=64).collect())))
+    got = sorted(map(str, (tuple(r) for r in exact.by_seed(t.select("text_id", "text"), p, block=64).collect())))
     assert got == sorted(map(str, naive(texts, patterns)))
 
 
@@ -81,7 +81,7 @@ def test_seed_across_blocks(spark):
     x = "".join(rng.choice("acgt") for _ in range(3000))
     t = spark.createDataFrame([(1, x)], "text_id bigint, text string")
     p = spark.createDataFrame([(i, x[i * 40 : i * 40 + 90]) for i in range(70)], "pattern_id bigint, pattern string")
-    got = sorted((r.pattern_id, r.pos) for r in exact._by_seed(t, p, block=128).collect())
+    got = sorted((r.pattern_id, r.pos) for r in exact.by_seed(t, p, block=128).collect())
     assert got == [(i, i * 40) for i in range(70)]
 
 

@@ -14,7 +14,8 @@ with the cost bound. The work grows steeply with ``d``.
 ``strategy="seed"`` is for pattern tables too large to be sent to every worker: the
 parts meet the texts by the seed join of ``exact``, every place where an
 alignment may end is looked at once, with the stretch of text before it, and no
-task holds a pattern table. It needs each ``text_id`` once.
+task holds a pattern table. It needs each ``text_id`` and each ``pattern_id`` once,
+and rows of patterns without a ``pattern_id`` take no part in it.
 
 Results for odd input: null texts and patterns take no part; a pattern with a
 symbol that the text does not have has no match, whatever ``d``; a pattern of at
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.exact import BLOCK, SEED, _text_blocks, exact_matches, find_all
+from weftline.operators.exact import BLOCK, SEED, _text_blocks, by_seed, find_all
 from weftline.operators.pattern_blocks import over_blocks
 from weftline.plans.lineage import cut
 
@@ -104,36 +105,42 @@ def alignments_at(x: str, p: str, d: int, ends: list[int]) -> Iterator[tuple[int
                     todo.append((i, j - 1, cost + 1, edits + "D"))
 
 
+def _letters(c: str) -> Column:
+    return F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
+
+
 def _parts(patterns: DataFrame, d: int) -> DataFrame:
-    """``pattern_id, pattern, shift, part``: the ``d + 1`` parts of each pattern; a part begins ``shift`` symbols before the end of its pattern."""
-    cut = lambda i: F.floor(F.length("pattern") * i / (d + 1)).cast("int")
-    parts = F.array(*(F.struct((F.length("pattern") - cut(i)).alias("shift"), F.substring("pattern", cut(i) + 1, cut(i + 1) - cut(i)).alias("part")) for i in range(d + 1)))
-    return patterns.select("pattern_id", "pattern", F.inline(parts))
+    """``pattern_id, m, needs, shift, part``: the ``d + 1`` parts of each pattern with its length and symbols; a part begins ``shift`` symbols before the end of its pattern."""
+    cut_at = lambda i: F.floor(F.length("pattern") * i / (d + 1)).cast("int")
+    parts = F.array(*(F.struct((F.length("pattern") - cut_at(i)).alias("shift"), F.substring("pattern", cut_at(i) + 1, cut_at(i + 1) - cut_at(i)).alias("part")) for i in range(d + 1)))
+    return patterns.select("pattern_id", F.length("pattern").alias("m"), _letters("pattern").alias("needs"), F.inline(parts))
 
 
-def _by_seed(texts: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
-    patterns = cut(patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct())
+def approx_by_seed(texts: DataFrame, patterns: DataFrame, d: int, unique: bool = False) -> DataFrame:
+    """``approx_matches`` by the seed join; ``unique``: the patterns are distinct and written already. Patterns too short for seeds go in blocks."""
+    texts = texts.select("text_id", "text").where("text IS NOT NULL")
+    if not unique:
+        patterns = cut(patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct())
     long_ = F.length("pattern") >= SEED * (d + 1)
     some = patterns.where(long_)
     parts = _parts(some, d)
-    # Equal parts are looked for once.
-    words = parts.groupBy("part").agg(F.min(F.struct("pattern_id", "shift")).alias("k")).select(F.xxhash64("part").alias("pattern_id"), F.col("part").alias("pattern"))
-    hits = exact_matches(texts, words, "seed").withColumnRenamed("pattern_id", "word")
-    near = hits.join(parts.withColumn("word", F.xxhash64("part")), "word")
-    # Two words with one hash only add places; alignments are made from the texts.
+    # Equal parts are looked for once. Two with one hash only add places, as alignments are made from the texts.
+    words = cut(parts.groupBy("part").agg(F.count("*")).select(F.xxhash64("part").alias("pattern_id"), F.col("part").alias("pattern")))
+    hits = by_seed(texts, words, unique=True).withColumnRenamed("pattern_id", "word")
+    near = hits.join(parts.select("pattern_id", "m", "needs", "shift", F.xxhash64("part").alias("word")), "word")
     ends = F.sequence(F.col("pos") + F.col("shift") - d, F.col("pos") + F.col("shift") + d)
-    places = near.select("text_id", "pattern_id", "pattern", F.explode(ends).alias("stop")).where("stop >= 0").distinct()
+    places = near.select("text_id", "pattern_id", "m", "needs", F.explode(ends).alias("stop")).where("stop >= 0").distinct()
+    has = texts.select(F.col("text_id").alias("_t"), _letters("text").alias("letters"))
+    known = places.join(has, F.col("text_id").eqNullSafe(F.col("_t"))).where(F.size(F.array_except("needs", "letters")) == 0)
+    known = known.select("text_id", "pattern_id", "stop", F.greatest(F.lit(0), F.col("stop") - F.col("m") - d).alias("begin"))
     longest = some.agg(F.max(F.length("pattern"))).first()[0] or 0
     block = max(BLOCK, 8 * (longest + d))
-    letters = F.array_distinct(F.filter(F.split("text", ""), lambda c: c != ""))
-    held = texts.select(F.col("text_id").alias("_t"), F.length("text").cast("bigint").alias("n"), letters.alias("letters"))
-    lacks = F.exists(F.split("pattern", ""), lambda c: (c != "") & ~F.array_contains(F.col("letters"), c))
-    known = places.join(held, F.col("text_id").eqNullSafe(F.col("_t"))).where((F.col("stop") <= F.col("n")) & ~lacks).drop("_t", "letters", "n")
-    begin = F.greatest(F.lit(0), F.col("stop") - F.length("pattern") - d)
     stretches = texts.mapInArrow(_text_blocks(block, longest + d), "text_id bigint, block_no bigint, part string").select(F.col("text_id").alias("_t"), F.col("block_no").alias("_b"), F.col("part").alias("stretch"))
-    same = F.col("text_id").eqNullSafe(F.col("_t")) & (F.floor(begin / block) == F.col("_b"))
-    met = known.withColumn("begin", begin).join(stretches, same)
-    ready = met.select("text_id", "pattern_id", "pattern", "begin", F.substring("stretch", (F.col("begin") % block + 1).cast("int"), (F.col("stop") - F.col("begin")).cast("int")).alias("window"))
+    same = F.col("text_id").eqNullSafe(F.col("_t")) & (F.floor(F.col("begin") / block) == F.col("_b"))
+    window = F.substring("stretch", (F.col("begin") % block + 1).cast("int"), (F.col("stop") - F.col("begin")).cast("int"))
+    met = known.join(stretches, same).select("text_id", "pattern_id", "begin", "stop", window.alias("window"))
+    # A place behind the end of its text has a shorter window.
+    ready = met.where(F.length("window") == F.col("stop") - F.col("begin")).join(some, "pattern_id").select("text_id", "pattern_id", "pattern", "begin", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -153,7 +160,7 @@ def _by_seed(texts: DataFrame, patterns: DataFrame, d: int) -> DataFrame:
 def approx_matches(texts: DataFrame, patterns: DataFrame, d: int, strategy: str = "blocks") -> DataFrame:
     """``text_id, pattern_id, pos, edits, cigar, cigar_fwd, dist`` of all alignments with at most ``d`` edits."""
     if strategy == "seed":
-        return _by_seed(texts.select("text_id", "text").where("text IS NOT NULL"), patterns, d)
+        return approx_by_seed(texts, patterns, d)
 
     def one(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
         shared = texts.sparkSession.sparkContext.broadcast(block)

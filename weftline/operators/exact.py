@@ -327,14 +327,15 @@ def _text_blocks(block: int, halo: int):
     return run
 
 
-def _by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int | None = None) -> DataFrame:
+def by_seed(texts: DataFrame, patterns: DataFrame, q: int = SEED, block: int | None = None, unique: bool = False) -> DataFrame:
     """Long patterns meet texts on the hash of their first ``q`` symbols, those of at least ``4 * q`` on that of so many, and are then compared whole; the few short ones go by automaton.
 
     So patterns that share a common beginning do not all meet at its places. Only the places of a text that pass a filter of all seeds travel. A text is seen in blocks with a halo of the longest
-    pattern, so the comparison never rescans a long text.
+    pattern, so the comparison never rescans a long text. ``unique``: the patterns are distinct and written already.
     """
-    # Written once, as the longest, the filter and the join each read them.
-    patterns = cut(patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct())
+    if not unique:
+        # Written once, as the longest, the filter and the join each read them.
+        patterns = cut(patterns.select("pattern_id", "pattern").where("pattern IS NOT NULL").distinct())
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 0
     # Small blocks, as symbols are counted from their begin, but a halo is a small part of its block.
     block = block or max(BLOCK, 8 * longest)
@@ -366,5 +367,5 @@ def exact_matches(texts: DataFrame, patterns: DataFrame, strategy: str = "automa
     """All occurrences; see the module. ``seed`` needs each ``text_id`` once."""
     texts = texts.select("text_id", "text").where("text IS NOT NULL")
     if strategy == "seed":
-        return _by_seed(texts, patterns)
+        return by_seed(texts, patterns)
     return over_blocks(texts, patterns, STRATEGIES[strategy])
