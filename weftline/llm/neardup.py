@@ -107,6 +107,13 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), packed_texts(batch.column(1))], names=["ord", "text"])
 
 
+def _pack_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text of a batch once, with its least ``ord``, so that hot copies do not travel one by one."""
+    for batch in _pack(batches):
+        once = pa.Table.from_batches([batch]).group_by("text").aggregate([("ord", "min")])
+        yield from once.select(["ord_min", "text"]).rename_columns(["ord", "text"]).combine_chunks().to_batches()
+
+
 # --- windows ---------------------------------------------------------------
 
 
@@ -413,13 +420,15 @@ def _keyed(reads: DataFrame) -> DataFrame:
     return reads.select("ord", clean_seq(F.col("seq")).alias("text")).where("text <> '' AND ord IS NOT NULL")
 
 
-def _packed_reads(reads: DataFrame) -> DataFrame:
-    return _keyed(reads).mapInArrow(_pack, "ord bigint, text binary")
+def _partitions(df: DataFrame) -> int:
+    """The number of partitions is given where rows are small and the work on them is not."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def texts(reads: DataFrame) -> DataFrame:
     """``rep, text``: each distinct clean text, packed, with the least ``ord`` that has it."""
-    return _packed_reads(reads).groupBy("text").agg(F.min("ord").alias("rep")).select("rep", "text")
+    packed = _keyed(reads).mapInArrow(_pack_once, "ord bigint, text binary")
+    return packed.repartition(_partitions(reads), "text").groupBy("text").agg(F.min("ord").alias("rep")).select("rep", "text")
 
 
 def _hash(text: str) -> list[Column]:
@@ -470,7 +479,7 @@ def text_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float =
     """``a, b`` (``a < b``): pairs of different texts, named by ``rep``, whose window sets are at least ``similarity`` alike."""
     met = candidates(texts(reads), reads.count(), similarity, recall, width, load)
     # Texts are fetched by the number that names them, in one shuffle for both sides; redelivered rows once.
-    of = _packed_reads(reads).repartition("ord").distinct()
+    of = _keyed(reads).mapInArrow(_pack, "ord bigint, text binary").repartition(_partitions(reads), "ord").distinct()
     left, right = (of.select(F.col("ord").alias(c), F.col("text").alias(t)) for c, t in (("a", "left"), ("b", "right")))
     both = met.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return both.mapInArrow(_verify(similarity, width), "a bigint, b bigint")
