@@ -84,6 +84,49 @@ def test_crowded_prefixes(spark, rows, load):
     assert got <= want and len(got) >= 0.998 * len(want)
 
 
+def test_chance_meetings(spark):
+    """Reads that share only a foreign tail meet often, and all pairs of a meeting would be the square of their number."""
+    rng = random.Random(11)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    tail, one = dna(30), dna(70)
+    tailed = [(i, "n", dna(40) + tail, 1, "t", 2) for i in range(800)]
+    # Alike texts that meet in prefixes as large stay.
+    alike = [(2000 + i, "n", one[:k] + "ACGT"[i % 4] + one[k + 1 :], 1, "t", 2) for i, k in enumerate(rng.choices(range(70), k=60))]
+    tailed.append(tailed[0])
+    met = [tuple(r) for r in neardup.candidates(spark.createDataFrame([*tailed, *alike], SCHEMA)).collect()]
+    assert len(met) == len(set(met)) and sum(b < 2000 for _, b in met) < 30 * 800
+    first = {}
+    for o, _, s, *_ in alike:
+        first.setdefault(s, (o, "n", s))
+    want = brute(first.values())
+    assert len(want) > 500 and len(want & set(met)) >= 0.998 * len(want)
+
+
+def test_texts_by_shuffle(spark, rows, monkeypatch):
+    """Where too many rows need their texts, these are joined by shuffle."""
+    df = spark.createDataFrame(rows, SCHEMA)
+    few = {tuple(r) for r in neardup.candidates(df, load=3).collect()}
+    monkeypatch.setattr(neardup, "FEW", 0)
+    assert few == {tuple(r) for r in neardup.candidates(df, load=3).collect()}
+
+
+def test_marks():
+    """Bit sets rule no similar pair out, and nearly all pairs of reads with one foreign tail."""
+    import numpy as np
+
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    x = [word(rng.randint(1, 300)) for _ in range(400)] + ["A" * 40, "", word(5000)]
+    y = [t[rng.randint(0, len(t) // 3) :] + word(rng.randint(0, len(t) // 3)) for t in x]
+    (mx, nx), (my, ny) = neardup.marks(x), neardup.marks(y)
+    for s in (0.3, 0.5, 0.8):
+        assert neardup.near(mx, my, nx + ny, s)[neardup.similar(x, y) >= s].all()
+    tail = word(25)
+    mark, n = neardup.marks([word(100) + tail for _ in range(200)])
+    a, b = np.triu_indices(200, 1)
+    assert neardup.near(mark[a], mark[b], n[a] + n[b], 0.5).mean() < 0.001
+
+
 def test_leaves():
     import numpy as np
 

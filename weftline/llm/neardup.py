@@ -5,11 +5,15 @@
    of which the trie of a tree is made. The subtrees below ``DEPTH`` min-hashes
    are sorted first: a label of that prefix and the text travel in compact
    sorted containers, and texts next to each other with one prefix are candidates.
-3. A prefix that more than ``LOAD`` texts share is crowded, and its subtree is
+3. Texts that meet by chance, such as reads with one foreign tail, grow as the
+   square of the collection. So from a prefix that more than ``CLOSE`` texts share
+   no pair is sent: its texts are fetched once each, as bit sets of their windows,
+   and only pairs whose bit sets do not rule the similarity out are candidates.
+   A prefix that more than ``LOAD`` texts share is crowded, and its subtree is
    descended: the following min-hashes of its texts, up to ``DEEPEST``, are made
    and sorted. A node is a leaf where at most ``LOAD`` texts are left, or where
    the next min-hash agrees so often that the texts are alike and not there by
-   chance. Texts in one leaf are candidates.
+   chance. Texts in one leaf are candidates under the same condition.
 4. At similarity s a text meets a like one in a leaf of depth d with probability
    s**d. A text whose leaves were deep has not reached the target recall by the
    trees so far; it goes on with further trees, in which it again stops at the
@@ -27,7 +31,7 @@ null ``ord`` take no part; further columns are ignored.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -40,7 +44,7 @@ from weftline.functions.sequences import clean_seq, symbols
 from weftline.llm.components import components
 from weftline.plans.lineage import cut
 
-WINDOW, SIMILARITY, RECALL, DEPTH, DEEPEST, LOAD = 8, 0.5, 0.998, 4, 8, 256
+WINDOW, SIMILARITY, RECALL, DEPTH, DEEPEST, LOAD, CLOSE, MARK = 8, 0.5, 0.998, 4, 8, 256, 8, 512
 SLOT_ROWS, FLUSH_ROWS, PAIR_ROWS, READ_ROWS, LABEL, FEW = 250_000, 200_000, 1 << 18, 512, 27, 200_000
 
 
@@ -214,6 +218,24 @@ def deeper(texts: list[str], tree: int, width: int = WINDOW) -> np.ndarray:
     return out
 
 
+def marks(texts: list[str], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """A set of ``MARK`` bits of the windows of each text (row: text), and how many windows it has, equal ones included."""
+    out = np.zeros((len(texts), MARK // 64), np.uint64)
+    for some, h in _matrices(texts, width):
+        bits = np.zeros((len(some), MARK), bool)
+        bits[np.arange(len(some))[:, None], h % np.uint32(MARK)] = True
+        out[some] = np.packbits(bits, axis=1).view(np.uint64)
+    return out, np.array([max(0, len(t) - width + 1) for t in texts], np.int64)
+
+
+def near(x: np.ndarray, y: np.ndarray, windows: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of bit sets may belong to texts that are similar; ``windows``: of both texts. None that is similar is ruled out.
+
+    Bits that differ are at most the windows that differ, and these at most so large a part of the windows of both.
+    """
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= windows * ((1 - similarity) / (1 + similarity)) + 1e-6
+
+
 # --- containers ------------------------------------------------------------
 
 
@@ -260,8 +282,8 @@ def _forest(trees: range, ranges: int, width: int):
     return run
 
 
-def _pairs(rep: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """All pairs of neighbours in groups of the given sizes, in batches of bounded size however many meet."""
+def _pairs(rep: np.ndarray, size: np.ndarray, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
+    """All pairs of neighbours in groups of the given sizes that ``keep`` keeps, in batches of bounded size however many meet."""
     rest = np.repeat(np.cumsum(size), size) - np.arange(len(rep)) - 1  # partners after each entry
     upto = np.cumsum(rest)
     at = 0
@@ -271,14 +293,17 @@ def _pairs(rep: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         some = rest[at:to]
         a = np.repeat(np.arange(at, to), some)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(some) - some, some)
+        if keep is not None:
+            some = keep(a, b)
+            a, b = a[some], b[some]
         if len(a):
             x, y = rep[a], rep[b]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), -1)), pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_FOUND)
         at = to
 
 
-def _meetings(ranges: int, load: int):
-    """Texts with the same prefix, tree by tree and range by range: pairs (tree -1), or the texts ``a`` of a crowded prefix ``b``."""
+def _meetings(ranges: int, close: int):
+    """Texts with the same prefix, tree by tree and range by range: pairs (tree -1), or the texts ``a`` of a prefix ``b`` of more than ``close``."""
 
     def met(slot: int, labs: list[np.ndarray], reps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         lab, rep = np.concatenate(labs), np.concatenate(reps)
@@ -286,8 +311,8 @@ def _meetings(ranges: int, load: int):
         lab, rep = lab[order], rep[order]
         first = np.flatnonzero(np.concatenate(([True], lab[1:] != lab[:-1])))
         size = np.diff(np.append(first, len(lab)))
-        many = np.repeat(size > load, size)
-        yield from _pairs(rep[~many], size[size <= load])
+        many = np.repeat(size > close, size)
+        yield from _pairs(rep[~many], size[size <= close])
         if many.any():
             node = (np.int64(slot % ranges) << np.int64(LABEL)) | lab[many].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), slot // ranges)), pa.array(rep[many]), pa.array(node)], schema=_FOUND)
@@ -308,15 +333,21 @@ def _meetings(ranges: int, load: int):
     return run
 
 
-def _deeper(width: int):
+def _marked(width: int):
+    """The texts of shared prefixes as the min-hashes that follow and as bit sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tree, texts_ = batch.column(0).to_numpy(), unpacked_texts(batch.column(3))
+            tree, column = batch.column(0).to_numpy(), batch.column(3)
+            texts_ = unpacked_texts(column) if pa.types.is_binary(column.type) else column.to_pylist()
             key = np.zeros(len(tree), np.uint64)
             for t in np.unique(tree).tolist():
                 at = np.flatnonzero(tree == t)
                 key[at] = deeper([texts_[i] for i in at], t, width)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key.view(np.int64))], names=["tree", "a", "b", "deep"])
+            mark, windows = marks(texts_, width)
+            each = np.arange(len(tree) + 1, dtype=np.int32) * np.int32(MARK // 8)
+            mark = pa.Array.from_buffers(pa.binary(), len(tree), [None, pa.py_buffer(each), pa.py_buffer(mark)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(key.view(np.int64)), pa.array(windows), mark], names=["tree", "a", "b", "deep", "windows", "mark"])
 
     return run
 
@@ -339,35 +370,38 @@ def leaves(deep: np.ndarray, similarity: float, load: int = LOAD) -> Iterator[tu
 
 
 def _descend(similarity: float, load: int):
-    """Pairs (tree -1) of the leaves below each crowded prefix, and the texts ``a`` whose leaf is at depth ``b`` (tree 0)."""
+    """Pairs (tree -1) of the leaves below each shared prefix that may be similar, and the texts ``a`` whose leaf is at depth ``b`` (tree 0)."""
 
-    def met(reps: list[np.ndarray], deeps: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rep, deep = np.concatenate(reps), np.concatenate(deeps).view(np.uint64)
-        order = np.argsort(deep, kind="stable")
+    def met(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        rep, deep, windows, mark = map(np.concatenate, zip(*parts))
+        _, once = np.unique(rep, return_index=True)  # redelivered rows once
+        deep = deep.view(np.uint64)
+        order = once[np.argsort(deep[once], kind="stable")]
         rep, deep = rep[order], deep[order]
         found = np.array([*leaves(deep, similarity, load)], np.int64).reshape(-1, 3)
         found = found[np.argsort(found[:, 0])]
         size = found[:, 1] - found[:, 0]
-        yield from _pairs(rep, size)
+        yield from _pairs(rep, size, lambda a, b: near(mark[order[a]], mark[order[b]], windows[order[a]] + windows[order[b]], similarity))
         depth = np.repeat(found[:, 2], size)
         late = depth > DEPTH
         yield pa.RecordBatch.from_arrays([pa.array(np.zeros(int(late.sum()), np.int64)), pa.array(rep[late]), pa.array(depth[late])], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, reps, deeps = None, [], []
+        node, parts = None, []
         for batch in batches:
-            tree, rep, label, deep = (batch.column(i).to_numpy() for i in range(4))
+            tree, rep, label, deep, windows = (batch.column(i).to_numpy() for i in range(5))
+            data, at = _flat(batch.column(5), pa.binary())
+            mark = np.frombuffer(data[at[0] : at[-1]].tobytes(), np.uint64).reshape(len(tree), -1)
             cuts = np.flatnonzero(np.concatenate(([True], (tree[1:] != tree[:-1]) | (label[1:] != label[:-1]))))
             for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(tree)]):
                 now = (int(tree[lo]), int(label[lo]))
-                if now != node and reps:
-                    yield from met(reps, deeps)
-                    reps, deeps = [], []
+                if now != node and parts:
+                    yield from met(parts)
+                    parts = []
                 node = now
-                reps.append(rep[lo:hi])
-                deeps.append(deep[lo:hi])
-        if reps:
-            yield from met(reps, deeps)
+                parts.append((rep[lo:hi], deep[lo:hi], windows[lo:hi], mark[lo:hi]))
+        if parts:
+            yield from met(parts)
 
     return run
 
@@ -447,39 +481,56 @@ def copies(reads: DataFrame, width: int = WINDOW) -> DataFrame:
     return keyed.join(reps, ["h1", "h2"]).select("ord", "rep", "has").distinct()
 
 
-def candidates(all_texts: DataFrame, n: int, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
-    """``a, b`` (``a < b``): texts that lie in one leaf of some tree; ``n``: about how many texts there are."""
+def _fetched(shared: DataFrame, reads: DataFrame) -> DataFrame:
+    """``tree, a, b`` with the text of ``a``, as it is or packed: few rows are sent to where the records lie, many are joined by shuffle."""
+    if shared.count() <= FEW:
+        return reads.select("ord", "seq").join(F.broadcast(shared), F.col("ord") == F.col("a")).select("tree", "a", "b", clean_seq(F.col("seq")).alias("text"))
+    return _by_ord(reads).join(shared, F.col("ord") == F.col("a")).select("tree", "a", "b", "text")
+
+
+def candidates(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
+    """``a, b`` (``a < b``): texts that lie in one leaf of some tree, without such as bit sets of their windows rule out."""
+    all_texts, n = texts(reads), reads.count()
     size, ranges, target = forest_size(similarity, recall), -(-max(1, n) // SLOT_ROWS), -math.log(1 - recall)
     rest, lost, pairs, first = all_texts, None, None, 0
     while True:
         trees = range(first, first + size)
         first += size
         forest = rest.mapInArrow(_forest(trees, ranges, width), "slot bigint, label binary, rep binary")
-        found = cut(forest.repartition("slot").sortWithinPartitions("slot").mapInArrow(_meetings(ranges, load), _FOUND_SQL).distinct())
-        met, crowded = found.where("tree < 0").select("a", "b"), found.where("tree >= 0")
+        found = cut(forest.repartition("slot").sortWithinPartitions("slot").mapInArrow(_meetings(ranges, min(CLOSE, load)), _FOUND_SQL).distinct())
+        met, shared = found.where("tree < 0").select("a", "b"), found.where("tree >= 0")
+        alone = shared.isEmpty()
         pairs = met if pairs is None else pairs.union(met)
-        if crowded.isEmpty():
+        if alone:
             break
-        deep = crowded.join(all_texts, crowded["a"] == all_texts["rep"]).select("tree", "a", crowded["b"], "text").mapInArrow(_deeper(width), "tree bigint, a bigint, b bigint, deep bigint")
+        deep = _fetched(shared, reads).mapInArrow(_marked(width), "tree bigint, a bigint, b bigint, deep bigint, windows bigint, mark binary")
         below = cut(deep.repartition("tree", "b").sortWithinPartitions("tree", "b").mapInArrow(_descend(similarity, load), _FOUND_SQL))
         pairs = pairs.union(below.where("tree < 0").select("a", "b"))
+        late = below.where("tree = 0")
+        if late.isEmpty():  # no text lost recall to these trees, so all have reached the target
+            break
         less = F.lit(0.0)
         for d in range(DEPTH + 1, DEEPEST + 1):
             less = F.when(F.col("b") == d, weight(DEPTH, similarity) - weight(d, similarity)).otherwise(less)
-        now = below.where("tree = 0").select(F.col("a").alias("rep"), less.alias("lost"))
+        now = late.select(F.col("a").alias("rep"), less.alias("lost"))
         lost = cut((now if lost is None else lost.union(now)).groupBy("rep").agg(F.sum("lost").alias("lost")))
         late = lost.where(first * weight(DEPTH, similarity) - F.col("lost") < target).select("rep")
         if late.isEmpty():
             break
         rest = all_texts.join(late, "rep", "left_semi")
-    return pairs.distinct() if first > size or not crowded.isEmpty() else pairs
+    return pairs.distinct() if first > size or not alone else pairs
+
+
+def _by_ord(reads: DataFrame) -> DataFrame:
+    """``ord, text``: every record with its packed text, by ``ord``; redelivered rows once."""
+    return _keyed(reads).mapInArrow(_pack, "ord bigint, text binary").repartition(_partitions(reads), "ord").distinct()
 
 
 def text_pairs(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
     """``a, b`` (``a < b``): pairs of different texts, named by ``rep``, whose window sets are at least ``similarity`` alike."""
-    met = candidates(texts(reads), reads.count(), similarity, recall, width, load)
-    # Texts are fetched by the number that names them, in one shuffle for both sides; redelivered rows once.
-    of = _keyed(reads).mapInArrow(_pack, "ord bigint, text binary").repartition(_partitions(reads), "ord").distinct()
+    met = candidates(reads, similarity, recall, width, load)
+    # Texts are fetched by the number that names them, in one shuffle for both sides.
+    of = _by_ord(reads)
     left, right = (of.select(F.col("ord").alias(c), F.col("text").alias(t)) for c, t in (("a", "left"), ("b", "right")))
     both = met.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return both.mapInArrow(_verify(similarity, width), "a bigint, b bigint")
