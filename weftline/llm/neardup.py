@@ -106,6 +106,10 @@ def unpacked_texts(column: pa.Array) -> list[str]:
     return [whole[b : b + k] if h != RAW else data[x + 1 : y].tobytes().decode() for b, k, h, x, y in zip(begin.tolist(), n.tolist(), head.tolist(), at[:-1].tolist(), at[1:].tolist())]
 
 
+def _unpacked_any(column: pa.Array) -> list[str]:
+    return unpacked_texts(column) if pa.types.is_binary(column.type) else column.to_pylist()
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), packed_texts(batch.column(1))], names=["ord", "text"])
@@ -271,7 +275,7 @@ def _forest(trees: range, ranges: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            lab, has = labels(unpacked_texts(batch.column(1)), trees, width)
+            lab, has = labels(_unpacked_any(batch.column(1)), trees, width)
             held.append((batch.column(0).to_numpy()[has], lab[has]))
             if sum(len(x[0]) for x in held) >= FLUSH_ROWS:
                 yield write(*map(np.concatenate, zip(*held)))
@@ -338,8 +342,7 @@ def _marked(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tree, column = batch.column(0).to_numpy(), batch.column(3)
-            texts_ = unpacked_texts(column) if pa.types.is_binary(column.type) else column.to_pylist()
+            tree, texts_ = batch.column(0).to_numpy(), _unpacked_any(batch.column(3))
             key = np.zeros(len(tree), np.uint64)
             for t in np.unique(tree).tolist():
                 at = np.flatnonzero(tree == t)
@@ -481,18 +484,18 @@ def copies(reads: DataFrame, width: int = WINDOW) -> DataFrame:
     return keyed.join(reps, ["h1", "h2"]).select("ord", "rep", "has").distinct()
 
 
-def _fetched(shared: DataFrame, reads: DataFrame) -> DataFrame:
-    """``tree, a, b`` with the text of ``a``, as it is or packed: few rows are sent to where the records lie, many are joined by shuffle."""
-    if shared.count() <= FEW:
-        return reads.select("ord", "seq").join(F.broadcast(shared), F.col("ord") == F.col("a")).select("tree", "a", "b", clean_seq(F.col("seq")).alias("text"))
-    return _by_ord(reads).join(shared, F.col("ord") == F.col("a")).select("tree", "a", "b", "text")
+def _fetched(some: DataFrame, reads: DataFrame) -> DataFrame:
+    """``some`` with the text of ``a``, as it is or packed: few rows are sent to where the records lie, many are joined by shuffle."""
+    if some.count() <= FEW:
+        return reads.select("ord", "seq").join(F.broadcast(some), F.col("ord") == F.col("a")).select(*some.columns, clean_seq(F.col("seq")).alias("text")).where("text <> ''")
+    return _by_ord(reads).join(some, F.col("ord") == F.col("a")).select(*some.columns, "text")
 
 
 def candidates(reads: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, width: int = WINDOW, load: int = LOAD) -> DataFrame:
     """``a, b`` (``a < b``): texts that lie in one leaf of some tree, without such as bit sets of their windows rule out."""
-    all_texts, n = texts(reads), reads.count()
+    rest, n = texts(reads), reads.count()
     size, ranges, target = forest_size(similarity, recall), -(-max(1, n) // SLOT_ROWS), -math.log(1 - recall)
-    rest, lost, pairs, first = all_texts, None, None, 0
+    lost, pairs, first = None, None, 0
     while True:
         trees = range(first, first + size)
         first += size
@@ -517,7 +520,7 @@ def candidates(reads: DataFrame, similarity: float = SIMILARITY, recall: float =
         late = lost.where(first * weight(DEPTH, similarity) - F.col("lost") < target).select("rep")
         if late.isEmpty():
             break
-        rest = all_texts.join(late, "rep", "left_semi")
+        rest = _fetched(late.select(F.col("rep").alias("a")), reads).repartition(_partitions(reads), "a").distinct()
     return pairs.distinct() if first > size or not alone else pairs
 
 
