@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.operators import fm, suffix
@@ -90,6 +92,23 @@ def test_searches_agree(spark, some):
     assert [p for i, k, _, p in want if i == 1 and k == 0] == [10, 7, 4, 1]
 
 
+def test_tree_search_joins_nothing(spark, some):
+    t = texts(spark, [*some, (1, MISS), (3, "ba"), (None, "a"), (99, None)])
+    found = suffix.tree_search(t, words(spark, "i", "a", "", "zz"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Repartition" not in plan
+    key = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    assert key(found) == key(suffix.sa_search(t, words(spark, "i", "a", "", "zz")))
+
+
+def test_leaves_in_small_batches(monkeypatch):
+    monkeypatch.setattr(suffix, "ROWS", 2)
+    schema = pa.schema([(c, pa.int64()) for c in ("text_id", "pattern_id", "rank", "pos")])
+    parts = list(suffix._leaves([(7, 1, 4, np.array([3, 0, 5])), (None, 2, 0, np.array([9]))], schema))
+    assert [x.num_rows for x in parts] == [2, 2]
+    assert [tuple(r.values()) for x in parts for r in x.to_pylist()] == [(7, 1, 4, 3), (7, 1, 5, 0), (7, 1, 6, 5), (None, 2, 0, 9)]
+
+
 def test_tree_shape(spark, some):
     for i, x in some:
         nodes = suffix.tree(texts(spark, [(i, x)])).orderBy("node_id").collect() if i in (1, 2, 4, 30) else []

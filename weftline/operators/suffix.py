@@ -31,7 +31,7 @@ from weftline.operators.pattern_blocks import over_blocks
 from weftline.plans.lineage import cut
 from weftline.plans.ordinal import with_ordinal
 
-BATCH, LOCAL, STEP = 1 << 20, 1 << 25, 16
+BATCH, LOCAL, STEP, ROWS = 1 << 20, 1 << 25, 16, 1 << 17
 
 
 class Index:
@@ -468,7 +468,40 @@ def tree_locate(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def tree_search(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``text_id, pattern_id, rank, pos``: all leaves below the place where a pattern ends."""
-    met = tree_locate(texts, patterns).where(F.col("outcome").isin("node match", "edge match"))
-    ranks = met.select("text_id", "pattern_id", F.explode(F.sequence("sa_lo", F.col("sa_hi") - 1)).alias("rank"))
-    return ranks.join(suffix_array(texts), ["text_id", "rank"]).select("text_id", "pattern_id", "rank", "pos")
+    """``text_id, pattern_id, rank, pos``: all leaves below the place where a pattern ends, read from the tree that was walked."""
+    schema = pa.schema([(c, pa.int64()) for c in ("text_id", "pattern_id", "rank", "pos")])
+
+    def one(texts: DataFrame, block: list[tuple[int, str]]) -> DataFrame:
+        shared = texts.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for batch in batches:
+                for t, tree_ in _trees(batch):
+                    for p, word in shared.value:
+                        node, _, outcome = tree_.locate(word)
+                        if outcome in ("node match", "edge match"):
+                            lo, hi = tree_.nodes[node][:2]
+                            held.append((t, p, lo, tree_.sa[lo:hi]))
+                            size += hi - lo
+                            if size >= ROWS:
+                                yield from _leaves(held, schema)
+                                held, size = [], 0
+            if held:
+                yield from _leaves(held, schema)
+
+        return texts.mapInArrow(run, "text_id bigint, pattern_id bigint, rank bigint, pos bigint")
+
+    return over_blocks(_texts(texts), patterns, one)
+
+
+def _leaves(held: list[tuple[object, object, int, np.ndarray]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows of ``(text, pattern, lowest rank, places in order of rank)``."""
+    ids, words, lows, places = zip(*held)
+    sizes = np.array([len(x) for x in places])
+    which, pos = np.repeat(np.arange(len(sizes)), sizes), np.concatenate(places)
+    rank = np.arange(len(pos)) + (np.array(lows) - np.cumsum(sizes) + sizes)[which]
+    columns = [pa.array(ids, pa.int64()).take(pa.array(which)), pa.array(words, pa.int64()).take(pa.array(which)), pa.array(rank), pa.array(pos)]
+    whole = pa.RecordBatch.from_arrays(columns, schema=schema)
+    for at in range(0, whole.num_rows, ROWS):
+        yield whole.slice(at, ROWS)
