@@ -1,10 +1,13 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from weftline.operators import fm, suffix
+from weftline.plans import ordinal
+from weftline.plans.lineage import cut
 
 MISS = "mississippi"
 
@@ -82,6 +85,41 @@ def test_doubling_on_repeated_rows(spark):
     assert key(suffix.suffix_array(t, "doubling")) == key(suffix.suffix_array(t, "local"))
 
 
+LONG = [(1, "ab" * 150), (1, "a" * 200), (2, "néñ𝄞" * 30 + "é"), (3, "acgt" * 40 + "acga" * 40), (None, "a" * 200), (4, "a\nb\n"), (5, ""), (6, None)]
+
+
+def test_doubling_over_many_rounds(spark, monkeypatch):
+    t = texts(spark, LONG).repartition(3)
+    key = lambda df: sorted(map(str, (tuple(r) for r in df.collect())))
+    want = key(suffix.suffix_array(t, "local"))
+    assert key(suffix.suffix_array(t, "doubling")) == want
+    monkeypatch.setattr(suffix, "LOCAL", 150)
+    assert key(suffix.suffix_array(t)) == want
+
+
+def test_doubling_broadcasts_only_sizes_of_partitions(spark, monkeypatch):
+    """Estimates follow the texts' files, which may be far smaller than their suffixes."""
+    seen = []
+    monkeypatch.setattr(suffix, "cut", lambda df: seen.append(df) or cut(df))
+    monkeypatch.setattr(ordinal, "cut", lambda df: seen.append(df) or cut(df))
+    seen.append(suffix.suffix_array_doubling(texts(spark, LONG)))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in seen]
+    sent = [keys for plan in plans for keys in re.findall(r"BroadcastHashJoin \[(.*?)\]", plan)]
+    assert len(plans) > 4 and all(keys.startswith("_p#") for keys in sent)
+
+
+def test_packed_symbols(monkeypatch):
+    monkeypatch.setattr(suffix, "ROWS", 7)
+    held = ["", "a", MISS, "né!ñ 𝄞a𝄞a", "a\nb\0c\0", "ab" * 40 + "a"]
+    own, start, pos, span, a, b = (np.concatenate(c).tolist() for c in zip(*suffix._packed(held)))
+    assert [*zip(own, pos)] == [(i, p) for i, x in enumerate(held) for p in range(len(x) + 1)] and set(span) == {2 * (63 // 4)}
+    assert [*map(sum, zip(start, pos))] == [*range(len(own))]
+    first = [held[i][p : p + k] for i, p, k in zip(own, pos, span)]
+    for i in range(len(held)):
+        rows = sorted((x, y, w) for o, x, y, w in zip(own, a, b, first) if o == i)
+        assert [w for _, _, w in rows] == sorted(w for _, _, w in rows) and len({r[:2] for r in rows}) == len({r[2] for r in rows})
+
+
 def test_searches_agree(spark, some):
     t = texts(spark, some)
     ps = ["i", "missi", "", "zz", "a", "acg", "ssi", "𝄞a", "abab", "mississippi", "mississippix"]

@@ -8,7 +8,7 @@ One row per suffix with all that derives from its neighbours (``suffix_index``)
 is made text by text in Arrow batches: all suffixes of a batch are sorted
 together by prefix doubling, of which each round sorts only what is still tied.
 Texts longer than ``LOCAL`` symbols are sorted by the same doubling as
-DataFrame joins instead (strategy ``doubling``), in which no task holds a text.
+DataFrame joins instead (strategy ``doubling``), in which no task sorts a text.
 
 Results for odd input: null texts take no part; an empty text has its sentinel
 only; an empty pattern matches all ``n + 1`` suffixes of a text; a pattern with
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from weftline.functions.sequences import symbols
 from weftline.operators.pattern_blocks import over_blocks
 from weftline.plans.lineage import cut
-from weftline.plans.ordinal import with_ordinal
+from weftline.plans.ordinal import with_first_ordinal
 
 BATCH, LOCAL, STEP, ROWS = 1 << 20, 1 << 25, 16, 1 << 17
 
@@ -235,27 +235,77 @@ def suffix_array(texts: DataFrame, strategy: str = "auto") -> DataFrame:
 
 
 def suffix_array_doubling(texts: DataFrame) -> DataFrame:
-    """Prefix doubling by joins: a round ranks pairs of ranks over the whole data by range partitions. Every row of ``texts`` is ranked on its own."""
+    """Prefix doubling by shuffles, in which no task sorts a text. Every row of ``texts`` is ranked on its own.
+
+    The texts lie one after the other on one line. A first sort by range partitions ranks all suffixes by as many symbols as two
+    numbers hold; each round then takes what is still tied to twice the symbols, by the rank of the suffix that lies so far ahead.
+    A rank is the place of the first of its ties, so that ranks without ties stay. No join is left to Spark's estimates of
+    sizes, which follow the texts' files, not their symbols.
+    """
     rows = cut(_texts(texts).withColumn("_row", F.monotonically_increasing_id()))
-    found = _doubled(rows.select(F.col("_row").alias("text_id"), "text"))
-    return found.withColumnRenamed("text_id", "_row").join(rows.select("_row", "text_id"), "_row").select("text_id", "rank", "pos")
-
-
-def _doubled(texts: DataFrame) -> DataFrame:
-    """``text_id, rank, pos`` of texts of which each has a ``text_id`` of its own."""
-    chars = F.concat(F.transform(F.filter(F.split("text", ""), lambda c: c != ""), lambda c: F.struct(c.alias("c"))), F.array(F.struct(F.lit("").alias("c"))))
-    now = _texts(texts).select("text_id", F.posexplode(chars).alias("pos", "s")).select("text_id", F.col("pos").cast("bigint").alias("pos"), F.col("s.c").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    k = 1
-    while True:
-        keys = with_ordinal(now.select("text_id", "a", "b").distinct(), "text_id", "a", "b", name="r")
-        ranked = cut(now.join(keys, ["text_id", "a", "b"]).select("text_id", "pos", F.col("r").alias("a")))
-        if keys.count() == ranked.count():
-            break
-        ahead = ranked.select("text_id", (F.col("pos") - k).alias("pos"), F.col("a").alias("b"))
-        now = ranked.join(ahead, ["text_id", "pos"], "left").select("text_id", "pos", "a", F.coalesce("b", F.lit(-1).cast("bigint")).alias("b"))
-        k *= 2
-    least = ranked.groupBy("text_id").agg(F.min("a").alias("first"))
-    return ranked.join(least, "text_id").select("text_id", (F.col("a") - F.col("first")).alias("rank"), "pos")
+    # One row per partition.
+    sizes = {r[0]: r[1] for r in rows.groupBy(F.shiftright("_row", 33)).agg(F.sum(F.length("text") + F.lit(1).cast("bigint"))).collect()}
+    base = dict(zip(sorted(sizes), np.cumsum([0, *(sizes[p] for p in sorted(sizes))]).tolist()))
+    kind = rows.schema["text_id"].dataType.simpleString()
+    found = rows.mapInArrow(_windows(base), f"text_id {kind}, start bigint, pos bigint, span bigint, a bigint, b bigint")
+    ranked = with_first_ordinal(found, "start", "a", "b", name="at", number="ties", without=("a", "b")).withColumn("tied", F.col("ties") > 1).drop("ties")
+    while not (tied := ranked.where("tied")).isEmpty():
+        # A tied suffix has no sentinel among its first symbols, so there is always one ahead.
+        ahead = ranked.select("start", F.col("pos").alias("_pos"), F.col("at").alias("b"))
+        met = cut(tied.withColumn("_pos", F.col("pos") + F.col("span")).join(ahead.hint("merge"), ["start", "_pos"]).select("text_id", "start", "pos", "span", "at", "b"))
+        before = F.sum("n").over(Window.partitionBy("start", "at").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
+        keys = met.groupBy("start", "at", "b").agg(F.count("*").alias("n")).select("start", "at", "b", (F.col("at") + F.coalesce(before, F.lit(0))).alias("_at"), (F.col("n") > 1).alias("tied"))
+        again = met.join(keys.hint("merge"), ["start", "at", "b"]).select("text_id", "start", "pos", (F.col("span") * 2).alias("span"), F.col("_at").alias("at"), "tied")
+        ranked = cut(ranked.where("NOT tied").select(again.columns).union(again))
+    return ranked.select("text_id", (F.col("at") - F.col("start")).alias("rank"), "pos")
+
+
+def _windows(base: dict[int, int]):
+    """Per suffix, ``start`` (of its text on the line) and its first ``span`` symbols as ``a, b``: numbers in the order of the symbols, with zeros from the sentinel on.
+
+    ``base``: where the texts of each partition begin. Codes, and with them ``span``, are the same for all suffixes of a text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = None
+        for batch in batches:
+            done = 0
+            if begun is None and batch.num_rows:
+                begun = base[batch.column(2)[0].as_py() >> 33]
+            for _, held in _batches(batch):
+                ids = batch.column(0).slice(done, len(held))
+                for own, *columns in _packed(held):
+                    columns[0] += begun
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(own)), *map(pa.array, columns)], names=["text_id", "start", "pos", "span", "a", "b"])
+                begun += sum(map(len, held)) + len(held)
+                done += len(held)
+
+    return run
+
+
+def _packed(held: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
+    """The number of the text, ``start, pos, span, a, b`` of all suffixes, ``ROWS`` at a time."""
+    line = "".join(t + "\n" for t in held)
+    sizes = np.array([len(t) + 1 for t in held], np.int64)
+    ends = np.cumsum(sizes)
+    alphabet = np.array(sorted(map(ord, set(line))), np.uint32)
+    bits = len(alphabet).bit_length()
+    half = 63 // bits
+    for lo in range(0, len(line), ROWS):
+        n = min(ROWS, len(line) - lo)
+        code = np.zeros(n + 2 * half, np.int64)
+        near = symbols(line[lo : lo + len(code)])
+        code[: len(near)] = np.searchsorted(alphabet, near) + 1
+        last = ends - 1 - lo
+        code[last[np.searchsorted(last, 0) : np.searchsorted(last, len(code))]] = 0
+        window = np.zeros(n + half, np.int64)
+        for k in range(half):
+            window = (window << bits) | code[k : k + n + half]
+        place = np.arange(lo, lo + n)
+        own = np.searchsorted(ends, place, "right")
+        begin, left = (ends - sizes)[own], ends[own] - place
+        drop = [bits * np.clip(k - left, 0, half) for k in (half, 2 * half)]
+        yield own, begin, place - begin, np.full(n, 2 * half), window[:n] >> drop[0] << drop[0], window[half:] >> drop[1] << drop[1]
 
 
 def inverse_suffix_array(texts: DataFrame) -> DataFrame:

@@ -17,6 +17,16 @@ def with_ordinal(df: DataFrame, *by: str, name: str = "ord") -> DataFrame:
     return _shifted(cut(placed), name)
 
 
+def with_first_ordinal(df: DataFrame, *by: str, name: str = "ord", number: str = "number", without: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the ordinal in order of ``by`` of the first row that has the same keys, and the number of these rows.
+
+    One shuffle, as equal keys stay together. Columns of ``without`` are left out once they have served.
+    """
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    same, kept = Window.partitionBy(*by), [c for c in df.columns if c not in without]
+    return _shifted(cut(placed.select(*kept, F.min("_at").over(same).alias("_m"), F.count("*").over(same).alias(number))), name)
+
+
 SPLITS = 100_000
 
 
@@ -51,4 +61,4 @@ def _shifted(placed: DataFrame, name: str) -> DataFrame:
     placed = placed.withColumn("_p", F.shiftright("_m", 33)).withColumn("_m", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = placed.groupBy("_p").agg(F.count("*").alias("n")).select("_p", before.alias("_before"))
-    return placed.join(sizes, "_p").withColumn(name, F.col("_m") + F.col("_before")).drop("_p", "_m", "_before")
+    return placed.join(F.broadcast(sizes), "_p").withColumn(name, F.col("_m") + F.col("_before")).drop("_p", "_m", "_before")
