@@ -108,6 +108,19 @@ def test_doubling_broadcasts_only_sizes_of_partitions(spark, monkeypatch):
     assert len(plans) > 4 and all(keys.startswith("_p#") for keys in sent)
 
 
+def test_estimates_do_not_grow_with_the_rounds(spark, monkeypatch):
+    """The number of digits of an estimate must not double in every round."""
+    sizes = []
+
+    def seen(df):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return cut(df)
+
+    monkeypatch.setattr(suffix, "cut", seen)
+    assert suffix.suffix_array_doubling(texts(spark, [(1, "a" * 20_000)])).count() == 20_001
+    assert len(sizes) > 6 and max(sizes) < 300
+
+
 def test_packed_symbols(monkeypatch):
     monkeypatch.setattr(suffix, "ROWS", 7)
     held = ["", "a", MISS, "né!ñ 𝄞a𝄞a", "a\nb\0c\0", "ab" * 40 + "a"]

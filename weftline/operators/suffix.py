@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.sequences import symbols
 from weftline.operators.pattern_blocks import over_blocks
-from weftline.plans.lineage import cut
+from weftline.plans.lineage import cut, discard, scratch
 from weftline.plans.ordinal import with_first_ordinal
 
 BATCH, LOCAL, STEP, ROWS = 1 << 20, 1 << 25, 16, 1 << 17
@@ -249,6 +249,7 @@ def suffix_array_doubling(texts: DataFrame) -> DataFrame:
     kind = rows.schema["text_id"].dataType.simpleString()
     found = rows.mapInArrow(_windows(base), f"text_id {kind}, start bigint, pos bigint, span bigint, a bigint, b bigint")
     ranked = with_first_ordinal(found, "start", "a", "b", name="at", number="ties", without=("a", "b")).withColumn("tied", F.col("ties") > 1).drop("ties")
+    last = None
     while not (tied := ranked.where("tied")).isEmpty():
         # A tied suffix has no sentinel among its first symbols, so there is always one ahead.
         ahead = ranked.select("start", F.col("pos").alias("_pos"), F.col("at").alias("b"))
@@ -256,7 +257,13 @@ def suffix_array_doubling(texts: DataFrame) -> DataFrame:
         before = F.sum("n").over(Window.partitionBy("start", "at").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
         keys = met.groupBy("start", "at", "b").agg(F.count("*").alias("n")).select("start", "at", "b", (F.col("at") + F.coalesce(before, F.lit(0))).alias("_at"), (F.col("n") > 1).alias("tied"))
         again = met.join(keys.hint("merge"), ["start", "at", "b"]).select("text_id", "start", "pos", (F.col("span") * 2).alias("span"), F.col("_at").alias("at"), "tied")
-        ranked = cut(ranked.where("NOT tied").select(again.columns).union(again))
+        # Files, as a checkpoint would keep the estimate of its size, which a join squares in every round.
+        path = scratch(rows.sparkSession)
+        ranked.where("NOT tied").select(again.columns).union(again).write.parquet(path)
+        ranked = rows.sparkSession.read.parquet(path)
+        if last:
+            discard(rows.sparkSession, last)
+        last = path
     return ranked.select("text_id", (F.col("at") - F.col("start")).alias("rank"), "pos")
 
 

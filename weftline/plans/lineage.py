@@ -33,6 +33,12 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/weftline-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a path below the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the shared folder; later plans read it from there."""
     checkpoint_dir(df.sparkSession)
